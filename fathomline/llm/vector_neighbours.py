@@ -91,9 +91,8 @@ def curve_keys(df: DataFrame, key: str, vector: str, dim: int, count: int, axes:
                 cell = ((y / 6 + 0.5) * (1 << bits) + shift * (1 << max(0, bits - 2))).astype(np.int64)
                 keys[:, i] = hilbert_key(np.clip(cell, 0, (1 << bits) - 1), bits)
             scale = np.abs(x).max(1)
-            q = np.concatenate([scale.astype("<f4").view(np.uint8).reshape(-1, 4), np.rint(x / scale[:, None] * 127).astype(np.int8).view(np.uint8)], axis=1)
-            width = dim + 4
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(q))]).cast(pa.binary())
+            q = np.rint(x / scale[:, None] * 127).astype(np.int8)  # a direction needs no scale
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(q)]).cast(pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * count, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), packed, lists], ["id", "q", "keys"])
 
@@ -108,8 +107,7 @@ def window_candidates(ordered: DataFrame, dim: int, k: int, window: int, least:
     """
 
     def unpack(column) -> np.ndarray:
-        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, dim + 4)
-        x = raw[:, 4:].view(np.int8).astype("f4")
+        x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype("f4")
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def pick(ids, x, others, y):
@@ -178,7 +176,7 @@ def window_candidates(ordered: DataFrame, dim: int, k: int, window: int, least:
     return ordered.select("o", "id", "q").mapInArrow(run, "id long, other long, sim float")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, orderings: int = 12, axes: int = 8, bits: int = 6, window: int = 128, least: float = 0.0, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, orderings: int = 8, axes: int = 8, bits: int = 6, window: int = 256, least: float = 0.0, seed: int = 7) -> DataFrame:
     """``(id, other, cosine, rank)``: up to ``k`` most similar others of every vector, cosine at least ``least`` if that is above 0.
 
     ``least`` reaches into the windows, so a search for close vectors never
