@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, dialogs, lookalikes, near_copies, vector_neighbours
+from . import copies, dialogs, lookalikes, near_copies, scans, vector_neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, d, "messages"), "msg_id", "content", "ts", F.col("role").isin(1, 2))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(_table(spark, d, "documents"))
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_table(spark, d, "documents"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(_record_keys(spark, d))[1]
 
@@ -52,7 +60,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_dialogs, p5_found, p7_found, p7_records, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p10_found, p10_texts)}
 
 
 _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ts NULLS LAST, conv_id, branch_id, role) AS rn FROM messages) WHERE rn = 1)"""
