@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, dialogs, lookalikes, near_copies, scans, vector_neighbours
+from . import copies, dialogs, lookalikes, markup, near_copies, scans, vector_neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vector_neighbours.close_pairs(_table(spark, d, "chunk_vectors"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_found(_table(spark, d, "documents"))
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of the documents and of the chunks cut from them."""
+    docs = markup.cleaned(_table(spark, d, "documents")).select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
+    chunks = markup.cleaned(_table(spark, d, "doc_chunks"), "chunk_id").select(F.lit("doc_chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
+    return docs.unionByName(chunks)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return dialogs.dropped_threads(_table(spark, d, "messages"))
 
@@ -60,7 +71,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p10_found, p10_texts)}
 
 
 _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ts NULLS LAST, conv_id, branch_id, role) AS rn FROM messages) WHERE rn = 1)"""

@@ -209,7 +209,9 @@ def layout(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbers = lines.filter("page is not null").select("k", "at", value.alias("v"), "page")
     before, after = F.col("v") - F.lag("v").over(order), F.lead("v").over(order) - F.col("v")
     # Printed numbers go up by one from page to page; other numbers on lines of their own don't.
-    pages = numbers.select("k", "at", "page", before.alias("b"), after.alias("a")).filter("b between 1 and 2 or a between 1 and 2").select("k", "at", "page")
+    next_to = F.coalesce((before == 1) | (after == 1), F.lit(False))
+    share = F.avg(F.col("chain").cast("int")).over(Window.partitionBy("k"))
+    pages = numbers.withColumn("chain", next_to).withColumn("share", share).filter("chain and share > 0.5").select("k", "at", "page")
     return heads, pages
 
 
@@ -220,7 +222,7 @@ def scan_noise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     heads, pages = layout(page_lines(docs.filter(~F.col("t").rlike(_MARKED)), key, "t"))
     head = heads.select(F.col("k").alias(key)).distinct().withColumn("noise", F.lit("running_head"))
     number = pages.groupBy(F.col("k").alias(key)).agg(F.max(F.col("page").rlike("[lIOoSBZ]")).alias("odd")).withColumn("noise", F.lit("page_no"))
-    broken = docs.filter(F.col("t").rlike(r"[\p{L}\p{N}][-‐‑\x{AD}¬][ \t]*[\r\n\f]+\s*[\p{L}\p{N}\[]")).filter(~F.col("t").rlike(_MARKED)).select(key, F.lit("hyphen").alias("noise"))
+    broken = docs.filter(F.col("t").rlike(r"[\p{L}\p{N}][-‐‑\x{AD}¬][ \t]*[\r\n\f]+\s*\S")).filter(~F.col("t").rlike(_MARKED)).select(key, F.lit("hyphen").alias("noise"))
     lone = docs.filter(F.col("t").rlike(r"\p{L}{2}[0-9!|@]\p{L}{2}") & ~F.col("t").rlike(_MARKED)).select(key)
     found = cut(head.select(key, "noise").unionByName(number.select(key, "noise")).unionByName(broken).unionByName(number.filter("odd").select(key, F.lit("odd").alias("noise"))).distinct())
     words = words_in(docs, key, "t", wanted).groupBy(key).agg(F.max("strong").alias("strong"), F.countDistinct("word").alias("words"))
