@@ -34,15 +34,21 @@ CONFUSIONS = [
 # One representative for the glyphs that are taken for one another.
 _FROM, _TO = "c50о@!1|l9b8тибé27fзü", "esooaiiiighhmn66ztt3u"
 _PAIRS = [("ei", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("u", "h")]
-TOKEN = re.compile(r"[!|@]?[^\W_]+(?:[!|@][^\W_]+)*\|?")
+TOKEN = re.compile(r"[\w!|@]{3,40}")
 BROKEN = re.compile(r"(?<=\w)[-‐‑\xad¬][ \t]*[\r\n\f]+[ \t]*(?=\w)")
+_BREAKS = [h + e for h in "-‐‑\xad¬" for e in ("\n", "\r", "\f", " \n")]
+_BREAK = re.compile(r"[-‐‑\xad¬][ \t]*[\r\n\f]+\s*\S")
+_LONE = re.compile(r"[^\W\d_]{2}[0-9!|@][^\W\d_]{2}")
 STRONG = re.compile(r"[!|@]|[^\W\d_][0-9]|[0-9][^\W\d_]")
 #: how much more frequent the right form is than a misreading that itself looks like a word
 RATIO = 40
 
 _N = r"[0-9lIOoSBZ]{0,3}[0-9lO][0-9lIOoSBZ]{0,3}"
-_PAGE = rf"(?:[-–—]\s*({_N})\s*[-–—]|\[\s*({_N})\s*\]|(?:[pP](?:[a@]g[ec]|\.)|S\.|Seite|стр\.)\s*({_N})(?:\s+(?:of|0f|/)\s+{_N})?|({_N}))"
-_LINES = r"\r\n|[\n\r\f]"
+_PAGE = re.compile(rf"(?:[-–—]\s*({_N})\s*[-–—]|\[\s*({_N})\s*\]|(?:[pP](?:[a@]g[ec]|\.)|S\.|Seite|стр\.)\s*({_N})(?:\s+(?:of|0f|/)\s+{_N})?|({_N}))")
+_GAP = re.compile(r"\s{2,}|\t")
+_NAME = re.compile(r"[^\W\d_]{3}")
+_MASK = re.compile(r"[0-9]+(?![^\W\d_])")
+_LINES = re.compile(r"\r\n|[\n\r\f]")
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +90,7 @@ def derives(right: str, read: str) -> bool:
 
 
 def tokens(text: str) -> list[str]:
-    if "\n" in text or "\f" in text:
+    if any(x in text for x in _BREAKS):
         text = BROKEN.sub("", text)
     return TOKEN.findall(text.lower())
 
@@ -100,7 +106,7 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for b in slices(batches, "t"):
-            seen.update(tokens("\n\x00\n".join(x for x in b.column(0).to_pylist() if x)))
+            seen.update(tokens("\n\n".join(x for x in b.column(0).to_pylist() if x)))
             if len(seen) > 300_000:
                 yield out()
                 seen.clear()
@@ -108,8 +114,8 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
             yield out()
 
     words = df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "word string, n long")
-    words = words.filter(F.length("word").between(3, 40) & ~F.col("word").rlike("^[0-9]+$"))
-    return words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("skeleton", skeleton_of(F.col("word")))
+    counts = words.groupBy("word").agg(F.sum("n").alias("n")).filter(~F.col("word").rlike("^[0-9_!|@]+$"))
+    return counts.withColumn("skeleton", skeleton_of(F.regexp_replace("word", "[!@]+$", "")))
 
 
 def misreadings(words: DataFrame) -> DataFrame:
@@ -125,11 +131,12 @@ def misreadings(words: DataFrame) -> DataFrame:
             for forms in b.column(0).to_pylist():
                 forms = sorted(((f["n"], f["word"]) for f in forms), key=lambda f: (-f[0], f[1]))
                 for k, (n, word) in enumerate(forms):
-                    strong = bool(STRONG.search(word))
+                    bare = word.rstrip("!@")
+                    strong = bool(STRONG.search(bare))
                     for m, right in forms[:k]:
                         if m < (n + 1 if strong else max(20, RATIO * n)):
                             break
-                        if (strong and not STRONG.search(right) or not strong and len(word) > 3) and derives(right, word):
+                        if (strong and not STRONG.search(right) or not strong and len(bare) > 3) and derives(right, bare):
                             out.append((word, right, strong))
                             break
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.bool_()))], ["word", "right", "strong"])
@@ -180,33 +187,78 @@ def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: i
     return found.join(wanted, "word").select(F.col("k").alias(key), "word", "right", "strong")
 
 
-def page_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(k, at, line, page, head, part)``: the texts' lines, the page number on each, and the skeleton of a possible head."""
-    rows = df.select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text), _LINES)).alias("at", "line"))
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    short = (F.length(line) > 0) & (F.length(line) <= 90)
-    number = lambda pattern, first: F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, first + i), F.lit("")) for i in range(4)])
-    digits = short & line.rlike(r"[0-9lO]")
-    whole = F.when(digits, number(f"^{_PAGE}$", 1))
-    right = F.when(digits & line.rlike(r"\S(?:\s{2,}|\t)\S"), number(rf"^.*\S(?:\s{{2,}}|\t){_PAGE}$", 1))
-    left = F.when(digits & line.rlike(r"\S(?:\s{2,}|\t)\S"), number(rf"^{_PAGE}(?:\s{{2,}}|\t).*$", 1))
-    page = F.coalesce(whole, right, left)
-    rest = F.when(whole.isNotNull(), F.lit(None)).when(right.isNotNull(), F.regexp_replace(line, rf"(?:\s{{2,}}|\t){_PAGE}$", "")).when(left.isNotNull(), F.regexp_replace(line, rf"^{_PAGE}(?:\s{{2,}}|\t)", "")).otherwise(line)
-    named = F.when(short & rest.rlike(r"\p{L}{3}") & ~rest.rlike(r"[.,;:?]$|^[#|<{\\*>=]|[<>{}|]$"), rest)
-    head = skeleton_of(F.regexp_replace(F.regexp_replace(named, r"\s+", " "), r"[0-9]+(?![\p{L}])", "9"))
-    return rows.select("k", "at", "line", page.alias("page"), head.alias("head"))
+def number_on(line: str) -> tuple[str | None, str | None]:
+    """The printed page number on a stripped line, and the rest of the line, if anything."""
+    if len(line) <= 20 and (m := _PAGE.fullmatch(line)):
+        return next(filter(None, m.groups())), None
+    if "  " in line or "\t" in line:
+        parts = _GAP.split(line)
+        for part, rest in ((parts[-1], parts[:-1]), (parts[0], parts[1:])):
+            if len(part) <= 20 and (m := _PAGE.fullmatch(part)):
+                return next(filter(None, m.groups())), " ".join(rest)
+        line = " ".join(parts)
+    return None, line
+
+
+def head_of(line: str | None) -> str | None:
+    """The skeleton of a line that could be a running head, digits masked."""
+    if not line or line[-1] in ".,;:?|<>{}" or line[0] in "#|<{\\*>=" or not _NAME.search(line):
+        return None
+    return skeleton(_MASK.sub("9", line).lower())
+
+
+def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(k, at, kind, page, head)``: what single lines of each text could be.
+
+    ``line`` rows carry a page number, a head or both; ``hyphen``, ``paged``
+    (a form feed) and ``lone`` (a sign among letters) rows are about the text.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in slices(batches, "t"):
+            rows: list[tuple] = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if not t or "\n" not in t and "\f" not in t and "\r" not in t:
+                    continue
+                if any(x in t for x in _BREAKS) and any(t[m.start() - 1 : m.start()].isalnum() for m in _BREAK.finditer(t)):
+                    rows.append((i, -1, "hyphen", None, None))
+                if "\f" in t:
+                    rows.append((i, -1, "paged", None, None))
+                if _LONE.search(t):
+                    rows.append((i, -1, "lone", None, None))
+                plain = not any(x in t for x in _STRUCTURE) and t[:2] != "# "
+                heads: Counter = Counter()
+                found = []
+                for at, line in enumerate(_LINES.split(t)):
+                    line = line.strip()
+                    if 0 < len(line) <= 90:
+                        page, rest = number_on(line)
+                        head = head_of(rest) if plain else None
+                        if head:
+                            heads[head] += 1
+                        if page or head:
+                            found.append((i, at, "line", page, head))
+                rows.extend(r for r in found if r[3] or heads[r[4]] > 1)
+            at = [pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at[0]), *at[1:]], ["k", "at", "kind", "page", "head"])
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(run, f"k {kind}, at int, kind string, page string, head string")
+
+
+# Texts in a markup language are no scans: their repeated lines are structure.
+_STRUCTURE = ("```", "</", "\\begin{", "\\section", "{|", "\n|", "[[", "'''", "](", "{{", "\n# ", "\n## ", "====")
 
 
 def _page_value(page: Column) -> Column:
     return F.translate(page, "lIOoSBZ", "1100582").cast("int")
 
 
-def layout(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def layout(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Running heads ``(k, head)`` on two pages or more, and page numbers ``(k, at)`` that count on."""
-    heads = lines.filter("head is not null").groupBy("k", F.xxhash64("head").alias("h")).agg(F.count("*").alias("n"), F.min("head").alias("head")).filter("n > 1").select("k", "head")
+    heads = marks.filter("head is not null").groupBy("k", "head").agg(F.count("*").alias("n")).filter("n > 1").select("k", "head")
     order = Window.partitionBy("k").orderBy("at")
-    value = _page_value(F.col("page"))
-    numbers = lines.filter("page is not null").select("k", "at", value.alias("v"), "page")
+    numbers = marks.filter("page is not null").select("k", "at", _page_value(F.col("page")).alias("v"), "page")
     before, after = F.col("v") - F.lag("v").over(order), F.lead("v").over(order) - F.col("v")
     # Printed numbers go up by one from page to page; other numbers on lines of their own don't.
     next_to = F.coalesce((before == 1) | (after == 1), F.lit(False))
@@ -219,41 +271,47 @@ def scan_noise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``(key, noise)``: one row for each text and kind of scan noise in it."""
     docs = df.select(F.col(key), F.col(text).cast("string").alias("t")).filter("t is not null")
     wanted = cut(misreadings(vocabulary(docs, "t")))
-    heads, pages = layout(page_lines(docs.filter(~F.col("t").rlike(_MARKED)), key, "t"))
-    head = heads.select(F.col("k").alias(key)).distinct().withColumn("noise", F.lit("running_head"))
-    number = pages.groupBy(F.col("k").alias(key)).agg(F.max(F.col("page").rlike("[lIOoSBZ]")).alias("odd")).withColumn("noise", F.lit("page_no"))
-    broken = docs.filter(F.col("t").rlike(r"[\p{L}\p{N}][-‐‑\x{AD}¬][ \t]*[\r\n\f]+\s*\S")).filter(~F.col("t").rlike(_MARKED)).select(key, F.lit("hyphen").alias("noise"))
-    lone = docs.filter(F.col("t").rlike(r"\p{L}{2}[0-9!|@]\p{L}{2}") & ~F.col("t").rlike(_MARKED)).select(key)
-    found = cut(head.select(key, "noise").unionByName(number.select(key, "noise")).unionByName(broken).unionByName(number.filter("odd").select(key, F.lit("odd").alias("noise"))).distinct())
-    words = words_in(docs, key, "t", wanted).groupBy(key).agg(F.max("strong").alias("strong"), F.countDistinct("word").alias("words"))
-    paged = docs.filter(F.col("t").contains("\f")).select(key)
-    scanned = found.select(key).union(paged).distinct().withColumn("scanned", F.lit(True))
-    sure = words.filter("strong or words > 1").select(key)
-    alone = words.filter("not strong and words = 1").join(scanned, key, "left_semi").select(key)
-    unknown = lone.join(scanned, key, "left_semi")
-    misread = sure.union(alone).union(unknown).union(found.filter("noise = 'odd'").select(key)).distinct().withColumn("noise", F.lit("misread"))
-    return found.filter("noise <> 'odd'").unionByName(misread)
-
-
-# Texts in a markup language are no scans: their repeated lines and line-end hyphens are structure.
-_MARKED = r"(?m)^#{1,6} +\S|^\s{0,3}```|^\{\||^\|-|</[a-zA-Z]+>|\\begin\{|\\section|^={2,}[^=]+={2,}\s*$|\[\[|'''|^\s*={4,}\s*$|^\|.*\|\s*$|\]\(|\{\{"
+    marks = cut(page_marks(docs, key, "t"))
+    return _noise(marks, cut(words_in(docs, key, "t", wanted)), key)
+
+
+def _noise(marks: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    heads, pages = layout(marks)
+    about = marks.filter("at < 0").select(F.col("k").alias(key), "kind")
+    head = heads.select(F.col("k").alias(key), F.lit("running_head").alias("kind"))
+    odd = F.col("page").rlike("[lIOoSBZ]")
+    number = pages.select(F.col("k").alias(key), F.explode(F.when(odd, F.array(F.lit("page_no"), F.lit("odd"))).otherwise(F.array(F.lit("page_no")))).alias("kind"))
+    word = found.select(key, F.when(F.col("strong"), "strong").otherwise("weak").alias("kind"), F.xxhash64("word").alias("w"))
+    each = about.unionByName(head).unionByName(number).withColumn("w", F.lit(None).cast("long")).unionByName(word)
+    has = {k: F.max(F.col("kind") == k) for k in ("hyphen", "running_head", "page_no", "paged", "lone", "odd", "strong", "weak")}
+    first = F.min(F.when(F.col("kind") == "weak", F.col("w")))
+    last = F.max(F.when(F.col("kind") == "weak", F.col("w")))
+    by = each.groupBy(key).agg(*[c.alias(k) for k, c in has.items()], (first != last).alias("several"))
+    scanned = F.expr("hyphen or running_head or page_no or paged")
+    # One weak form or an unknown word with a sign in it needs other signs of a scan.
+    misread = F.expr("strong or odd or coalesce(several, false)") | (scanned & F.expr("weak or lone"))
+    kinds = F.array(F.when(F.col("hyphen"), "hyphen"), F.when(misread, "misread"), F.when(F.col("running_head"), "running_head"), F.when(F.col("page_no"), "page_no"))
+    return by.select(key, F.explode(F.array_compact(kinds)).alias("noise"))
 
 
 def repaired(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, text)``: misread words put right, heads and page numbers left out, broken words joined, paragraphs reflowed.
 
-    Texts without scan noise come out as they went in.
+    Texts without scan noise come out as they went in. A repeated id gets one
+    result for each of its rows only if the rows are equal; keys should be unique.
     """
     docs = df.select(F.col(key), F.col(text).cast("string").alias("t"))
     some = docs.filter("t is not null")
-    noise = cut(scan_noise(df, key, text))
-    scans = cut(some.join(noise.select(key).distinct(), key, "left_semi"))
     wanted = cut(misreadings(vocabulary(some, "t")))
-    fixes = words_in(scans, key, "t", wanted).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fix"))
-    lines = page_lines(scans, key, "t")
-    heads, pages = layout(lines)
-    marked = lines.join(heads, ["k", "head"], "left_semi").select("k", "at").union(pages.select("k", "at")).distinct().withColumn("drop", F.lit(True))
-    kept = lines.join(marked, ["k", "at"], "left").filter("drop is null").select("k", "at", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
+    marks = cut(page_marks(some, key, "t"))
+    found = cut(words_in(some, key, "t", wanted))
+    noisy = cut(_noise(marks, found, key).select(key).distinct())
+    scans = some.join(noisy, key, "left_semi")
+    fixes = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fix"))
+    heads, pages = layout(marks)
+    gone = marks.join(heads, ["k", "head"], "left_semi").select("k", "at").union(pages.select("k", "at")).distinct().withColumn("drop", F.lit(True))
+    lines = scans.select(F.col(key).alias("k"), F.posexplode(F.split("t", r"\r\n|[\n\r\f]")).alias("at", "line"))
+    kept = lines.join(gone, ["k", "at"], "left").filter("drop is null").select("k", "at", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
     order = Window.partitionBy("k").orderBy("at")
     blank = F.col("line") == ""
     kept = kept.withColumn("before", F.last(F.when(~blank, F.col("line")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("gap", F.coalesce(F.lag(blank).over(order), F.lit(True)))
@@ -269,22 +327,24 @@ def repaired(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batches):
         for b in batches:
-            out = []
-            for t, clean, fix in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                s = t if clean is None else clean
-                if s and fix:
-                    fix = dict(fix)
-
-                    def put(m):
-                        right = fix.get(m.group().lower())
-                        if right is None:
-                            return m.group()
-                        word = m.group()
-                        return right.upper() if word.isupper() and len(word) > 3 else right.capitalize() if word[:1].isupper() else right
-
-                    s = TOKEN.sub(put, s)
-                out.append(s)
+            out = [put_right(t if clean is None else clean, dict(fix) if fix else None) for t, clean, fix in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["k", "t"])
 
     kind = df.schema[key].dataType.simpleString()
     return joined.select(F.col(key).alias("k"), "t", "clean", "fix").mapInArrow(run, f"k {kind}, t string").select(F.col("k").alias(key), F.col("t").alias(text))
+
+
+def put_right(text: str | None, fix: dict[str, str] | None) -> str | None:
+    """``text`` with the words of ``fix`` replaced, their case kept."""
+    if not text or not fix:
+        return text
+
+    def put(m):
+        word = m.group()
+        right = fix.get(word.lower())
+        if right is None:
+            return word
+        tail = word[len(word.rstrip("!@")) :]
+        return (right.upper() if word.isupper() and len(word) > 3 else right.capitalize() if word[:1].isupper() else right) + tail
+
+    return TOKEN.sub(put, text)
