@@ -50,20 +50,32 @@ _SIGNS = {
         r"|\{\\(?:it|bf|em|tt|sc)\b|\\\[|\\\]|\$\$|(?<![\w$])\$[^$\n]*[\\^_{][^$\n]*\$|``[^`'\n]+''|\\\\(?:\[|$)|(?<=\w)\\[%&#_]|~\\|^%\s",
         re.M,
     ),
-    "markdown": re.compile(
-        r"^#{1,6} +[^\n]*[^\s.!?:;][ \t]*$|(?<![\w*])\*{1,3}[^\W_](?:[^*\n]*[^\s*])?\*{1,3}(?!\w)"
-        r"|(?<!\w)__(?!(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__)[^\W_](?:[^_\n]*[^\s_])?__(?!\w)|~~[^~\n]+~~"
-        r"|!?\[[^\[\]\n]*\]\([^()\s]*\)|\[[^\[\]\n]+\]\[\w+\]|\[\^\w+\]|^\[[^\]\n]+\]:\s|(?<!`)`[^`\n]+`(?!`)|^>\s"
-        r"|^\|?\s*:?-{3,}:?\s*\|[-| :]*$|^(?:```|~~~)|^[^\n]*\w[^\n]*\n(?:={3,}|-{3,})[ \t]*$|!\[|\]\(",
-        re.M,
-    ),
 }
+# Markdown's signs, each with a string that it can't do without.
+_MARKDOWN = [
+    (need, re.compile(pattern, re.M))
+    for need, pattern in (
+        ("# ", r"^#{1,6} +[^\n]*[^\s.!?:;][ \t]*$"),
+        ("*", r"(?<![\w*])\*{1,3}[^\W_](?:[^*\n]*[^\s*])?\*{1,3}(?!\w)"),
+        ("__", r"(?<!\w)__(?!(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__)[^\W_](?:[^_\n]*[^\s_])?__(?!\w)"),
+        ("~~", r"~~[^~\n]+~~|^~~~"),
+        ("](", r"\]\("),
+        ("![", r"!\["),
+        ("][", r"\[[^\[\]\n]+\]\[\w+\]"),
+        ("[^", r"\[\^\w+\]"),
+        ("]: ", r"^\[[^\]\n]+\]:\s"),
+        ("`", r"(?<!`)`[^`\n]+`(?!`)|^```"),
+        ("> ", r"^>\s"),
+        ("---", r"^\|?[ \t]*:?-{3,}:?[ \t]*\|[-| :]*$"),
+        ("\n---", r"\w[^\n\w]*\n-{3,}[ \t]*$"),
+        ("\n===", r"\w[^\n\w]*\n={3,}[ \t]*$"),
+    )
+]
 # Without one of these a text carries nothing of the language.
 _NEEDS = {
     "html": re.compile(r"[<&]|-->"),
     "wiki": re.compile(r"\[\[|\{\{|''|==|\{\||\|\}|\|-|__|<ref|#RED"),
     "latex": re.compile(r"[\\$%]|``"),
-    "markdown": re.compile(r"[#*_~\[`>\]]|---|==="),
 }
 # Frequent function words of the languages of the texts.
 STOP_WORDS = frozenset(
@@ -104,20 +116,25 @@ def _code_out(text: str, found: set[str]) -> tuple[str, list[str]]:
     return text, kept
 
 
+def _shows(language: str, text: str) -> bool:
+    if language == "markdown":
+        return any(need in text and sign.search(text) for need, sign in _MARKDOWN)
+    return bool(_NEEDS[language].search(text) and _SIGNS[language].search(text))
+
+
 def signs(text: str | None) -> set[str]:
     """The markup languages of which ``text`` carries any markup outside its code blocks."""
     found: set[str] = set()
-    if not text:
-        return found
-    if not (_NEEDS["html"].search(text) or _NEEDS["latex"].search(text) or _NEEDS["markdown"].search(text) or _NEEDS["wiki"].search(text)):
-        return found
-    text, _ = _code_out(text, found)
-    for language in LANGUAGES:
-        if language not in found and _NEEDS[language].search(text) and _SIGNS[language].search(text):
-            found.add(language)
+    if text:
+        text, _ = _code_out(text, found)
+        found.update(x for x in LANGUAGES if x not in found and _shows(x, text))
     return found
 
 
+_KNOWN = frozenset(f"{_TAGS}|h1|h2|h3|h4|h5|h6|ref|gallery".split("|"))
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b(?:[^<>]*>|(?:\s+[a-zA-Z-]+\s*=\s*[\"'][^\s\"'<>]*[\"']?)+)")
+
+
 def _from_html(s: str) -> str:
     s = re.sub(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>?|-->", "", s, flags=re.S | re.I)
     s = re.sub(r"<(script|style|noscript|head)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", lambda m: "\n\n# " + t.group(1).strip() + "\n\n" if m.group(1).lower() == "head" and (t := re.search(r"<title[^<>]*>([^<]*)", m.group(2), re.I)) and not re.search(r"<h1\b", s, re.I) else " ", s, flags=re.S | re.I)
@@ -130,7 +147,7 @@ def _from_html(s: str) -> str:
     s = re.sub(r"<img\b[^<>]*?alt\s*=\s*[\"']([^\"'<>]*)[\"'][^<>]*>", r"\1", s, flags=re.I)
     s = re.sub(r"<sup\b[^<>]*>\s*\d+\s*</sup\s*>", "", s, flags=re.I)
     s = re.sub(r"</?(?:p|div|ul|ol|table|blockquote|section|article|header|footer|nav|body|html|h[1-6]|pre|hr|dl|dt|dd)\b[^<>]*>", "\n\n", s, flags=re.I)
-    s = re.sub(rf"</?(?:{_TAGS}|ref|gallery)\b(?:[^<>]*>|(?:\s+[a-z-]+\s*=\s*[\"'][^\s\"'<>]*[\"']?)+)", "", s, flags=re.I)
+    s = _TAG.sub(lambda m: "" if m.group(1).lower() in _KNOWN else m.group(), s)
     return html.unescape(s).replace("\xa0", " ")
 
 
@@ -186,8 +203,8 @@ def _from_latex(s: str) -> str:
 
 def _from_markdown(s: str) -> str:
     s = re.sub(r"\A---\n.*?\n---[ \t]*$", "", s, count=1, flags=re.S | re.M)
-    s = re.sub(r"^([^\n]*\w[^\n]*)\n={3,}[ \t]*$", r"# \1", s, flags=re.M)
-    s = re.sub(r"^([^\n|]*\w[^\n|]*)\n-{3,}[ \t]*$", r"## \1", s, flags=re.M)
+    if "\n===" in s or "\n---" in s:
+        s = re.sub(r"^([^\n|]{1,200})\n(={3,}|-{3,})[ \t]*$", lambda m: ("# " if m.group(2)[0] == "=" else "## ") + m.group(1), s, flags=re.M)
     s = re.sub(r"^\|?\s*:?-{3,}:?\s*\|[-| :]*\n?", "", s, flags=re.M)
     s = re.sub(r"^\|[ \t]*(.*?)[ \t]*\|[ \t]*$", r"\1", s, flags=re.M)
     s = re.sub(r"^\[[^\]\n]+\]:\s[^\n]*$", "", s, flags=re.M)
@@ -202,8 +219,6 @@ def _from_markdown(s: str) -> str:
 
 
 _CONVERT = {"html": _from_html, "latex": _from_latex, "wiki": _from_wiki, "markdown": _from_markdown}
-_WORD = re.compile(r"[^\W\d_]+")
-_FORMED = re.compile(r"#{1,6} |- |\x03|\$\$|[^|\n]+ \| ")
 
 
 def _drop_boilerplate(text: str) -> str:
@@ -211,10 +226,10 @@ def _drop_boilerplate(text: str) -> str:
     blocks = [b for b in re.split(r"\n[ \t]*\n+", text) if b.strip(" \t\n\x01\x02")]
     label: list[bool | None] = []
     for b in blocks:
-        words = _WORD.findall(b)
+        words = b.lower().replace(_LINK, " ").replace(_END, " ").split()
         size = sum(map(len, words))
-        linked = sum(len(x) for m in re.findall(r"\x01([^\x02]*)\x02", b) for x in _WORD.findall(m))
-        density = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0
+        linked = sum(len(x) for m in re.findall(r"\x01([^\x02]*)\x02", b) for x in m.split()) if _LINK in b else 0
+        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0
         if size and linked > 0.5 * size and (len(words) < 12 or density < 0.15):
             label.append(False)
         elif "\x03" in b or "$$" in b or density >= 0.2 and size >= 40 or re.match(r"[^|\n]+ \| ", b):
