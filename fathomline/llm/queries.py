@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, dialogs, lookalikes, markup, near_copies, scans, vector_neighbours
+from . import copies, dialogs, leaks, lookalikes, markup, near_copies, packing, scans, vector_neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(_record_keys(spark, d))[0]
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.equal_looking(_table(spark, d, "documents"))
 
@@ -71,7 +79,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_texts)}
 
 
 _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ts NULLS LAST, conv_id, branch_id, role) AS rn FROM messages) WHERE rn = 1)"""
