@@ -18,6 +18,14 @@ KEY = [*THREAD, "msg_id"]
 ROLE_WEIGHTS = [0.7, 1.0, 0.9, 0.6]
 
 
+def role_weight(role: Column) -> Column:
+    """The weight of a role code; an unknown or null one weighs nothing."""
+    out = F.when(role == 0, ROLE_WEIGHTS[0])
+    for code, weight in enumerate(ROLE_WEIGHTS[1:], 1):
+        out = out.when(role == code, weight)
+    return out.otherwise(0.0)
+
+
 def by_keys(messages: DataFrame, keys: DataFrame) -> DataFrame:
     """Messages of a key table ``(conv_id, branch_id, msg_id)``."""
     return messages.join(keys.select(*KEY).distinct(), KEY)
@@ -42,10 +50,9 @@ def duplicate_penalty(messages: DataFrame, refs: int = 64) -> DataFrame:
 
 def context_score(messages: DataFrame, alpha: float = 1.0, beta: float = 0.3, gamma: float = 0.1, delta: float = 0.5, sim: Column | None = None) -> DataFrame:
     """``messages`` (with ``dup``) with ``score``: similarity, recency and role for it, duplication against it."""
-    weight = F.element_at(F.array(*map(F.lit, ROLE_WEIGHTS)), F.when(F.col("role").between(0, 3), F.col("role") + 1).cast("int"))
     newest = messages.groupBy(*THREAD).agg(F.max("ts").alias("newest"))
     messages = messages.join(newest, THREAD)
-    score = alpha * (sim if sim is not None else F.lit(0.0)) + beta * recency(F.col("newest"), F.col("ts")) + gamma * F.coalesce(weight, F.lit(0.0)) - delta * F.col("dup")
+    score = alpha * (sim if sim is not None else F.lit(0.0)) + beta * recency(F.col("newest"), F.col("ts")) + gamma * role_weight(F.col("role")) - delta * F.col("dup")
     return messages.withColumn("score", score).drop("newest")
 
 
@@ -78,8 +85,7 @@ def build_context(messages: DataFrame, vectors: DataFrame, queries: DataFrame, b
     newest = told.groupBy(*THREAD).agg(F.max("ts").alias("newest"))
     rows = told.join(newest, THREAD).join(chosen, KEY).join(vectors, KEY, "left").join(queries.select("query_id", "q"), "query_id")
     sim = F.coalesce(cosine(F.col("q"), F.col("embedding")), F.lit(0.0))
-    weight = F.coalesce(F.element_at(F.array(*map(F.lit, ROLE_WEIGHTS)), F.when(F.col("role").between(0, 3), F.col("role") + 1).cast("int")), F.lit(0.0))
-    rows = rows.withColumn("sim", sim).withColumn("score", sim + 0.3 * recency(F.col("newest"), F.col("ts")) + 0.1 * weight - 0.5 * F.col("dup"))
+    rows = rows.withColumn("sim", sim).withColumn("score", sim + 0.3 * recency(F.col("newest"), F.col("ts")) + 0.1 * role_weight(F.col("role")) - 0.5 * F.col("dup"))
     fit = within_budget(rows, budget, ["query_id"])
     best = fit.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "msg_id"))).filter(F.col("r") <= rerank)
     return best.select("query_id", *KEY, F.row_number().over(Window.partitionBy("query_id").orderBy("ts", "msg_id")).alias("turn"), "content")
