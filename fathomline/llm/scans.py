@@ -256,9 +256,9 @@ def _page_value(page: Column) -> Column:
 
 def layout(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Running heads ``(k, head)`` on two pages or more, and page numbers ``(k, at)`` that count on."""
-    heads = marks.filter("head is not null").groupBy("k", "head").agg(F.count("*").alias("n")).filter("n > 1").select("k", "head")
+    heads = marks.filter("head is not null").groupBy("k", "head").agg(F.countDistinct("at").alias("n")).filter("n > 1").select("k", "head")
     order = Window.partitionBy("k").orderBy("at")
-    numbers = marks.filter("page is not null").select("k", "at", _page_value(F.col("page")).alias("v"), "page")
+    numbers = marks.filter("page is not null").select("k", "at", _page_value(F.col("page")).alias("v"), "page").distinct()
     before, after = F.col("v") - F.lag("v").over(order), F.lead("v").over(order) - F.col("v")
     # Printed numbers go up by one from page to page; other numbers on lines of their own don't.
     next_to = F.coalesce((before == 1) | (after == 1), F.lit(False))
@@ -317,7 +317,7 @@ def repaired(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     kept = kept.withColumn("before", F.last(F.when(~blank, F.col("line")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("gap", F.coalesce(F.lag(blank).over(order), F.lit(True)))
     kept = kept.filter(~blank)
     # A blank line is a paragraph only after an end of sentence; within one it is a page break.
-    new = F.col("gap") & F.coalesce(F.col("before").rlike(r"[.!?:…\"»”)]$") | (F.length("before") < 50) & ~F.col("before").rlike(r"[-‐‑\x{AD}¬,]$"), F.lit(True))
+    new = F.col("gap") & F.coalesce(F.col("before").rlike(r"[.!?:…\"»”)]$") | (F.length("before") < 50) & ~F.col("before").rlike(r"[-‐‑\x{AD}¬,]$") & ~F.col("line").rlike(r"^\p{Ll}"), F.lit(True))
     kept = kept.withColumn("para", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     paras = kept.groupBy("k", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("p"))
     whole = F.regexp_replace(F.regexp_replace("p", r"(?<=\p{L})[‐\x{AD}¬]\n(?=\p{L})|(?<=\p{Ll})-\n(?=\p{Ll})", ""), r"([-‐‑])\n", "$1")
