@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vector_neighbours.close_pairs(_table(spark, d, "chunk_vectors"))
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    near = vector_neighbours.nearest(_table(spark, d, "chunk_vectors"), "chunk_id", "embedding")
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.markup_found(_table(spark, d, "documents"))
 
@@ -79,7 +84,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_texts)}
 
 
 _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ts NULLS LAST, conv_id, branch_id, role) AS rn FROM messages) WHERE rn = 1)"""

@@ -99,8 +99,8 @@ def curve_keys(df: DataFrame, key: str, vector: str, dim: int, count: int, axes:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null").mapInArrow(run, "id long, q binary, keys array<long>")
 
 
-def window_candidates(ordered: DataFrame, dim: int, k: int, window: int, least: float) -> DataFrame:
-    """``(id, other, sim)``: of each ordering's windows, up to ``k`` candidates for each vector, at least ``least`` similar.
+def window_candidates(ordered: DataFrame, dim: int, k: int, window: int) -> DataFrame:
+    """``(id, other, sim)``: of each ordering's windows, up to ``k`` candidates for each vector, at least its ``floor`` similar.
 
     A vector sees its own block of ``window`` vectors and the blocks before
     and after it.
@@ -110,11 +110,11 @@ def window_candidates(ordered: DataFrame, dim: int, k: int, window: int, least:
         x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype("f4")
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def pick(ids, x, others, y):
+    def pick(ids, floor, x, others, y):
         sim = x @ y.T
         sim[ids[:, None] == others[None, :]] = -2
-        if least > 0:
-            i, j = np.nonzero(sim >= least)
+        if (floor > -1).all():
+            i, j = np.nonzero(sim >= floor[:, None])
             s = sim[i, j]
             if len(i) > k:
                 o = np.lexsort((others[j], -s, i))
@@ -125,24 +125,22 @@ def window_candidates(ordered: DataFrame, dim: int, k: int, window: int, least:
         m = min(k, sim.shape[1])
         j = np.argpartition(-sim, m - 1, axis=1)[:, :m]
         s = np.take_along_axis(sim, j, 1)
-        use = s >= max(least, -1.5)
+        use = s >= np.maximum(floor, -1.5)[:, None]
         return np.repeat(ids, m).reshape(-1, m)[use], others[j][use], s[use]
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the blocks before, the block
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # up to three blocks in a row
         rest, now = None, None
 
-        def ready(block, last=False):
+        def ready(block):
             """The middle block, once the one after it is known."""
             held.append(block)
             if len(held) > 3:
                 held.pop(0)
-            if len(held) == 1:
-                return None if not last else (held[0], held)
-            return (held[-2], held)
+            return (held[-2], held) if len(held) > 1 else None
 
         def emit(middle, blocks):
-            a, b, s = pick(*middle, np.concatenate([i for i, _ in blocks]), np.concatenate([x for _, x in blocks]))
+            a, b, s = pick(*middle, np.concatenate([i for i, _, _ in blocks]), np.concatenate([x for _, _, x in blocks]))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype("f4"))], ["id", "other", "sim"])
 
         def close():
@@ -155,50 +153,57 @@ def window_candidates(ordered: DataFrame, dim: int, k: int, window: int, least:
 
         for batch in batches:
             order = batch.column(0).to_numpy()
-            ids, x = batch.column(1).to_numpy(), unpack(batch.column(2))
+            ids, x, floor = batch.column(1).to_numpy(), unpack(batch.column(2)), batch.column(3).to_numpy()
             for o in np.unique(order):
                 part = order == o
-                pi, px = ids[part], x[part]
+                now_rows = (ids[part], floor[part], x[part])
                 if now is not None and o != now:
                     yield from close()
                     held, rest = [], None
                 now = o
                 if rest is not None:
-                    pi, px = np.concatenate([rest[0], pi]), np.concatenate([rest[1], px])
-                n = len(pi) // window * window
+                    now_rows = tuple(np.concatenate(v) for v in zip(rest, now_rows, strict=True))
+                n = len(now_rows[0]) // window * window
                 for s in range(0, n, window):
-                    out = ready((pi[s : s + window], px[s : s + window]))
+                    out = ready(tuple(v[s : s + window] for v in now_rows))
                     if out:
                         yield emit(*out)
-                rest = (pi[n:], px[n:])
+                rest = tuple(v[n:] for v in now_rows)
         yield from close()
 
-    return ordered.select("o", "id", "q").mapInArrow(run, "id long, other long, sim float")
+    return ordered.select("o", "id", "q", "floor").mapInArrow(run, "id long, other long, sim float")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, orderings: int = 8, axes: int = 8, bits: int = 6, window: int = 256, least: float = 0.0, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, orderings: int = 32, axes: int = 8, bits: int = 6, window: int = 768, least: float = 0.0, turn: int = 8, seed: int = 7) -> DataFrame:
     """``(id, other, cosine, rank)``: up to ``k`` most similar others of every vector, cosine at least ``least`` if that is above 0.
 
-    ``least`` reaches into the windows, so a search for close vectors never
-    shuffles the candidates that it would throw away.
+    ``turn`` orderings are taken at a time; each vector then brings the
+    similarity of its worst neighbour so far to the next ones, whose windows
+    only pass on what is better. ``least`` works the same way from the start.
     """
     one = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
     table = cut(curve_keys(one, "id", "v", dim, orderings, axes, bits, seed))
-    rows = table.select("id", "q", F.posexplode("keys").alias("o", "h"))
-    # The id is part of the range key: a hot key splits over partitions.
-    ordered = rows.repartitionByRange("o", "h", "id").sortWithinPartitions("o", "h", "id")
     spare = k + 6
-    found = window_candidates(ordered, dim, spare, window, least - SLACK if least > 0 else 0.0)
-    merged = found.groupBy("id", "other").agg(F.max("sim").alias("sim"))
-    first = cut(merged)
-    unique = one.groupBy("id").agg(F.min("v").alias("v"))
+    first = None
+    for start in range(0, orderings, turn):
+        rows = table.select("id", "q", F.slice("keys", start + 1, turn).alias("keys"))
+        bound = F.lit(least - SLACK if least > 0 else -2.0).cast("float")
+        if first is None:
+            rows = rows.withColumn("floor", bound)
+        else:
+            worst = first.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("s")).filter(F.col("n") >= spare).select("id", "s")
+            rows = rows.join(worst, "id", "left").withColumn("floor", F.greatest(bound, F.coalesce("s", bound))).drop("s")
+        # The id is part of the range key: a hot key splits over partitions.
+        ordered = rows.select("id", "q", "floor", F.posexplode("keys").alias("o", "h")).repartitionByRange("o", "h", "id").sortWithinPartitions("o", "h", "id")
+        found = window_candidates(ordered, dim, spare, window)
+        merged = (found if first is None else found.unionByName(first)).groupBy("id", "other").agg(F.max("sim").alias("sim"))
+        if least <= 0:
+            merged = merged.withColumn("r", F.row_number().over(_by("id", F.desc("sim"), "other"))).filter(F.col("r") <= spare).drop("r")
+        first = cut(merged)
     if least > 0:
         wanted = first.select("id").union(first.select("other")).distinct()
-        vectors = cut(one.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
-    else:
-        vectors = unique
-        nth = F.row_number().over(_by("id", F.desc("sim"), "other"))
-        first = first.withColumn("r", nth).filter(F.col("r") <= spare).drop("r")
+        one = cut(one.join(wanted, "id", "left_semi"))
+    vectors = one.groupBy("id").agg(F.min("v").alias("v"))
     pairs = first.select("id", "other").join(vectors.withColumnRenamed("v", "va"), "id").join(vectors.select(F.col("id").alias("other"), F.col("v").alias("vb")), "other")
 
     def exact(batches):
@@ -218,7 +223,10 @@ def _by(key, *order):
     return Window.partitionBy(key).orderBy(*order)
 
 
-def close_pairs(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", least: float = 0.9, k: int = 10, **how) -> DataFrame:
-    """Pairs ``(key_a, key_b)`` of which one is among the ``k`` nearest of the other, with a cosine of at least ``least``."""
-    near = nearest(df, key, vector, k, least=least, **how)
+def close_pairs(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", least: float = 0.9, k: int = 10, orderings: int = 8, window: int = 256, **how) -> DataFrame:
+    """Pairs ``(key_a, key_b)`` of which one is among the ``k`` nearest of the other, with a cosine of at least ``least``.
+
+    Close vectors lie close on most curves, so a quarter of the orderings do.
+    """
+    near = nearest(df, key, vector, k, least=least, orderings=orderings, window=window, **how)
     return near.select(F.least("id", "other").alias(f"{key}_a"), F.greatest("id", "other").alias(f"{key}_b")).distinct()
