@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import cut
 
 K1, B = 0.9, 0.4
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(term, df, cf, idf)`` over all texts."""
-    tokens = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    tokens = docs.select(tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
     n = docs.agg(F.count("*").alias("n"))
-    # One row for each distinct term of a text: its count never shuffles apart from it.
-    per = tokens.select("id", F.explode(F.array_distinct("tokens")).alias("term"), "tokens").select("term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
-    stats = per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # A text counts each of its terms once for df and every token for cf; both are added up before the shuffle.
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    rows = tokens.select(F.explode(F.concat(once, each)).alias("t"))
+    stats = rows.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf"))
     return stats.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
@@ -34,8 +37,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text: str = "text
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     wanted = F.broadcast(terms.agg(F.collect_set("term").alias("wanted")))  # as large as the query set
     tokens = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    held = tokens.crossJoin(wanted).select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains("wanted", t)).alias("hits"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    # One pass over the texts leaves their lengths and the few tokens that matter.
+    held = cut(tokens.crossJoin(wanted).select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains("wanted", t)).alias("hits")))
+    corpus = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = held.filter(F.size("hits") > 0).select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(corpus))
