@@ -22,6 +22,7 @@ text is reported once for each item; empty tables give an empty result.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import alnum_table, decode, owners, segment_hash, slices
-from .lookalikes import canonical_text, settle, skeleton
+from .lookalikes import settled, skeleton
 from .markup import clean
 from .scans import BROKEN, head_of, number_on
 
@@ -39,31 +40,36 @@ BAND = 256
 #: Items indexed at once; a block's index is a few megabytes.
 BLOCK = 20_000
 # Glyphs that a scanner takes for one another, one by one.
-_GLYPHS = {"c": "e", "5": "s", "0": "o", "@": "a", "!": "i", "1": "i", "|": "i", "l": "i", "9": "g", "b": "h", "8": "h", "6": "é", "7": "t", "f": "t", "и": "n", "т": "m", "б": "é"}
+_GLYPHS = {"c": "e", "5": "s", "0": "o", "@": "a", "1": "i", "|": "i", "l": "i", "9": "g", "b": "h", "8": "h", "6": "e", "7": "t", "f": "t", "и": "n", "т": "m", "б": "e"}
 _TAGGED = re.compile(r"<[!/a-zA-Z][^<>]{0,400}>|&#?\w{1,8};")
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For each code point its skeleton letter, 0 for what is no letter."""
+    """For each code point its skeleton letter, 0 for what is no letter.
+
+    Accents go, so composed and decomposed letters agree without composing;
+    invisible characters and marks are no letters and vanish.
+    """
     keep, lower = alnum_table()
-    out = np.where(keep, skeleton(lower), 0).astype(np.uint32)
-    low = lower[out]
-    out = np.where(out > 0, low, 0).astype(np.uint32)
+    out = np.zeros(0x110000, np.uint32)
+    at = np.flatnonzero(keep)
+    plain = np.array([ord(unicodedata.normalize("NFD", chr(c))[0]) for c in at], np.uint32)
+    out[at] = lower[skeleton(settled(plain))]
+    out[at] = np.array([ord(unicodedata.normalize("NFD", chr(c))[0]) for c in out[at]], np.uint32)
     fold = np.arange(0x110000, dtype=np.uint32)
     for a, b in _GLYPHS.items():
         fold[ord(a)] = ord(b)
     out = fold[out]
-    for a in "@!|":
+    for a in "@|":
         out[ord(a)] = ord(_GLYPHS[a])
-    out[ord("!")] = 0  # an exclamation mark more often than a letter
     return out
 
 
 def letter_stream(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Skeleton letters and offsets of an array of texts."""
-    flat, offsets = settle(*decode(array))
-    letters = _letters()[np.minimum(flat, 0x10FFFF)]
+    flat, offsets = decode(array)
+    letters = _letters()[flat]
     keep = letters > 0
     return letters[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
@@ -248,7 +254,7 @@ def put_in_order(text: str) -> str:
 def _verify(texts: list[str], doc: np.ndarray, item: np.ndarray, items: Items, width: int = 96) -> np.ndarray:
     """Whether the text ``doc`` holds ``items.words`` consecutive words of ``item``, for each candidate."""
     own, at = np.unique(doc, return_inverse=True)
-    letters, offsets = letter_stream(canonical_text(pa.array([put_in_order(texts[d]) for d in own], pa.string())))
+    letters, offsets = letter_stream(pa.array([put_in_order(texts[d]) for d in own], pa.string()))
     q, margin = 8, 24
     grams = segment_hash(letters, np.arange(max(0, len(letters) - q + 1)), np.arange(q, max(q, len(letters) + 1)))
     ok = np.zeros(len(doc), bool)

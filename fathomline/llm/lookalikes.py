@@ -172,6 +172,12 @@ def settle(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _compose(flat, offsets, t)
 
 
+def settled(flat: np.ndarray) -> np.ndarray:
+    """Single code points in their plain width; those that would vanish stay."""
+    to = _tables()["to"][flat]
+    return np.where(to == DROP, flat, to)
+
+
 def skeleton(flat: np.ndarray) -> np.ndarray:
     """Look-alike letters of other scripts as Latin ones: equal for texts that look the same."""
     return _tables()["latin"][flat]
@@ -180,9 +186,9 @@ def skeleton(flat: np.ndarray) -> np.ndarray:
 def readable(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Look-alike letters put into the script of their word.
 
-    The choice uses only letters that exist in one script and falls back to
-    the text's majority of such letters, so texts with equal skeletons get
-    equal results.
+    The choice uses only letters that exist in one script; a word without any
+    follows the nearest word that has some, the one after if both are as
+    near. Texts with equal skeletons thus get equal results.
     """
     t = _tables()
     if not len(flat):
@@ -191,18 +197,25 @@ def readable(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letter = script > 0
     first = np.zeros(len(flat) + 1, bool)
     first[offsets] = True
-    word = np.cumsum(letter & ~(np.concatenate([[False], letter[:-1]]) & ~first[:-1])) * letter
+    starts = letter & ~(np.concatenate([[False], letter[:-1]]) & ~first[:-1])
+    word = np.cumsum(starts) * letter
     n = int(word.max()) + 1
-    row = owners(offsets)
     sure = {k: np.bincount(word[script == k], minlength=n) for k in (1, 2, 3)}
-    rows = {k: np.bincount(row[script == k], minlength=len(offsets) - 1) for k in (1, 2)}
-    russian = (rows[2] > rows[1])[row]
-    to_cyrillic = np.where(sure[1] + sure[2] + sure[3] > 0, (sure[2] > 0) & (sure[2] >= sure[1]), False)[word]
-    to_cyrillic |= ((sure[1] + sure[2] + sure[3])[word] == 0) & russian
+    label = np.where((sure[2] > 0) & (sure[2] >= sure[1]), 2, np.where(sure[1] + sure[3] > 0, 1, 0))
+    label[0] = 0
+    row = np.full(n, -1)
+    row[1:] = owners(offsets)[starts]
+    place = np.arange(n)
+    before = np.maximum.accumulate(np.where(label > 0, place, 0))
+    after = np.minimum.accumulate(np.where(label > 0, place, n - 1)[::-1])[::-1]
+    far = 1 << 40
+    back = np.where((label[before] > 0) & (row[before] == row), place - before, far)
+    ahead = np.where((label[after] > 0) & (row[after] == row), after - place, far)
+    near = np.where(np.minimum(back, ahead) == far, 1, np.where(back < ahead, label[before], label[after]))
+    to_cyrillic = (np.where(label > 0, label, near) == 2)[word]
     greek = (sure[3][word] > 0) & (sure[1][word] == 0)
     out = np.where((script == 8) & ~greek, t["latin"][flat], flat)
-    back = t["back"][out]
-    return np.where((script == 8) & to_cyrillic, back, out).astype(np.uint32)
+    return np.where((script == 8) & to_cyrillic, t["back"][out], out).astype(np.uint32)
 
 
 def canonical_text(array: pa.Array) -> pa.Array:

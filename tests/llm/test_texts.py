@@ -59,6 +59,8 @@ def test_same_look(a, b, same):
 def test_words_stay_in_their_script():
     texts = ["Проверкa зaписи", "pаge of tехt", None, ""]
     assert lookalikes.canonical_text(pa.array(texts)).to_pylist() == ["Проверка записи", "page of text", None, ""]
+    mixed = "Новые листы и THE FORMAL AT REST, но со всеми. K63"
+    assert lookalikes.canonical_text(pa.array([mixed])).to_pylist() == ["Новые листы и THE FORMAL AT REST, но со всеми. К63"]
 
 
 def test_equal_looking(spark):
