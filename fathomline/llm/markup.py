@@ -47,7 +47,7 @@ _SIGNS = {
     "latex": re.compile(
         r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{"
         r"|\\(?:item|maketitle|begin|end|alpha|beta|gamma|frac|sqrt|sum|int|leq|geq|cdot|times|log|ldots|dots|LaTeX|noindent|newpage|tableofcontents|hline|par|it|bf|em|centering)\b(?![\\/])"
-        r"|\{\\(?:it|bf|em|tt|sc)\b|\\\[|\\\]|\$\$|(?<![\w$])\$[^$\n]*[\\^_{][^$\n]*\$|``[^`'\n]+''|\\\\(?:\[|$)|(?<=\w)\\[%&#_]|~\\|^%\s",
+        r"|\{\\(?:it|bf|em|tt|sc)\b|\\\[|\\\]|\$\$|(?<![\w$])\$(?!\d[\d.,]*\s+[^\W\d_]{2})[^$\n]*[\\^_{][^$\n]*\$|``[^`'\n]+''|\\\\(?:\[|$)|(?<=\w)\\[%&#_]|~\\|^%\s",
         re.M,
     ),
 }
@@ -65,7 +65,7 @@ _MARKDOWN = [
         ("[^", r"\[\^\w+\]"),
         ("]: ", r"^\[[^\]\n]+\]:\s"),
         ("`", r"(?<!`)`[^`\n]+`(?!`)|^```"),
-        ("> ", r"^>\s"),
+        ("> ", r"(?:\A|\n[ \t]*\n)>[ \t]+\S"),
         ("---", r"^\|?[ \t]*:?-{3,}:?[ \t]*\|[-| :]*$"),
         ("\n---", r"\w[^\n\w]*\n-{3,}[ \t]*$"),
         ("\n===", r"\w[^\n\w]*\n={3,}[ \t]*$"),
@@ -189,7 +189,7 @@ def _from_latex(s: str) -> str:
     s = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", "\n", s)
     s = re.sub(r"^[ \t]*\\item(?:\[([^\]]*)\])?\s*", r"- \1", s, flags=re.M)
     s = re.sub(r"\\\\(?:\[[^\]\n]*\])?", " ", s)
-    parts = re.split(r"(\$\$.*?\$\$|\$[^$\n]*[\\^_{][^$\n]*\$)", s, flags=re.S)
+    parts = re.split(r"(\$\$.*?\$\$|\$(?!\d[\d.,]*\s+[^\W\d_]{2})[^$\n]*[\\^_{][^$\n]*\$)", s, flags=re.S)
     for i in range(0, len(parts), 2):
         p = parts[i]
         for _ in range(3):

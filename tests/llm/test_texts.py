@@ -96,6 +96,9 @@ def test_equal_looking(spark):
         ("<pre>**no** [[link]]</pre>", {"html"}),
         ("\\begin{verbatim}\n<b>x</b> **y**\n\\end{verbatim}", {"latex"}),
         ("set max_chunk_size and min_chunk_size", set()),
+        ("$45 per [^2] seat or $97", {"markdown"}),
+        ("only if n < 6 and m\n> 31 for it", set()),
+        ("said:\n\n> quoted words", {"markdown"}),
         (None, set()),
         ("", set()),
     ],
