@@ -29,7 +29,7 @@ from .codepoints import slices
 CONFUSIONS = [
     ("e", "c"), ("s", "5"), ("a", "@"), ("o", "0"), ("i", "!"), ("l", "1"), ("l", "|"), ("d", "cl"), ("u", "ii"), ("ü", "ii"), ("m", "rn"),
     ("g", "9"), ("h", "b"), ("о", "0"), ("т", "m"), ("w", "vv"), ("и", "n"), ("li", "h"), ("é", "6"), ("б", "6"), ("t", "7"), ("ti", "fi"),
-    ("b", "8"), ("cl", "d"), ("rn", "m"), ("т", "7"), ("в", "8"), ("з", "3"), ("z", "2"), ("i", "1"), ("c", "e"), ("b", "h"), ("i", "l"), ("l", "i"), ("t", "f"),
+    ("b", "8"), ("cl", "d"), ("rn", "m"), ("т", "7"), ("в", "8"), ("з", "3"), ("z", "2"),
 ]
 # One representative for the glyphs that are taken for one another.
 _FROM, _TO = "c50о@!1|l9b8тибé27fзü", "esooaiiiighhmn66ztt3u"
@@ -38,10 +38,11 @@ TOKEN = re.compile(r"[\w!|@]{3,40}")
 BROKEN = re.compile(r"(?<=\w)[-‐‑\xad¬][ \t]*[\r\n\f]+[ \t]*(?=\w)")
 _BREAKS = [h + e for h in "-‐‑\xad¬" for e in ("\n", "\r", "\f", " \n")]
 _BREAK = re.compile(r"[-‐‑\xad¬][ \t]*[\r\n\f]+\s*\S")
+_CODE = re.compile(r"[^\W\d_]{2}[0-9]{2,}$|^[0-9]{2}")  # a name with a number
 _LONE = re.compile(r"[^\W\d_]{2}[0-9!|@][^\W\d_]{2}")
 STRONG = re.compile(r"[!|@]|[^\W\d_][0-9]|[0-9][^\W\d_]")
 #: how much more frequent the right form is than a misreading that itself looks like a word
-RATIO = 40
+RATIO = 60
 
 _N = r"[0-9lIOoSBZ]{0,3}[0-9lO][0-9lIOoSBZ]{0,3}"
 _PAGE = re.compile(rf"(?:[-–—]\s*({_N})\s*[-–—]|\[\s*({_N})\s*\]|(?:[pP](?:[a@]g[ec]|\.)|S\.|Seite|стр\.)\s*({_N})(?:\s+(?:of|0f|/)\s+{_N})?|({_N}))")
@@ -133,6 +134,8 @@ def misreadings(words: DataFrame) -> DataFrame:
                 for k, (n, word) in enumerate(forms):
                     bare = word.rstrip("!@")
                     strong = bool(STRONG.search(bare))
+                    if _CODE.search(bare):
+                        continue
                     for m, right in forms[:k]:
                         if m < (n + 1 if strong else max(20, RATIO * n)):
                             break
