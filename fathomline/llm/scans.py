@@ -266,7 +266,7 @@ def layout(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Printed numbers go up by one from page to page; other numbers on lines of their own don't.
     next_to = F.coalesce((before == 1) | (after == 1), F.lit(False))
     share = F.avg(F.col("chain").cast("int")).over(Window.partitionBy("k"))
-    pages = numbers.withColumn("chain", next_to).withColumn("share", share).filter("chain and share > 0.5").select("k", "at", "page")
+    pages = numbers.withColumn("chain", next_to).withColumn("share", share).filter("chain and share >= 0.5").select("k", "at", "page")
     return heads, pages
 
 

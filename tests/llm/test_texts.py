@@ -146,7 +146,7 @@ WORDS = "the sealed gearbox turns without losing any detail and this register co
 
 def corpus():
     rows = [(100 + i, " ".join(WORDS[i % 7 :] + WORDS[: i % 7])) for i in range(200)]
-    scan = "HEAVY FURNACE REPORT\nthe sealed gear-\nbox turns without losing any\n- 11 -\n\fHEAVY FURNACE REPORT\ndetail and th1s registcr confirms\nevery single movement of that\n- 12 -\n\fHEAVY FURNACE REPORT\nheavy furnace."
+    scan = "HEAVY FURNACE REPORT\nthe sealed gear-\nbox turns without losing any\n- 11 -\n\fHEAVY FURNACE REPORT\ndetail and th!s registcr confirms\nevery single movement of that\n- 12 -\n\fHEAVY FURNACE REPORT\nheavy furnace."
     return [*rows, (1, scan), (2, None), (3, ""), (4, "12\n45\n12"), (5, "a line\nwith bm25 and sha256\nand more"), (6, "x " * 300_000), (1, scan)]
 
 
