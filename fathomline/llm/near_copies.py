@@ -212,3 +212,25 @@ def near_copies(df: DataFrame, key: str, text: str, order: str | None = None, wh
     brief = members.filter("copy is null")
     found = found.select("x", "y").unionByName(brief.select("cls", F.col("id").alias("x")).join(brief.select("cls", F.col("id").alias("y")), "cls").filter("x < y").select("x", "y"))
     return found.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+def groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``(id, group, links)`` of everything in ``pairs``: the smallest id that links lead to, and the number of its own links.
+
+    Labels travel along links and jump to the label of their label, so rounds
+    grow with the logarithm of a group's width; every round is a written table.
+    """
+    one = pairs.select(F.col(a).alias("id"), F.col(b).alias("other"))
+    edges = cut(one.union(one.select("other", "id")).distinct())
+    now = cut(edges.groupBy("id").agg(F.least("id", F.min("other")).alias("group")))
+    while True:
+        told = edges.join(now.select(F.col("id").alias("other"), F.col("group").alias("g")), "other").groupBy("id").agg(F.min("g").alias("g"))
+        near = now.join(told, "id").select("id", "group", F.least("group", "g").alias("new"))
+        # One label back: the label that the new label has itself.
+        jump = near.join(now.select(F.col("id").alias("new"), F.col("group").alias("far")), "new").select("id", "group", F.least("new", "far").alias("new"))
+        step = cut(jump)
+        changed = step.filter("new <> group").limit(1).count()
+        now = step.select("id", F.col("new").alias("group"))
+        if not changed:
+            break
+    return now.join(edges.groupBy("id").agg(F.count("*").alias("links")), "id")

@@ -51,6 +51,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copies(_table(spark, d, "messages"), "msg_id", "content", "ts", F.col("role").isin(1, 2))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.groups(p5_found(spark, d), "msg_id_a", "msg_id_b").withColumnRenamed("id", "msg_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_noise(_table(spark, d, "documents"))
 
@@ -84,7 +88,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p5_groups, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_texts)}
 
 
 _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ts NULLS LAST, conv_id, branch_id, role) AS rn FROM messages) WHERE rn = 1)"""

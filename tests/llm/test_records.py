@@ -204,6 +204,20 @@ def test_crowded_buckets_lose_nothing(spark):
     assert pairs == near([tuple(r) for r in df.collect()])
 
 
+def test_groups(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 51), (200, 201)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    edges = [(a, b) for a, b in edges if a != b]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.id: (r.group, r.links) for r in near_copies.groups(spark.createDataFrame([*edges, edges[0]], "a long, b long"), "a", "b").collect()}
+    links = {x: len({b if a == x else a for a, b in edges if x in (a, b)}) for x in label}
+    assert got == {x: (label[x], links[x]) for x in label}
+    assert near_copies.groups(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 62, 300).astype(np.uint64)
