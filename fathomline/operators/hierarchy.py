@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .dedup import numbered
 
 STAY, LEAF, CHAIN = 0, 1, 2
 _STATE = "id long, root long, depth long, state string, below long, path array<long>"
@@ -120,12 +121,13 @@ def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, no
     """``(id, root, depth, state, below, path)`` of every node.
 
     ``depth`` of a root is 0, ``below`` is the number of descendants, ``path``
-    leads from the root to the node itself. ``block`` bounds the ids that one
-    task contracts by itself.
+    leads from the root to the node itself. ``block`` bounds the nodes that
+    one task contracts by itself: they are neighbours in the order of ids,
+    however far apart the ids are.
     """
-    links = cut(_links(df, key, parent, order, none))
+    links = numbered(_links(df, key, parent, order, none), ["id"], "place")
     kids = links.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n"))
-    nodes = links.join(kids, "id", "left").select("id", "up", "missing", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("id") / block).alias("block"))
+    nodes = links.join(kids, "id", "left").select("id", "up", "missing", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"place div {int(block)}").alias("block"))
     full = "id long, up long, missing boolean, n long, block long, own long, steps long, kind int, seq long, only long, seg array<long>"
     local = cut(nodes.groupBy("block").applyInPandas(lambda rows: _contract_block(rows, paths), full))
 
@@ -172,9 +174,10 @@ def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, no
             gone = state.filter(F.col("kind") == kind)
             if not gone.isEmpty():
                 known = known.unionByName(cut(restore(gone, known, kind == CHAIN)))
-    known = known.withColumn("block", F.floor(F.col("id") / block))
+    stay = local.filter(F.col("kind") == STAY).select("id", F.col("block").alias("part"))
+    held = known.join(stay, "id").select("id", "root", "depth", "state", "below", "path", "part")
     gone = local.filter(F.col("kind") != STAY).groupBy("block")
-    return known.drop("block").unionByName(gone.cogroup(known.groupBy("block")).applyInPandas(lambda rows, have: _restore_block(rows, have, paths), _STATE))
+    return known.unionByName(gone.cogroup(held.groupBy("part")).applyInPandas(lambda rows, have: _restore_block(rows, have, paths), _STATE))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:

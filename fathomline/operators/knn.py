@@ -36,7 +36,7 @@ def flat_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
         raise ValueError(f"no metric {metric}; there are {METRICS}")
     spark = vectors.sparkSession
     stated = queries.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).filter("query_id is not null and q is not null")
-    # Without a list of queries on the driver: each block is a filter on its hash.
+    # The driver holds one block of the stated queries at a time.
     parts = max(1, -(-stated.count() // block))
     out = None
     for p in range(parts):

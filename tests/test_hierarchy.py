@@ -73,3 +73,8 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, None, 0.0), (2, 1, 0.0), (3, 2, 0.0)], SCHEMA)
     got = sorted(tuple(r) for r in descendants(hierarchy(df, "id", "up")).collect())
     assert got == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
+
+
+def test_ids_far_apart(spark):
+    big = 1 << 53
+    compare(spark, {big * i: (big * (i - 1) if i else None) for i in range(60)} | {-7: big * 3, big * 59 + 1: -7}, 8)

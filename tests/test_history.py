@@ -73,3 +73,28 @@ def test_roles_merge(spark):
     assert "S1: T. \nD" in dialog.guard_prompt(view, [("S1", "T", "D")]).first().prompt
     kept = dialog.guarded(df, spark.createDataFrame([("d", 2, "unsafe\nS1"), ("d", 3, "safe")], "dialog_id string, turn long, answer string"))
     assert kept.count() == 6
+
+
+def test_activity_windows(spark, tmp_path):
+    spark.createDataFrame(ROWS + [("c1", "main", 5, 1, 7300.0, 4, 4, "late")], NEW).write.parquet(str(tmp_path / "in"))
+    stream = log.thread_activity(spark.readStream.schema(NEW).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.sql("select conv_id, messages, tokens from activity order by window").collect()
+    assert [tuple(r) for r in rows] == [("c1", 4, 21), ("c1", 1, 4)]
+
+
+def test_reads_of_the_log(spark):
+    df = spark.createDataFrame(ROWS, NEW)
+    assert [r.msg_id for r in history.latest(df, 2).collect()] == [4, 3]
+    assert sorted(r.msg_id for r in history.recent(df, 2).collect()) == [3, 4]
+    keys = df.filter("msg_id in (1, 3)").select("conv_id", "branch_id", "msg_id")
+    assert history.by_keys(df, keys.union(keys)).count() == 2
+
+
+def test_scores_of_unknown_roles(spark):
+    rows = [("c", "b", 1, None, 10.0, 7), ("c", "b", 2, 9, 10.0, 7), ("c", "b", 3, 1, 10.0, None)]
+    df = spark.createDataFrame(rows, "conv_id string, branch_id string, msg_id long, role int, ts double, simhash_i64 long")
+    got = {r.msg_id: r.score for r in history.context_score(history.duplicate_penalty(df)).collect()}
+    assert got[1] == got[2] == pytest.approx(0.3 - 0.5)
+    assert got[3] is None or got[3] == pytest.approx(0.4 - 0.5, abs=0.6)
