@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -92,10 +93,10 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], words: int, common: int, q: int = Q, need: int = 10):
         self.ids, self.words, self.q, self.need = np.array(ids, np.int64), words, q, need
-        self.starts = [[m.span() for m in re.finditer(r"[^\W_]+", t)] for t in texts]
+        spans = [[m.span() for m in re.finditer(r"[^\W_]+", t)] for t in texts]
         array = pa.array(texts, pa.string())
         self.letters, self.offsets = letter_stream(array)
-        flat = [letter_stream(pa.array([t[a:b] for a, b in s], pa.string()))[1] if s else np.zeros(1, np.int64) for t, s in zip(texts, self.starts, strict=True)]
+        flat = [letter_stream(pa.array([t[a:b] for a, b in s], pa.string()))[1] if s else np.zeros(1, np.int64) for t, s in zip(texts, spans, strict=True)]
         self.word_ends = flat  # in letters of the item
         h, row, at = _grams(self.letters, self.offsets, q)
         pairs = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1)
@@ -118,8 +119,6 @@ class Items:
 
 def phrases(texts: list[str], least: int = 3, share: float = 0.02) -> list[str]:
     """Leading phrases that many items have in common: instructions, not content."""
-    from collections import Counter
-
     seen: Counter = Counter()
     tokens = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
     for t in tokens:

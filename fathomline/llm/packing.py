@@ -106,7 +106,7 @@ def ranked(rows: DataFrame, key: str, salts: int) -> DataFrame:
     counts = rows.groupBy("n", "salt").agg(F.count("*").alias("c"))
     base = counts.select("n", "salt", (F.sum("c").over(Window.partitionBy("n").orderBy("salt")) - F.col("c")).alias("base"))
     within = F.row_number().over(Window.partitionBy("n", "salt").orderBy(key, "piece")) - 1
-    return rows.withColumn("within", within).join(F.broadcast(base), ["n", "salt"]).withColumn("rank", F.col("base") + F.col("within")).drop("salt", "within", "base")
+    return rows.withColumn("within", within).join(base, ["n", "salt"]).withColumn("rank", F.col("base") + F.col("within")).drop("salt", "within", "base")
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, path: str = VOCABULARY, salts: int | None = None) -> DataFrame:
