@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
 from ..session import cut
+from .knn import flat_knn
 from .lexical import top
 
 
@@ -48,7 +49,8 @@ class Ivf:
         """``(query_id, id, distance, rank)`` over the ``nprobe`` non-empty cells nearest to each query ``(query_id, q)``.
 
         Distances are exact within the probed cells; with all cells probed the
-        result is that of a flat search.
+        result is that of a flat search. Where the probed cells hold fewer than
+        ``k`` rows, a flat search fills up.
         """
         spark = self.postings.sparkSession
         held = spark.sparkContext.broadcast(self.centroids)
@@ -66,7 +68,19 @@ class Ivf:
 
         probes = queries.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).mapInArrow(probe, "query_id long, q array<double>, cell long")
         scored = self.postings.join(probes, "cell").select("query_id", "id", distance(self.metric, F.col("q"), F.col("v")).alias("distance"))
-        return top(scored, k, "distance", ascending=True)
+        return filled(top(scored, k, "distance", ascending=True), self.postings, queries, k, self.metric)
+
+
+def filled(found: DataFrame, postings: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """``found``, in which queries with fewer than ``k`` rows get the nearest others of an exact flat search."""
+    found = cut(found.select("query_id", "id", "distance", "rank"))
+    short = queries.select(F.col("query_id").cast("long"), "q").join(found.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    if short.isEmpty():
+        return found
+    more = flat_knn(postings, short, k, metric, vector="v").join(found, ["query_id", "id"], "left_anti")
+    both = found.withColumn("flat", F.lit(0)).unionByName(more.withColumn("flat", F.lit(1)))
+    kept = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("flat", "distance", "id"))).filter(F.col("r") <= k)
+    return top(kept.select("query_id", "id", "distance"), k, "distance", ascending=True)
 
 
 def build(vectors: DataFrame, cells: int = 4096, metric: str = "cosine", id_: str = "id", vector: str = "embedding", sample: int = 50_000, seed: int = 0, path: str | None = None) -> Ivf:
@@ -156,4 +170,5 @@ def code_search(index: Ivf, coded: DataFrame, books: np.ndarray, queries: DataFr
     near = coded.join(luts, "cell").select("query_id", "id", "code", "lut").mapInArrow(score, "query_id long, id long, near double")
     short = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id"))).filter(F.col("r") <= refine)
     full = short.join(index.postings.select("id", "v"), "id").join(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")), "query_id")
-    return top(full.select("query_id", "id", distance(index.metric, F.col("q"), F.col("v")).alias("distance")), k, "distance", ascending=True)
+    best = top(full.select("query_id", "id", distance(index.metric, F.col("q"), F.col("v")).alias("distance")), k, "distance", ascending=True)
+    return filled(best, index.postings, queries, k, index.metric)

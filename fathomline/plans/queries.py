@@ -123,14 +123,14 @@ def ivf_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def ivf_knn_probed(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
-    return _hits(ivf.build(e, 32).search(_query_vectors(e), 10, nprobe=8))
+    return _hits(ivf.build(e, 32).search(_query_vectors(e), 10, nprobe=24))
 
 
 def pq_knn(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
     index = ivf.build(e, 32, "l2")
     coded, books = ivf.product_codes(index, 16, 64)
-    return _hits(ivf.code_search(index, coded, books, _query_vectors(e), 10, nprobe=16))
+    return _hits(ivf.code_search(index, coded, books, _query_vectors(e), 10, nprobe=24))
 
 
 def vector_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import vectors as V
 from fathomline.operators import dedup, ivf, knn, lexical, retrieval
+from fathomline.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +48,28 @@ def test_cells_equal_flat_when_all_are_probed(spark, points):
     assert near == flat
 
 
+@pytest.mark.parametrize(("name", "metric"), [("ivf_knn_probed", "cosine"), ("pq_knn", "l2")])
+def test_registered_searches_find_true_neighbours(spark, name, metric):
+    """Recall of the registered parameters, each query's own row included."""
+    d = "/root/testdata/sf0.01"
+    e = queries._embeddings(spark, d)
+    true = {(r.query_id, r.id) for r in knn.flat_knn(e, queries._query_vectors(e), 10, metric).collect()}
+    got = {(r.query_id, r.id) for r in queries.queries()[name](spark, d).collect()}
+    assert len(got) == len(true) and len(got & true) >= 0.9 * len(true)
+
+
+def test_short_cells_are_filled(spark, points):
+    _, df = points
+    df = df.filter("id < 300")
+    q = df.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    index = ivf.build(df, 10, "l2")
+    coded, books = ivf.product_codes(index, 4, 16)
+    for found in (index.search(q, 120, nprobe=1), ivf.code_search(index, coded, books, q, 120, nprobe=1)):
+        rows = found.collect()
+        assert sorted((r.query_id, r["rank"]) for r in rows) == [(i, k) for i in range(0, 300, 50) for k in range(1, 121)]
+        assert len({(r.query_id, r.id) for r in rows}) == len(rows)
+
+
 def test_filter_and_metric_errors(points):
     _, df = points
     assert knn.filtered(df, {"label": 1, "id": 4}).count() == 1
