@@ -49,6 +49,8 @@ _PAGE = re.compile(rf"(?:[-–—]\s*({_N})\s*[-–—]|\[\s*({_N})\s*\]|(?:[pP]
 _GAP = re.compile(r"\s{2,}|\t")
 _NAME = re.compile(r"[^\W\d_]{3}")
 _MASK = re.compile(r"[0-9]+(?![^\W\d_])")
+# A row of a table; a single sign before a letter is a letter misread.
+_ROW = re.compile(r"\|(?![^\W\d_])|\|.*(?:\s\||\|\s|\|\|)")
 _LINES = re.compile(r"\r\n|[\n\r\f]")
 
 
@@ -205,7 +207,7 @@ def number_on(line: str) -> tuple[str | None, str | None]:
 
 def head_of(line: str | None) -> str | None:
     """The skeleton of a line that could be a running head, digits masked."""
-    if not line or line[-1] in ".,;:?|<>{}" or line[0] in "#|<{\\*>=" or not _NAME.search(line):
+    if not line or line[-1] in ".,;:?|<>{}" or line[0] in "#<{\\*>=" or _ROW.match(line) or not _NAME.search(line):
         return None
     return skeleton(_MASK.sub("9", line).lower())
 
@@ -230,14 +232,14 @@ def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
                     rows.append((i, -1, "paged", None, None))
                 if _LONE.search(t):
                     rows.append((i, -1, "lone", None, None))
-                plain = not any(x in t for x in _STRUCTURE) and t[:2] != "# "
                 heads: Counter = Counter()
                 found = []
-                for at, line in enumerate(_LINES.split(t)):
-                    line = line.strip()
+                lines = [x.strip() for x in _LINES.split(t)]
+                marked = marked_lines(lines) if t[:2] == "# " or any(x in t for x in _STRUCTURE) else ()
+                for at, line in enumerate(lines):
                     if 0 < len(line) <= 90:
                         page, rest = number_on(line)
-                        head = head_of(rest) if plain else None
+                        head = None if at in marked else head_of(rest)
                         if head:
                             heads[head] += 1
                         if page or head:
@@ -249,8 +251,36 @@ def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(run, f"k {kind}, at int, kind string, page string, head string")
 
 
-# Texts in a markup language are no scans: their repeated lines are structure.
+# Without one of these a text has no lines in a markup language.
 _STRUCTURE = ("```", "</", "\\begin{", "\\section", "{|", "\n|", "[[", "'''", "](", "{{", "\n# ", "\n## ", "====")
+_MARKED = re.compile(r"```|</|\\(?:begin|end)\{|\\section|\{\||\[\[|'''|\]\(|\{\{|====|^#{1,6} |^[-*+] |^<|^\|\}")
+
+
+def marked_lines(lines: list[str]) -> set[int]:
+    """Which of the stripped ``lines`` are markup: repeated ones are structure, not running heads.
+
+    These are lines with markup, lines of fenced code, of tables and of LaTeX
+    environments, headings over ``===``, and a line between two of them.
+    """
+    out: set[int] = set()
+    end = -1
+    for at, line in enumerate(lines):
+        if at <= end:
+            out.add(at)
+            continue
+        if line.startswith("```"):
+            end = next((i for i in range(at + 1, len(lines)) if lines[i].startswith("```")), len(lines))
+        elif line.startswith("{|"):
+            end = next((i for i in range(at + 1, len(lines)) if not lines[i] or lines[i].startswith("|}")), len(lines))
+        elif m := re.match(r"\\begin\{((?!document\})[^{}]*)\}", line):
+            end = next((i for i in range(at, len(lines)) if f"\\end{{{m.group(1)}}}" in lines[i]), -1)
+        if at <= end or _MARKED.search(line) or _ROW.match(line):
+            out.add(at)
+        if at and len(line) > 2 and not line.strip("="):
+            out.update((at - 1, at))
+    full = [i for i, x in enumerate(lines) if x]
+    out.update([b for a, b, c in zip(full, full[1:], full[2:], strict=False) if a in out and c in out])
+    return out
 
 
 def _page_value(page: Column) -> Column:

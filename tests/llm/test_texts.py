@@ -156,6 +156,15 @@ def test_scan_noise(spark):
     assert scans.scan_noise(df.limit(0)).count() == 0
 
 
+def test_markup_in_a_scan_keeps_its_heads(spark):
+    page = "Formal Report Tamir\nthe sealed gearbox turns\n{} without losing\n\fFormal Report Tamir\nany detail and every\nsingle movement."
+    table = "intro\n\n| Name of it\n| a\n\n| Name of it\n| b\n\n```\nreturn value\n\nreturn value\n```\n"
+    rows = [*((i, page.format(x)) for i, x in enumerate(("|ook-up", "see ](", "====", "</", "plain"))), (9, table)]
+    got = {r.doc_id for r in scans.scan_noise(spark.createDataFrame(rows, DOCS)).filter("noise = 'running_head'").collect()}
+    assert got == {0, 1, 2, 3, 4}
+    assert scans.head_of("|ook-up Office") == scans.head_of("look-up Office") and scans.head_of("|a | office") is None
+
+
 def test_repair(spark):
     rows = [r for i, r in enumerate(corpus()) if r[0] != 1 or i == 200]
     out = {r.doc_id: r.text for r in scans.repaired(spark.createDataFrame(rows, DOCS)).collect()}
