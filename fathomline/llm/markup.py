@@ -170,8 +170,16 @@ def _from_wiki(s: str) -> str:
     return re.sub(r"'{2,5}", "", s)
 
 
+_COMMENT = re.compile(r"^[ \t]*%[^\n]*", re.M)
+# Behind a number the sign is a percentage; behind other words it is a comment in LaTeX sources, not in prose with a scrap.
+_TRAILING = re.compile(r"(?<![\\\d])(?<!\d[ \xa0\u2009\u202f])%[ \t][^\n]*")
+_SOURCE = re.compile(r"\\(?:documentclass|usepackage|begin|(?:sub)*section|chapter)\b")
+
+
 def _from_latex(s: str) -> str:
-    s = re.sub(r"(?<!\\)%[ \t][^\n]*|^%[^\n]*$", "", s, flags=re.M)
+    s = _COMMENT.sub("", s)
+    if _SOURCE.search(s):
+        s = _TRAILING.sub("", s)
     s = re.sub(r"\\(?:documentclass|usepackage|bibliographystyle|bibliography|pagestyle)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:maketitle|tableofcontents|newpage|noindent|centering|hline|par)\b", "", s)
     notes: list[str] = []
     s = re.sub(r"\\footnote\{((?:[^{}]|\{[^{}]*\})*)\}", lambda m: notes.append(m.group(1)) or "", s)

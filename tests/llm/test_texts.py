@@ -126,6 +126,13 @@ def test_structure_stays():
     assert clean == "# Part\n\nThe old pump is not on.\n\na | b\n1 | 2\n\n```\nx = 1\n```"
 
 
+def test_percentages_stay_beside_latex():
+    prose = "The desk keeps 60% of the stock, 5 % of it old, and the % of loss is small. The \\emph{rest} stays."
+    assert markup.clean(prose)[0] == "The desk keeps 60% of the stock, 5 % of it old, and the % of loss is small. The rest stays."
+    source = "\\section{Part}\nIt holds 60% of all. % aside\n% a comment\n  % another\nThe end of it."
+    assert markup.clean(source)[0] == "## Part\n\nIt holds 60% of all.\n\nThe end of it."
+
+
 def test_plain_text_is_untouched():
     text = "No markup here,\n  as it is.  \n"
     assert markup.clean(text) == (text, set())
