@@ -40,6 +40,8 @@ Q = 16
 BAND = 256
 #: Items indexed at once; a block's index is a few megabytes.
 BLOCK = 20_000
+#: lines from a page number or form feed in which a page head stands
+NEAR = 3
 # Glyphs that a scanner takes for one another, one by one.
 _GLYPHS = {"c": "e", "5": "s", "0": "o", "@": "a", "1": "i", "|": "i", "l": "i", "9": "g", "b": "h", "8": "h", "6": "e", "7": "t", "f": "t", "и": "n", "т": "m", "б": "e"}
 _TAGGED = re.compile(r"<[!/a-zA-Z][^<>]{0,400}>|&#?\w{1,8};")
@@ -231,29 +233,52 @@ def longest_run(hit: np.ndarray, ends: np.ndarray) -> int:
 
 
 def put_in_order(text: str) -> str:
-    """A text as it should read: markup converted, broken words joined, page heads and numbers left out."""
-    text = clean(text)[0] or ""
+    """A text as it should read: markup converted, broken words joined, page heads and numbers left out.
+
+    A line that repeats is a page head only near a page number or form feed.
+    """
+    text = clean(text, blocks=True)[0] or ""
     if "\n" in text or "\f" in text:
-        lines = re.split(r"\r\n|[\n\r\f]", text)
+        pieces = re.split(r"(\r\n|[\n\r\f])", text)
         heads: dict[str, int] = {}
         parsed = []
-        for line in lines:
+        for line in pieces[::2]:
             line = line.strip()
             page, rest = number_on(line) if 0 < len(line) <= 90 else (None, line)
             head = head_of(rest) if rest and len(rest) <= 90 else None
             if head:
                 heads[head] = heads.get(head, 0) + 1
             parsed.append((page, rest, head))
-        kept = [rest or "" for page, rest, head in parsed if not (page and (not head or heads[head] > 1)) and not (head and heads[head] > 1)]
+        ends = {j for i, x in enumerate(pieces[1::2]) if x == "\f" for j in (i, i + 1)} | {i for i, x in enumerate(parsed) if x[0]}
+        paged = {j for i in ends for j in range(i - NEAR, i + NEAR + 1)}
+        kept = [rest or "" for i, (page, rest, head) in enumerate(parsed) if not (page and (not head or heads[head] > 1)) and not (head and heads[head] > 1 and i in paged)]
         text = re.sub(r"\n{2,}", "\n", "\n".join(kept)) if len(kept) < len(parsed) else "\n".join(kept)
         text = BROKEN.sub("", text)
     return text
 
 
-def _verify(texts: list[str], doc: np.ndarray, item: np.ndarray, items: Items, width: int = 96) -> np.ndarray:
-    """Whether the text ``doc`` holds ``items.words`` consecutive words of ``item``, for each candidate."""
+def untagged(text: str) -> str:
+    """A text without HTML tags and entities; all else stays."""
+    return _TAGGED.sub("", text) if "<" in text or "&" in text else text
+
+
+def _verify(texts: list[str], doc: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """Whether the text ``doc`` holds ``items.words`` consecutive words of ``item``, for each candidate.
+
+    The repaired text is tried first, then the untagged one, from which no line
+    or block is missing.
+    """
+    ok = _aligned(put_in_order, texts, doc, item, items)
+    rest = np.flatnonzero(~ok)
+    if len(rest):
+        ok[rest] = _aligned(lambda t: BROKEN.sub("", untagged(t)), texts, doc[rest], item[rest], items)
+    return ok
+
+
+def _aligned(read, texts: list[str], doc: np.ndarray, item: np.ndarray, items: Items, width: int = 96) -> np.ndarray:
+    """:func:`_verify` over the texts as ``read`` gives them."""
     own, at = np.unique(doc, return_inverse=True)
-    letters, offsets = letter_stream(pa.array([put_in_order(texts[d]) for d in own], pa.string()))
+    letters, offsets = letter_stream(pa.array([read(texts[d]) for d in own], pa.string()))
     q, margin = 8, 24
     grams = segment_hash(letters, np.arange(max(0, len(letters) - q + 1)), np.arange(q, max(q, len(letters) + 1)))
     ok = np.zeros(len(doc), bool)
@@ -309,7 +334,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             it = index.value
             for b in slices(batches, "t"):
                 texts = b.column(1).to_pylist()
-                light = pa.array([_TAGGED.sub("", t) if "<" in t or "&" in t else t for t in texts], pa.string())
+                light = pa.array([untagged(t) for t in texts], pa.string())
                 doc, item = candidates(*letter_stream(light), it)
                 if len(doc):
                     ok = _verify(texts, doc, item, it)

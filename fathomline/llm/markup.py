@@ -261,8 +261,8 @@ def _drop_boilerplate(text: str) -> str:
     return "\n\n".join(out)
 
 
-def clean(text: str | None) -> tuple[str | None, set[str]]:
-    """Clean text and the markup languages that it carried."""
+def clean(text: str | None, blocks: bool = False) -> tuple[str | None, set[str]]:
+    """Clean text and the markup languages that it carried; with ``blocks`` no block is left out as boilerplate."""
     if not text:
         return text, set()
     found = signs(text)
@@ -273,7 +273,8 @@ def clean(text: str | None) -> tuple[str | None, set[str]]:
     for language in ("latex", "html", "wiki", "markdown"):
         if language in found:
             s = _CONVERT[language](s)
-    s = _drop_boilerplate(s)
+    if not blocks:
+        s = _drop_boilerplate(s)
     s = s.replace(_LINK, "").replace(_END, "")
     s = re.sub(r"[ \t]+(?=\n)|(?<=\S)[ \t]{2,}", lambda m: "" if m.group().strip(" \t") == "" and m.end() < len(m.string) and m.string[m.end()] == "\n" else " ", s)
     s = re.sub(r"\n{3,}", "\n\n", s).strip("\n")

@@ -213,6 +213,22 @@ def test_leaks(spark):
     assert leaked(spark, rows[:0], items) == [] and leaked(spark, rows, items[:0]) == []
 
 
+def test_leaks_in_what_repair_leaves_out(spark):
+    w = ITEM.split()
+    lines = "\n".join(" ".join(w[i : i + 6]) for i in range(2, 26, 6))
+    filler = "Every other report names another pump of the northern depot without any loss. "
+    part = " ".join(w[2:20])
+    rows = [
+        (1, f"{filler}\n{lines}\n{filler}\n{lines}\n{filler}"),
+        (2, filler + "{{quote|" + part + "}} " + filler),
+        (3, filler + "<ref>" + part + "</ref> " + filler),
+        (4, f"<p>{filler * 3}</p><noscript>{part}</noscript><p>{filler}</p>"),
+        (5, f"1\n{lines}\n2\n\f{lines}\n3\n{filler}"),
+        (6, f"{filler}\n{' '.join(w[2:9])}\n{filler[:40]}\n{' '.join(w[30:])}\n{filler}"),
+    ]
+    assert leaked(spark, rows, [(1, ITEM)]) == [(i, 1) for i in range(1, 6)]
+
+
 def test_alignment_marks_equal_letters():
     import numpy as np
 
