@@ -100,7 +100,7 @@ def curve_keys(df: DataFrame, key: str, vector: str, dim: int, count: int, axes:
 
 
 def window_candidates(ordered: DataFrame, dim: int, k: int, window: int) -> DataFrame:
-    """``(id, other, sim)``: of each ordering's windows, up to ``k`` candidates for each vector, at least its ``floor`` similar.
+    """``(id, other, sim)``: of each ordering's windows, the candidates within the byte error of the ``k``-th best for each vector, at least its ``floor`` similar.
 
     A vector sees its own block of ``window`` vectors and the blocks before
     and after it.
@@ -113,20 +113,10 @@ def window_candidates(ordered: DataFrame, dim: int, k: int, window: int) -> Data
     def pick(ids, floor, x, others, y):
         sim = x @ y.T
         sim[ids[:, None] == others[None, :]] = -2
-        if (floor > -1).all():
-            i, j = np.nonzero(sim >= floor[:, None])
-            s = sim[i, j]
-            if len(i) > k:
-                o = np.lexsort((others[j], -s, i))
-                i, j, s = i[o], j[o], s[o]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, s = i[rank < k], j[rank < k], s[rank < k]
-            return ids[i], others[j], s
         m = min(k, sim.shape[1])
-        j = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-        s = np.take_along_axis(sim, j, 1)
-        use = s >= np.maximum(floor, -1.5)[:, None]
-        return np.repeat(ids, m).reshape(-1, m)[use], others[j][use], s[use]
+        worst = np.partition(sim, sim.shape[1] - m, axis=1)[:, sim.shape[1] - m]
+        i, j = np.nonzero(sim >= np.maximum(np.maximum(floor, -1.5), worst - 2 * SLACK)[:, None])
+        return ids[i], others[j], sim[i, j]
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # up to three blocks in a row
@@ -182,8 +172,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, or
     only pass on what is better. ``least`` works the same way from the start.
     """
     one = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null and v is not null")
+    one, copies = _distinct(one)
     table = cut(curve_keys(one, "id", "v", dim, orderings, axes, bits, seed))
-    spare = k + 6
     first = None
     for start in range(0, orderings, turn):
         rows = table.select("id", "q", F.slice("keys", start + 1, turn).alias("keys"))
@@ -191,14 +181,16 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, or
         if first is None:
             rows = rows.withColumn("floor", bound)
         else:
-            worst = first.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("s")).filter(F.col("n") >= spare).select("id", "s")
+            worst = first.withColumn("r", F.row_number().over(_by("id", F.desc("sim"), "other"))).filter(F.col("r") == k).select("id", (F.col("sim") - 2 * SLACK).cast("float").alias("s"))
             rows = rows.join(worst, "id", "left").withColumn("floor", F.greatest(bound, F.coalesce("s", bound))).drop("s")
         # The id is part of the range key: a hot key splits over partitions.
         ordered = rows.select("id", "q", "floor", F.posexplode("keys").alias("o", "h")).repartitionByRange("o", "h", "id").sortWithinPartitions("o", "h", "id")
-        found = window_candidates(ordered, dim, spare, window)
+        found = window_candidates(ordered, dim, k, window)
         merged = (found if first is None else found.unionByName(first)).groupBy("id", "other").agg(F.max("sim").alias("sim"))
         if least <= 0:
-            merged = merged.withColumn("r", F.row_number().over(_by("id", F.desc("sim"), "other"))).filter(F.col("r") <= spare).drop("r")
+            # The k-th best and all that could be as near, but for the error of the bytes.
+            merged = merged.withColumn("r", F.row_number().over(_by("id", F.desc("sim"), "other"))).withColumn("s", F.max(F.when(F.col("r") == k, F.col("sim"))).over(Window.partitionBy("id")))
+            merged = merged.filter(F.col("s").isNull() | (F.col("sim") >= F.col("s") - 2 * SLACK)).drop("r", "s")
         first = cut(merged)
     if least > 0:
         wanted = first.select("id").union(first.select("other")).distinct()
@@ -214,7 +206,39 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, or
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(s).filter(keep)], ["id", "other", "cosine"])
 
     scored = pairs.select("id", "other", "va", "vb").mapInArrow(exact, "id long, other long, cosine double")
-    return scored.withColumn("rank", F.row_number().over(_by("id", F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(_by("id", F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
+    if copies is None:
+        return best
+    copies = cut(copies.join(table.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi"))
+    members = copies.unionByName(copies.select("rep", F.col("rep").alias("id")).distinct())
+    # No vector has more than the first k + 1 of a class among its neighbours.
+    some = members.withColumn("r", F.row_number().over(_by("rep", "id"))).filter(F.col("r") <= k + 1).select("rep", F.col("id").alias("m"))
+    spread = best.join(some, best["other"] == some["rep"], "left").select("id", F.coalesce("m", "other").alias("other"), "cosine")
+    spread = spread.unionByName(some.select(F.col("rep").alias("id"), F.col("m").alias("other"), F.lit(1.0).alias("cosine")))
+    spread = cut(spread.withColumn("r", F.row_number().over(_by("id", F.desc("cosine"), "other"))).filter(F.col("r") <= k + 1).drop("r"))
+    each = spread.unionByName(spread.withColumnRenamed("id", "rep").join(copies, "rep").select("id", "other", "cosine")).filter("id <> other")
+    return each.withColumn("rank", F.row_number().over(_by("id", F.desc("cosine"), "other"))).filter(F.col("rank") <= k)
+
+
+def _distinct(one: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One row ``(id, v)`` for each distinct vector, that of its smallest id, and the other ids ``(rep, id)``, if any.
+
+    Vectors are told apart by 128 bits of hash, so that only hashes are shuffled.
+    """
+
+    def hashed(rows):
+        return cut(rows.select("id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")).distinct())
+
+    keyed = hashed(one)
+    odd = cut(keyed.groupBy("id").count().filter("count > 1").select("id"))
+    if not odd.isEmpty():  # a repeated id with several vectors
+        one = one.join(odd, "id", "left_anti").unionByName(one.join(odd, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
+        keyed = hashed(one)
+    classes = keyed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    copies = cut(keyed.join(classes, ["h", "g"]).filter("id <> rep").select("rep", "id"))
+    if copies.isEmpty():
+        return one, None
+    return one.join(copies.select("id"), "id", "left_anti"), copies
 
 
 def _by(key, *order):

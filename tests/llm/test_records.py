@@ -60,6 +60,26 @@ def test_neighbours_recall(vectors):
     assert max(r["rank"] for r in rows) == 10 and all(abs(r.cosine - c[r.id, r.other]) < 1e-5 for r in rows)
 
 
+def test_crowds_of_equal_and_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 16))
+    x[:300] = x[0]  # more than three windows
+    x[300:304] = x[0] + 0.01 * rng.normal(size=(4, 16))
+    x[400:440] = x[400] + 0.001 * rng.normal(size=(40, 16))  # all within the error of the bytes
+    x = x[rng.permutation(len(x))].astype("f4")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id long, embedding array<float>")
+    same = (x[:, None] == x[None]).all(2)
+    c = np.round(cosines(x.astype("f8")), 12)  # equal for equal vectors
+    c[same] = 1
+    np.fill_diagonal(c, -2)
+    got = {}
+    for r in vector_neighbours.nearest(df, "chunk_id", "embedding", dim=16, window=64, least=0.9, orderings=8).orderBy("rank").collect():
+        got.setdefault(r.id, []).append(r.other)
+    crowd = [i for i in range(len(x)) if (c[i] >= 0.99).sum() >= 10]
+    assert len(crowd) == 344
+    assert {i: got[i] for i in crowd} == {i: np.lexsort((np.arange(len(x)), -c[i]))[:10].tolist() for i in crowd}
+
+
 def test_no_vectors(vectors):
     _, df = vectors
     assert vector_neighbours.close_pairs(df.filter("chunk_id >= 1000"), dim=16).count() == 0
