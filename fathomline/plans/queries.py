@@ -319,11 +319,11 @@ def budget_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_context(spark: SparkSession, d: str) -> DataFrame:
-    """The whole selection, for the last message of every thread of the conversation with the most branches."""
+    """The whole selection, for the last message of every thread."""
     model = embedding.hashed_words()
     rows = _messages(spark, d)
     told = embedding.embed(rows.select("conv_id", "branch_id", "msg_id", "content"), model, "content").select("conv_id", "branch_id", "msg_id", "embedding").filter("embedding is not null")
-    asked = history.tips(rows).select("conv_id", "branch_id", F.col("last_msg_id").alias("msg_id")).filter("conv_id = 'default'")
+    asked = history.tips(rows).select("conv_id", "branch_id", F.col("last_msg_id").alias("msg_id"))
     queries = asked.join(told, ["conv_id", "branch_id", "msg_id"]).select(F.col("msg_id").alias("query_id"), "conv_id", "branch_id", F.col("embedding").alias("q"))
     return history.build_context(rows, told, queries)
 

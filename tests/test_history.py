@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import dialog, embedding, history
+from fathomline.plans import queries
 from fathomline.streaming import log
 
 NEW = "conv_id string, branch_id string, msg_id long, role int, ts double, token_count int, parent_msg_id long, content string"
@@ -61,6 +62,17 @@ def test_context(spark, tmp_path):
     assert [r.msg_id for r in got] == [1, 2, 3, 4]
 
 
+def test_contexts_of_all_conversations(spark):
+    d = "/root/testdata/sf0.001"
+    rows = queries._messages(spark, d).filter("length(trim(content)) > 0")
+    last = history.tips(queries._messages(spark, d)).select("conv_id", "branch_id", F.col("last_msg_id").alias("msg_id"))
+    want = {r.msg_id for r in last.join(rows, ["conv_id", "branch_id", "msg_id"]).collect()}
+    got = {(r.query_id, r.conv_id) for r in queries.queries()["history_context"](spark, d).select("query_id", "conv_id").distinct().collect()}
+    assert {q for q, _ in got} <= want and len({c for _, c in got}) > 1
+    # A query has no row only if its best message alone is over the budget.
+    assert len(got) >= 0.8 * len(want)
+
+
 def test_roles_merge(spark):
     rows = [("d", 1, "system", "s"), ("d", 2, "user", "a "), ("d", 3, "user", " b "), ("d", 4, "assistant", "x"), ("d", 5, "tool", "t"), ("d", 6, "tool", "u"), ("d", 7, "user", None)]
     df = spark.createDataFrame(rows, "dialog_id string, turn long, role string, content string")
