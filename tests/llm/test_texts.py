@@ -229,6 +229,53 @@ def test_leaks_in_what_repair_leaves_out(spark):
     assert leaked(spark, rows, [(1, ITEM)]) == [(i, 1) for i in range(1, 6)]
 
 
+def built(texts, words=12):
+    items = [leaks.Item(t, words) for t in texts]
+    return leaks.Items(list(range(len(texts))), texts, [i.index(set()) for i in items], words)
+
+
+def passages_in(texts, items):
+    doc, item = items.candidates(*leaks.letter_stream(pa.array([leaks.untagged(t) for t in texts])))
+    ok = leaks._verify(texts, doc, item, items)
+    return set(zip(doc[ok].tolist(), item[ok].tolist(), strict=True))
+
+
+PARTS = st.lists(st.text(alphabet="abcdehilmnorstu", min_size=1, max_size=11), min_size=12, max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(PARTS, st.data())
+def test_every_verbatim_passage_is_found(words, data):
+    at = data.draw(st.integers(0, len(words) - 12))
+    filler = "Every other report names another pump of the northern depot without any loss. "
+    items = built([" ".join(words), "an item of quite other words that has nothing at all to do with the one that is looked for"])
+    assert (0, 0) in passages_in([filler + " ".join(words[at : at + 12]) + ". " + filler], items)
+
+
+def test_short_and_long_passages(spark):
+    short = "if it is so we do as he or I do it when the rest of the crew is away for good and all"
+    one = "a b c d e f g h i j k l m n o p q r s t"
+    filler = "Every other report names another pump of the northern depot without any loss. "
+    rows = [(1, filler + " ".join(short.split()[:12]) + ". " + filler), (2, filler + " ".join(one.split()[4:16]) + ". " + filler), (3, filler), (4, " ".join(short.split()[:11]))]
+    items = [(1, short), (2, one), (3, ITEM)]
+    assert leaked(spark, rows, items) == [(1, 1), (2, 2)] == leaked(spark, rows, items, block=1)
+
+
+def test_opening_phrases_of_any_length_count_over_all_items(spark):
+    phrase = "Please read all of the following passage with great care and then answer the question below in one short sentence only without any further comment: "
+    items = [(i, phrase + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(6)] + [(9, ITEM)]
+    rows = [(1, phrase + "and nothing else"), (2, "so " + items[2][1])]
+    for block in (1, 20_000):
+        assert leaked(spark, rows, items, block=block) == [(2, 2)]
+
+
+def test_long_tags_and_prose_in_brackets():
+    w = ITEM.split()
+    tag = "<img alt='x' data-x='" + "y " * 300 + "'>"
+    prose = "if n <m and " + " ".join(w[2:26]) + " and more of the same words " * 12 + "> 3"
+    assert passages_in([" ".join(w[2:10]) + tag + " ".join(w[10:18]), prose], built([ITEM])) == {(0, 0), (1, 0)}
+
+
 def test_alignment_marks_equal_letters():
     import numpy as np
 
