@@ -23,12 +23,21 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .codepoints import decode, encode, owners, segment_hash, slices
 
-# Letters of Cyrillic and Greek drawn like a Latin letter.
-CYRILLIC_LIKE = dict(zip("аеорсухіѕјһԁԛԝАВЕКМНОРСТХІЅЈҮԌԜ", "aeopcyxisjhdqwABEKMHOPCTXISJYGW", strict=True))
-GREEK_LIKE = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovcjABEZHIKMNOPTYXCJ", strict=True))
+# Letters of other scripts drawn like a Latin letter, as Unicode's confusables have them.
+LIKE = {
+    "CYRILLIC": ("аеорсухіѕјһԁԛԝѵӏАВЕКМНОРСТХУІЅЈҮӀѴԌԜ", "aeopcyxisjhdqwvlABEKMHOPCTXYISJYIVGW"),
+    "GREEK": ("αγικνορυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹϺͿ", "ayikvopucjABEZHIKMNOPTYXFCMJ"),
+    "ARMENIAN": ("հոսցքօՍՏՕ", "hnugfoUSO"),
+    "CHEROKEE": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᎶᏃᏔᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZWSVLCPKB"),
+    "LISU": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "COPTIC": ("ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "HIKMNOoPpCcTYX"),
+}
+# Latin letters drawn like another Latin letter. A dotless i is not: its dot is missing.
+LATIN_LIKE = ("ɑɡᴄᴏᴠᴡᴢꜱ", "agcovwzs")
 #: Invisible although their category is not Cf.
 BLANK_MARKS = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 DROP = 0x110000
+MANY = 255
 
 
 @lru_cache(maxsize=1)
@@ -67,27 +76,39 @@ def _tables() -> dict[str, np.ndarray]:
     longer = np.array(sorted(many), np.uint32)
     keys = np.array(sorted((a << 21) | b for a, b in pairs), np.uint64)
     latin = np.arange(0x110001, dtype=np.uint32)
-    script = np.zeros(0x110001, np.uint8)  # 1: surely Latin, 2: surely Cyrillic, 3: surely Greek, 8: could be several
-    for c in range(0x250):
-        script[c] = "LATIN" in unicodedata.name(chr(c), "")
-    for lo, hi, k in ((0x1E00, 0x1F00, 1), (0x400, 0x530, 2), (0x370, 0x400, 3)):
-        for c in range(lo, hi):
-            script[c] = k if unicodedata.category(chr(c))[0] == "L" else 0
-    for like in (CYRILLIC_LIKE, GREEK_LIKE):
-        for a, b in like.items():
+    # 1: surely Latin, 2 and more: surely of that script of LIKE, MANY: could be of several.
+    script = np.zeros(0x110001, np.uint8)
+    names = {"LATIN": 1} | {name: k for k, name in enumerate(LIKE, 2)}
+    for c in [*range(0x600), *range(0x13A0, 0x1400), *range(0x1E00, 0x2000), *range(0x2C80, 0x2D00), *range(0xA4D0, 0xA500), *range(0xAB70, 0xABC0)]:
+        if unicodedata.category(chr(c))[0] == "L":
+            script[c] = names.get(unicodedata.name(chr(c), "").split(" ")[0], 0)
+    for name, (one, plain) in LIKE.items():
+        for a, b in zip(one, plain, strict=True):
             latin[ord(a)] = ord(b)
-            script[ord(a)] = script[ord(b)] = 8
+            if name in ("CYRILLIC", "GREEK"):
+                script[ord(a)] = script[ord(b)] = MANY
+    # Of other scripts a word has letters of its own, or it is taken for Latin.
+    for one, plain in [LATIN_LIKE, *LIKE.values()]:
+        for a, b in zip(one, plain, strict=True):
+            latin[ord(a)], script[ord(a)] = ord(b), script[ord(b)]
+    # Letters of mathematical fonts and numerals made of one letter, by their decompositions.
+    for c in [*range(0x2100, 0x2190), *range(0x1D400, 0x1D800)]:
+        shape = unicodedata.decomposition(chr(c)).split()
+        if len(shape) == 2 and (shape[0] == "<font>" or shape[0] == "<compat>" and unicodedata.category(chr(c)) == "Nl"):
+            latin[c] = latin[int(shape[1], 16)]
+            script[c] = script[latin[c]]
     # An accent on a look-alike: the accented letters look alike too.
     for c in range(0x110000):
         if 0x370 <= c < 0x530 and len(p := unicodedata.decomposition(chr(c)).split()) == 2 and p[0][0] != "<":
             base = latin[int(p[0], 16)]
             if base != int(p[0], 16) and len(w := unicodedata.normalize("NFC", chr(base) + chr(int(p[1], 16)))) == 1:
                 latin[c] = ord(w)
-                script[c] = script[ord(w)] = 8
-    back = np.arange(0x110001, dtype=np.uint32)
-    for c in range(0x52F, 0x3FF, -1):
-        if latin[c] != c:
-            back[latin[c]] = c
+                script[c] = script[ord(w)] = MANY
+    back = {k: np.arange(0x110001, dtype=np.uint32) for k in range(1, len(LIKE) + 2)}
+    for c in range(0xA500, 0x36F, -1):
+        k = names.get(unicodedata.name(chr(c), "").split(" ")[0], 0) if latin[c] != c else 0
+        if k > 1:
+            back[k][latin[c]] = c
     return {
         "to": to, "ccc": ccc, "longer": longer, "many": np.array([[*map(ord, many[c]), *[DROP] * (4 - len(many[c]))] for c in sorted(many)], np.uint32).reshape(-1, 4),
         "pairs": keys, "joined": np.array([pairs[int(k) >> 21, int(k) & 0x1FFFFF] for k in keys], np.uint32), "latin": latin, "script": script, "back": back,
@@ -200,8 +221,12 @@ def readable(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts = letter & ~(np.concatenate([[False], letter[:-1]]) & ~first[:-1])
     word = np.cumsum(starts) * letter
     n = int(word.max()) + 1
-    sure = {k: np.bincount(word[script == k], minlength=n) for k in (1, 2, 3)}
-    label = np.where((sure[2] > 0) & (sure[2] >= sure[1]), 2, np.where(sure[1] + sure[3] > 0, 1, 0))
+    kinds = [0, *(k for k in (2, 1, *range(3, len(LIKE) + 2)) if (script == k).any())]  # of equal counts the first
+    sure = np.stack([np.zeros(n, np.int64), *(np.bincount(word[script == k], minlength=n) for k in kinds[1:])])
+    for i, k in enumerate(kinds):
+        if k > 3:
+            sure[i] *= 1 << 20
+    label = np.array(kinds)[sure.argmax(0)]
     label[0] = 0
     row = np.full(n, -1)
     row[1:] = owners(offsets)[starts]
@@ -212,10 +237,12 @@ def readable(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     back = np.where((label[before] > 0) & (row[before] == row), place - before, far)
     ahead = np.where((label[after] > 0) & (row[after] == row), after - place, far)
     near = np.where(np.minimum(back, ahead) == far, 1, np.where(back < ahead, label[before], label[after]))
-    to_cyrillic = (np.where(label > 0, label, near) == 2)[word]
-    greek = (sure[3][word] > 0) & (sure[1][word] == 0)
-    out = np.where((script == 8) & ~greek, t["latin"][flat], flat)
-    return np.where((script == 8) & to_cyrillic, t["back"][out], out).astype(np.uint32)
+    mine = np.where(label > 0, label, near)[word]
+    out = np.where(letter, t["latin"][flat], flat)
+    for k in kinds:
+        if k > 1:
+            out = np.where(letter & (mine == k), t["back"][k][out], out)
+    return out.astype(np.uint32)
 
 
 def canonical_text(array: pa.Array) -> pa.Array:
@@ -240,13 +267,26 @@ def canonicalize(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             hi, lo = (segment_hash(look, offsets[:-1], offsets[1:], k).view(np.int64) for k in (0, 1))
             null = ~raw.is_valid().to_numpy(zero_copy_only=False)
             out = encode(readable(flat, offsets), offsets)
-            out = pa.array(out.to_pylist(), pa.string(), mask=null) if null.any() else out
+            out = pc.if_else(raw.is_valid(), out, pa.scalar(None, pa.string())) if null.any() else out
             yield pa.RecordBatch.from_arrays([keys, out, *(pa.array(x, mask=null) for x in (hi, lo, exact, n.astype(np.int64)))], ["k", "t", "look_hi", "look_lo", "exact", "n_chars"])
 
     out = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, t string, look_hi long, look_lo long, exact long, n_chars long")
     return out.select(F.col("k").alias(key), F.col("t").alias(text), "look_hi", "look_lo", "exact", "n_chars")
 
 
+def look_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
+    """``(key, group, forms, links)`` of the texts with an equal-looking other: the group's smallest key, its different forms, and the texts of other forms.
+
+    One row for each text however large its group: groups and forms are counted, never paired.
+    """
+    seen = cut(canonicalize(df, key, text).filter(F.col("n_chars") >= least).select(F.col(key).alias("k"), "look_hi", "look_lo", "exact"))
+    look = ["look_hi", "look_lo"]
+    forms = seen.groupBy(*look, "exact").agg(F.min("k").alias("least"), F.count("*").alias("same"))
+    groups = forms.groupBy(look).agg(F.min("least").alias("group"), F.count("*").alias("forms"), F.sum("same").alias("all")).filter("forms > 1")
+    other = forms.join(groups, look).select(*look, "exact", "group", "forms", (F.col("all") - F.col("same")).alias("links"))
+    return seen.join(other, [*look, "exact"]).select(F.col("k").alias(key), "group", "forms", "links")
+
+
 def equal_looking(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
     """Pairs ``(key_a, key_b)`` of different texts of at least ``least`` characters that look the same.
 

@@ -83,12 +83,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.equal_looking(_table(spark, d, "documents"))
 
 
+def p10_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_groups(_table(spark, d, "documents"))
+
+
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonicalize(_table(spark, d, "documents")).select("doc_id", "text", "look_hi", "look_lo")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p5_groups, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_texts)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_texts, p3_found, p3_dialogs, p5_found, p5_groups, p6_found, p6_texts, p7_found, p7_records, p8_pack, p9_found, p10_found, p10_groups, p10_texts)}
 
 
 _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY ts NULLS LAST, conv_id, branch_id, role) AS rn FROM messages) WHERE rn = 1)"""

@@ -42,6 +42,12 @@ def test_composition_is_canonical(text):
         ("a\u00a0b\u2009c", "a b c", True),
         ("\u0430\u0441\u0435 \u03bf", "ace o", True),
         ("line\r\nnext", "line\nnext", True),
+        ("\u03b1\u03c1\u03c5\u03ba", "apuk", True),
+        ("\u04c0\u04cf \u0261 \u054d \u13aa", "Il g U A", True),
+        ("\u2170 \U0001d400\U0001d4b7", "i Ab", True),
+        ("\u039a\u03cc\u03c3\u03bc\u03bfς", "K\u00f3\u03c3\u03bcoς", True),
+        ("\ua4e1\ua4f2\ua4e2", "LIS", True),
+        ("s\u0131n", "sin", False),
         ("etat", "état", False),
         ("x²", "x2", False),
         ("1", "l", False),
@@ -59,6 +65,8 @@ def test_same_look(a, b, same):
 def test_words_stay_in_their_script():
     texts = ["Проверкa зaписи", "pаge of tехt", None, ""]
     assert lookalikes.canonical_text(pa.array(texts)).to_pylist() == ["Проверка записи", "page of text", None, ""]
+    own = ["Հայաստան ու Երևան", "ᎠᏂᏴᏫᏯ ᏣᎳᎩ", "σοφία και γνώση", "ⲡⲓⲥⲁⲅⲅⲉⲗⲟⲥ"]
+    assert lookalikes.canonical_text(pa.array([*own, "σ\u006fφία", "ⲡⲓⲥⲁⲅⲅⲉⲗoⲥ"])).to_pylist() == [*own, "σοφία", own[3]]
     mixed = "Новые листы и THE FORMAL AT REST, но со всеми. K63"
     assert lookalikes.canonical_text(pa.array([mixed])).to_pylist() == ["Новые листы и THE FORMAL AT REST, но со всеми. К63"]
 
@@ -69,6 +77,8 @@ def test_equal_looking(spark):
     df = spark.createDataFrame([(*r, *["x"] * 6, 1, "x") for r in rows], EXTRA)
     got = sorted(set(map(tuple, lookalikes.equal_looking(df).collect())))
     assert got == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)]
+    assert {tuple(r) for r in lookalikes.look_groups(df).collect()} == {(1, 1, 3, 2), (2, 1, 3, 4), (3, 1, 3, 2), (4, 1, 3, 4)}
+    assert lookalikes.look_groups(df.limit(0)).count() == 0
     assert lookalikes.equal_looking(df.limit(0)).count() == 0
 
 
