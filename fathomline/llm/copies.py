@@ -7,8 +7,13 @@ possible repeats are shuffled and grouped exactly. All others are singletons
 and leave without a shuffle.
 
 A Bloom filter has no false negatives, so no copy is lost at any filter size.
-The filter has eight bits for each record up to ``most_bits``; above that
-bound more records are shuffled, the result stays the same.
+There are eight bits for each record. Hashes are split by range so that one
+range's filter has at most ``most_bits``; the key table is sorted by hash
+within its files, so a range's pass reads its own pages of them.
+
+The canonical form of named fields has them in the order of their names, at
+every depth of a JSON object; names and texts are compared without case and
+signs at the top, without case below it.
 
 Defined results: a null or blank text is no record; a record with fewer than
 ``least`` letters and digits is its own singleton; a repeated id within one
@@ -46,14 +51,15 @@ def plain_form(text: Column) -> Column:
 
 def field_form(text: Column) -> Column:
     """Sorted ``name value`` parts of a JSON object or of ``name = value; ...``, else null."""
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    as_json = F.transform(entries, lambda e: F.concat(plain_form(e["key"]), F.lit("\x1f"), F.coalesce(plain_form(e["value"]), F.lit(""))))
-    parts = F.filter(F.split(text, ";"), lambda p: F.trim(p) != "")
+    low = F.lower(text)
+    inside = lambda v: F.when(F.ltrim(v).rlike(r"^[\[{]"), F.coalesce(F.to_json(F.try_parse_json(v)), v)).otherwise(v)  # noqa: E731  a variant's fields are sorted
+    entries = F.map_entries(F.from_json(low, "map<string,string>"))
+    as_json = F.transform(entries, lambda e: F.concat(plain_form(e["key"]), F.lit("\x1f"), F.coalesce(plain_form(inside(e["value"])), F.lit(""))))
+    parts = F.filter(F.split(low, ";"), lambda p: F.trim(p) != "")
     as_parts = F.transform(parts, lambda p: F.concat(plain_form(F.substring_index(p, "=", 1)), F.lit("\x1f"), plain_form(F.regexp_replace(p, r"^[^=]*=", ""))))
     is_json = F.ltrim(text).startswith("{")
-    is_parts = text.rlike(r"^\s*[\w .-]{1,64}=[^;]*(;\s*[\w .-]{1,64}=[^;]*)+;?\s*$")
-    joined = F.when(is_json, F.array_join(F.array_sort(as_json), "\x1e")).when(is_parts, F.array_join(F.array_sort(as_parts), "\x1e"))
-    return joined
+    is_parts = F.contains(text, F.lit("=")) & (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(r"^\s*[\w .-]+="))
+    return F.when(is_json, F.array_join(F.array_sort(as_json), "\x1e")).when(is_parts, F.array_join(F.array_sort(as_parts), "\x1e"))
 
 
 def canonical_keys(text: Column) -> dict[str, Column]:
@@ -76,10 +82,8 @@ def _set(filled: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(filled, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
-def repeat_filter(keys: DataFrame, column: str = "h1", most_bits: int = MOST_BITS) -> tuple[int, np.ndarray]:
-    """The bits of the filter and its merged 'seen repeatedly' half."""
-    rows = keys.count()
-    bits = min(most_bits, 1 << max(16, int(8 * rows).bit_length()))
+def repeat_filter(keys: DataFrame, bits: int, column: str = "h1") -> np.ndarray:
+    """The merged 'seen repeatedly' filter of ``bits`` bits."""
     segment = min(bits, _SEGMENT)
 
     def fold(batches):
@@ -123,22 +127,35 @@ def repeat_filter(keys: DataFrame, column: str = "h1", most_bits: int = MOST_BIT
     size = segment >> 3
     for row in merged.collect():  # at most most_bits, whatever the input
         filled[row.s * size : (row.s + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.two)), np.uint8)
-    return bits, filled
+    return filled
+
+
+def hash_ranges(rows: int, most_bits: int = MOST_BITS) -> tuple[int, list[tuple[int, int]]]:
+    """Bits of one filter, and the ranges of hashes that get one each, so that every record has eight bits."""
+    bits = 1 << max(10, (8 * rows - 1).bit_length() if rows else 0)
+    parts = max(1, bits // most_bits)
+    step = (1 << 64) // parts
+    return bits // parts, [(r * step - (1 << 63), (r + 1) * step - 1 - (1 << 63)) for r in range(parts)]
 
 
 def mark_repeats(keys: DataFrame, column: str = "h1", most_bits: int = MOST_BITS) -> DataFrame:
     """``keys`` with ``maybe``: false only where ``column`` surely occurs once."""
-    bits, filled = repeat_filter(keys, column, most_bits)
-    shared = keys.sparkSession.sparkContext.broadcast(filled)
+    bits, ranges = hash_ranges(keys.count(), most_bits)
     at = keys.columns.index(column)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema)
+    out = None
+    for low, high in ranges:
+        own = keys.filter(F.col(column).between(low, high)) if len(ranges) > 1 else keys
+        shared = keys.sparkSession.sparkContext.broadcast(repeat_filter(own, bits, column))
 
-    def run(batches):
-        for b in batches:
-            hit = _test(shared.value, _positions(b.column(at).to_numpy(zero_copy_only=False), bits)).all(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "maybe"])
+        def run(batches, shared=shared):
+            for b in batches:
+                hit = _test(shared.value, _positions(b.column(at).to_numpy(zero_copy_only=False), bits)).all(0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "maybe"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema)
-    return keys.mapInArrow(run, f"{kinds}, maybe boolean")
+        marked = own.mapInArrow(run, f"{kinds}, maybe boolean")
+        out = marked if out is None else out.unionByName(marked)
+    return out
 
 
 def record_keys(df: DataFrame, table: str, key: str, text: str, order: str | None = None) -> DataFrame:
@@ -159,7 +176,7 @@ def collapse(keys: DataFrame, least: int = 80, most_bits: int = MOST_BITS) -> tu
     before it is shuffled; its members meet their group in a join whose other
     side has one row, which adaptive execution splits.
     """
-    keys = cut(keys.withColumn("h1", F.xxhash64("tbl", "h1")))
+    keys = cut(keys.withColumn("h1", F.xxhash64("tbl", "h1")).sortWithinPartitions("h1"))
     long = keys.filter(F.col("n") >= least).drop("n")
     marked = cut(mark_repeats(long, "h1", most_bits))
     maybe = marked.filter("maybe").drop("maybe")

@@ -166,14 +166,33 @@ def test_copies(spark):
     assert groups.count() == 0 and members.count() == 0
 
 
+def test_fields_of_any_name_and_depth(spark):
+    body = "the sealed gearbox turns without losing any detail and this register confirms every movement"
+    long = "name of the field " * 5
+    deep = {"a": {"x": body, "y": [{"p": 1, "q": 2}, 3]}, "b": 1}
+    turned = {"b": 1, "a": {"y": [{"q": 2, "p": 1}, 3], "x": body}}
+    rows = [
+        (1, f"{long}= {body}; other = 3"), (2, f"other = 3; {long} = {body}"), (3, json.dumps(deep)), (4, json.dumps(turned, indent=2)), (5, json.dumps(deep | {"b": 2})),
+        (6, json.dumps({"a": {"x": body, "y": [3, {"p": 1, "q": 2}]}, "b": 1})), (7, f"just one = {body} and no other field"), (8, "; ".join(f"f{i} = {i}" for i in range(20_000))), (9, "; ".join(f"F{i} = {i}" for i in reversed(range(20_000)))),
+    ]
+    df = spark.createDataFrame(rows, "id long, text string")
+    members = copies.collapse(copies.record_keys(df, "r", "id", "text"))[1]
+    assert sorted((r.first_id, r.copy_id) for r in members.collect()) == [(1, 2), (3, 4), (8, 9)]
+
+
 def test_filter_has_no_false_negatives(spark):
     rng = np.random.default_rng(0)
-    once, twice = rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(-(1 << 62), 1 << 62, 300)
+    once, twice = (rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in (3000, 300))
+    once[:2], twice[:2] = [-(1 << 63), (1 << 63) - 1], [-(1 << 62), 1 << 62]
     keys = spark.createDataFrame([(int(v),) for v in [*once, *twice, *twice]], "h1 long").repartition(7)
-    for bits in (1 << 10, 1 << 20):
-        maybe = {r.h1 for r in copies.mark_repeats(keys, most_bits=bits).filter("maybe").collect()}
-        assert set(twice.tolist()) <= maybe
-    assert len(maybe) < 400
+    for bits in (1 << 12, 1 << 20):  # eight ranges and one
+        marked = copies.mark_repeats(keys, most_bits=bits)
+        assert marked.count() == 3600
+        maybe = {r.h1 for r in marked.filter("maybe").collect()}
+        assert set(twice.tolist()) <= maybe and len(maybe) < 500
+    bits, ranges = copies.hash_ranges(10**10)
+    assert bits <= copies.MOST_BITS and bits * len(ranges) >= 8 * 10**10
+    assert ranges[0][0] == -(1 << 63) and ranges[-1][1] == (1 << 63) - 1 and all(b + 1 == c for (_, b), (c, _) in zip(ranges, ranges[1:], strict=False))
 
 
 def near(rows, n=3, threshold=0.6):
