@@ -10,6 +10,11 @@ many copies it has. A band bucket with more than ``cap`` classes makes no
 pairs of its own: its classes go through an exact prefix-filtered set join
 instead, so nothing is lost and no group is paired in full.
 
+Groups are made of classes, too: a class brings its number of members, and
+members meet their class at the end, so copies make no pairs of their own.
+Classes are told apart by 64 bits of hash; the few that share them are found
+by another 64 bits and get a hash of their own.
+
 Defined results: null, blank or short texts take part in nothing; of a
 repeated id the row with the smallest ``order`` counts; empty input gives an
 empty result.
@@ -191,27 +196,64 @@ def similar_classes(rows: DataFrame, n: int = 5, threshold: float = 0.8, bands:
     return cut(verify(full, n, threshold))
 
 
-def near_copies(df: DataFrame, key: str, text: str, order: str | None = None, where: Column | None = None, least_words: int = 20, n: int = 3, threshold: float = 0.6, bands: int = 26, height: int = 3) -> DataFrame:
-    """Pairs ``(key_a, key_b)`` of near copies that are not copies of one canonical form.
+class Classes:
+    """The texts of a table that count, as ``members (id, cls, copy)``, and the ``pairs (a, b, similarity)`` of their classes.
+
+    ``copy`` is the canonical hash where copies in the sense of problem 7 are
+    told apart, null for shorter texts. ``where`` is judged on the row that
+    counts for its id. With 26 bands of 3 a pair of similarity 0.6 is missed
+    with probability 0.002, one of 0.7 with 1e-5.
+    """
 
-    ``where`` is judged on the row that counts for its id. With 26 bands of 3
-    a pair of similarity 0.6 is missed with probability 0.002, one of 0.7
-    with 1e-5.
+    def __init__(self, df: DataFrame, key: str, text: str, order: str | None = None, where: Column | None = None, least_words: int = 20, n: int = 3, threshold: float = 0.6, bands: int = 26, height: int = 3):
+        norm = words_form(F.col(text))
+        keys = canonical_keys(F.col(text))
+        count = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+        one, two = F.xxhash64(norm), F.xxhash64(F.lit(31), norm)
+        ok = where if where is not None else F.lit(True)
+        rows = df.select(F.col(key).cast("long").alias("id"), (F.col(order) if order else F.lit(0.0)).alias("o"), ok.alias("ok"), one.alias("cls"), two.alias("cls2"), F.when(keys["n"] >= 80, keys["h1"]).alias("copy"), count.alias("words"))
+        first = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct(F.coalesce("o", F.lit(float("inf"))).alias("o"), "ok", "cls", "cls2", "copy", "words")).alias("m"))
+        members = cut(first.filter((F.col("m.ok")) & (F.col("m.words") >= least_words)).select("id", "m.cls", "m.cls2", "m.copy"))
+        clash = members.groupBy("cls").agg(F.min("cls2").alias("x"), F.max("cls2").alias("y")).filter("x <> y").select("cls").collect()  # by chance: about n^2 / 2^65
+        own = lambda c, d: F.when(c.isin([r.cls for r in clash]), F.xxhash64(F.lit(37), d)).otherwise(c) if clash else c
+        self.members = members.select("id", own(F.col("cls"), F.col("cls2")).alias("cls"), "copy")
+        self.pairs = similar_classes(df.filter(ok).select(own(one, two).alias("cls"), norm.alias("t")), n, threshold, bands, height, least_words)
+
+
+def near_copies(df: DataFrame, key: str, text: str, order: str | None = None, where: Column | None = None, **how) -> DataFrame:
+    """Pairs ``(key_a, key_b)`` of near copies that are not copies of one canonical form, by :class:`Classes`."""
+    c = Classes(df, key, text, order, where, **how)
+    side = lambda cls, i, k: c.members.select(F.col("cls").alias(cls), F.col("id").alias(i), F.col("copy").alias(k))
+    found = c.pairs.select("a", "b").join(side("a", "x", "cx"), "a").join(side("b", "y", "cy"), "b").filter("not (cx <=> cy) or cx is null").select("x", "y")
+    # Of one word sequence those pairs count that are no copies: too short for it, or of other fields.
+    some = c.members.groupBy("cls").agg(F.count("*").alias("n"), F.count("copy").alias("known"), F.countDistinct("copy").alias("kinds")).filter("n > 1 and (known < n or kinds > 1)").select("cls")
+    inner = c.members.join(some, "cls")
+    same = inner.select("cls", F.col("id").alias("x"), F.col("copy").alias("cx")).join(inner.select("cls", F.col("id").alias("y"), F.col("copy").alias("cy")), "cls").filter("x < y and (not (cx <=> cy) or cx is null)").select("x", "y")
+    return found.unionByName(same).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+
+
+def near_groups(df: DataFrame, key: str, text: str, order: str | None = None, where: Column | None = None, **how) -> DataFrame:
+    """``(id, group, links)`` of every text that :func:`near_copies` pairs: its group's smallest id and the number of its pairs.
+
+    Units are the members of a class that are copies of one another; links are
+    counted from the units' sizes, and groups grow over one row for each unit.
     """
-    norm = words_form(F.col(text))
-    keys = canonical_keys(F.col(text))
-    count = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
-    rows = df.select(F.col(key).cast("long").alias("id"), (F.col(order) if order else F.lit(0.0)).alias("o"), (where if where is not None else F.lit(True)).alias("ok"), F.xxhash64(norm).alias("cls"), F.when(keys["n"] >= 80, keys["h1"]).alias("copy"), count.alias("words"))
-    first = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct(F.coalesce("o", F.lit(float("inf"))).alias("o"), "ok", "cls", "copy", "words")).alias("m"))
-    members = cut(first.filter((F.col("m.ok")) & (F.col("m.words") >= least_words)).select("id", "m.cls", "m.copy"))
-    texts = df.filter(where if where is not None else F.lit(True)).select(F.xxhash64(norm).alias("cls"), norm.alias("t"))
-    pairs = similar_classes(texts, n, threshold, bands, height, least_words)
-    side = lambda c, i, k: members.select(F.col("cls").alias(c), F.col("id").alias(i), F.col("copy").alias(k))
-    found = pairs.select("a", "b").join(side("a", "x", "cx"), "a").join(side("b", "y", "cy"), "b").filter("not (cx <=> cy) or cx is null")
-    # Equal word sequences of fewer than 80 letters are no copies, so they are pairs too.
-    brief = members.filter("copy is null")
-    found = found.select("x", "y").unionByName(brief.select("cls", F.col("id").alias("x")).join(brief.select("cls", F.col("id").alias("y")), "cls").filter("x < y").select("x", "y"))
-    return found.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
+    c = Classes(df, key, text, order, where, **how)
+    unit = ["cls", "copy"]
+    units = cut(c.members.groupBy(*unit).agg(F.min("id").alias("u"), F.count("*").alias("n")))
+    side = lambda cls, k: units.select(F.col("cls").alias(cls), F.col("u").alias(f"u{k}"), F.col("n").alias(f"n{k}"), F.col("copy").alias(f"c{k}"))
+    met = c.pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").filter("not (cx <=> cy) or cx is null").select("ux", "nx", "uy", "ny")
+    # Units of one class are all linked; each is tied to the first of them.
+    whole = units.groupBy("cls").agg(F.min("u").alias("first"), F.sum("n").alias("all"), F.count("*").alias("units")).filter("units > 1")
+    tied = units.join(whole, "cls").select("u", "first", (F.col("all") - F.col("n")).alias("links"))
+    alone = units.filter("copy is null and n > 1").select("u", F.col("u").alias("first"), (F.col("n") - 1).alias("links"))
+    links = met.select(F.col("ux").alias("u"), F.col("ny").alias("links")).unionByName(met.select(F.col("uy").alias("u"), F.col("nx").alias("links"))).unionByName(tied.select("u", "links")).unionByName(alone.select("u", "links"))
+    links = links.groupBy("u").agg(F.sum("links").alias("links"))
+    edges = met.select(F.col("ux").alias("a"), F.col("uy").alias("b")).unionByName(tied.select(F.col("u").alias("a"), F.col("first").alias("b"))).unionByName(alone.select(F.col("u").alias("a"), F.col("first").alias("b")))
+    labels = groups(edges, "a", "b").select(F.col("id").alias("u"), "group")
+    placed = units.join(labels, "u").join(links, "u").select("cls", F.col("copy").alias("c"), "group", "links")
+    found = c.members.join(placed, (c.members["cls"] == placed["cls"]) & c.members["copy"].eqNullSafe(placed["c"]))
+    return found.select("id", "group", "links")
 
 
 def groups(pairs: DataFrame, a: str, b: str) -> DataFrame:

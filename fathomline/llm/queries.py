@@ -52,7 +52,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_copies.groups(p5_found(spark, d), "msg_id_a", "msg_id_b").withColumnRenamed("id", "msg_id")
+    found = near_copies.near_groups(_table(spark, d, "messages"), "msg_id", "content", "ts", F.col("role").isin(1, 2))
+    return found.withColumnRenamed("id", "msg_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

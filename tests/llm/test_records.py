@@ -232,6 +232,25 @@ def test_near_copies(spark):
     got = {tuple(r) for r in near_copies.near_copies(df, "msg_id", "content", "ts", F.col("role").isin(1, 2)).collect()}
     assert got == want
     assert near_copies.near_copies(df.limit(0), "msg_id", "content", "ts").count() == 0
+    assert near_copies.near_groups(df.limit(0), "msg_id", "content", "ts").count() == 0
+
+
+def test_near_groups_are_those_of_the_pairs(spark):
+    rng = random.Random(8)
+    rows = []
+    for base in range(12):
+        words = rng.choices([f"w{i}" for i in range(300)], k=rng.randrange(20, 50))
+        rows += [(base * 50 + i, edited(rng, words) if i % 3 else " ".join(words).upper()) for i in range(9)]
+    brief = " ".join("a b c d e f g h i j k l m n o p q r s t u".split())
+    rows += [(700 + i, brief + "." * i) for i in range(5)]
+    fields = [f"name {i}" for i in range(12)]
+    plain = " ".join(f"{f} value of it {f}" for f in fields)
+    rows += [(800, plain), (801, plain.upper()), (802, "; ".join(f"{f} = value of it {f}" for f in fields)), (803, json.dumps({f: f"value of it {f}" for f in fields}))]
+    df = spark.createDataFrame(rows, "msg_id long, content string")
+    pairs = {tuple(r) for r in near_copies.near_copies(df, "msg_id", "content").collect()}
+    assert {(800, 802), (801, 803), (700, 704)} <= pairs and not {(802, 803), (800, 801)} & pairs
+    want = {r.id: (r.group, r.links) for r in near_copies.groups(spark.createDataFrame(list(pairs), "a long, b long"), "a", "b").collect()}
+    assert {r.id: (r.group, r.links) for r in near_copies.near_groups(df, "msg_id", "content").collect()} == want
 
 
 def test_crowded_buckets_lose_nothing(spark):
