@@ -1,5 +1,6 @@
 """Problems 1, 3, 5, 7 and 8: vectors, dialogs, near copies, copies, containers."""
 
+import hashlib
 import itertools
 import json
 import random
@@ -110,8 +111,8 @@ def told(rows):
     return threads, out
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_threads(spark, block):
+@pytest.mark.parametrize("run", [3, 512])
+def test_threads(spark, run):
     rng = random.Random(5)
     rows, n = [], 0
     for t in range(60):
@@ -122,23 +123,51 @@ def test_threads(spark, block):
     rows += rng.sample(rows, 20) + [("c1", "b0", None, 1, 0.0, "x", 1, 2, "x")]
     df = spark.createDataFrame(rows, MSG)
     threads, want = told(rows)
-    got = {(r.conv_id, r.branch_id): r.reason for r in dialogs.dropped_threads(df, block).collect()}
+    got = {(r.conv_id, r.branch_id): r.reason for r in dialogs.dropped_threads(df, run).collect()}
     assert got == want
     whole = {}
-    for r in sorted(dialogs.dialogs(df, block).collect(), key=lambda r: r.turn):
+    for r in sorted(dialogs.dialogs(df, run).collect(), key=lambda r: r.turn):
         whole.setdefault((r.conv_id, r.branch_id), []).append((r.turn, r.msg_id))
     assert whole == {t: list(enumerate(r[2] for r in rs)) for t, rs in threads.items() if t not in want}
 
 
-def test_fragments_with_a_gap(spark):
-    rows = [("c", "b", 0, 1, 2, 0), ("c", "b", 1, 2, 3, 9), ("c", "x", 0, 1, 2, 0), ("c", "x", 1, 5, 6, 9), ("c", "y", 0, 7, 8, 0), ("c", "y", 1, 8, 7, 9), ("c", "y", 2, 8, 4, 20)]
-    cols = "conv_id string, branch_id string, frag long, prefix long, suffix long, `from` long"
-    df = spark.createDataFrame(rows, cols)
-    for c in ("rows", "said", "odd_roles", "blank_replies"):
-        df = df.withColumn(c, F.lit(1).cast("long"))
-    state = F.struct(F.col("from").alias("pos"), F.lit(1).alias("role"))
-    got = {r.branch_id: r.gap for r in dialogs.assemble(df.withColumn("first", state).withColumn("last", state)).collect()}
-    assert got == {"b": False, "x": True, "y": True}
+def chained(rows):
+    """``rows`` (conv, branch, id, role, ts, text) with the chain of their thread in order of arrival."""
+    tip, out = {}, []
+    for r in rows:
+        prev = tip.get(r[:2], bytes(32))
+        tip[r[:2]] = hashlib.sha256(prev + str(r).encode()).digest()
+        out.append((*r, prev, tip[r[:2]]))
+    return out
+
+
+LOG = "conv_id string, branch_id string, msg_id long, role int, ts double, content string, chain_prev binary, chain_hash binary"
+
+
+@pytest.mark.parametrize("run", [1, 7, 1 << 16])
+def test_a_lost_export_is_a_gap(spark, run):
+    rng = random.Random(4)
+    rows = chained([(f"c{rng.randrange(6)}", f"b{rng.randrange(2)}", i, 1 + i % 2, float(i + rng.randrange(-9, 9)), "text") for i in range(300)])
+    threads = {r[:2] for r in rows}
+    reason = lambda rs: {(r.conv_id, r.branch_id): r.reason for r in dialogs.threads(spark.createDataFrame(rs, LOG), run).collect()}
+    base = reason(rows)
+    assert set(base) == threads and "gap" not in base.values()
+    again = rng.sample(rows, 40)
+    assert reason([*rows, *((*r[:4], r[4] + 50, *r[5:]) for r in again)]) == base
+    lost = rows[120:126]
+    after = {r[:2] for r in rows[126:]} & {r[:2] for r in lost}
+    gaps = {r.conv_id + r.branch_id for r in dialogs.assemble(dialogs.fragments(spark.createDataFrame([r for r in rows if r not in lost], LOG), run), spark.createDataFrame([r for r in rows if r not in lost], LOG)).filter("gap").collect()}
+    assert gaps == {a + b for a, b in after} and gaps
+
+
+def test_starts_and_forks(spark):
+    whole = chained([("c", "b", i, 1 + i % 2, float(i), "x") for i in range(8)])
+    fork = [("c", "f", 20, 1, 20.0, "x", whole[3][7], b"1" * 32), ("c", "f", 21, 2, 21.0, "x", b"1" * 32, b"2" * 32)]
+    stray = [("c", "s", 30, 1, 30.0, "x", b"7" * 32, b"8" * 32), ("d", "b", 31, 1, 31.0, "x", whole[3][7], b"9" * 32), ("c", "n", 32, 1, 32.0, "x", None, None)]
+    twice = [("e", "b", 40, 1, 1.0, "x", bytes(32), b"3" * 32), ("e", "b", 41, 2, 2.0, "x", b"3" * 32, b"4" * 32), ("e", "b", 42, 2, 3.0, "x", b"3" * 32, b"5" * 32)]
+    df = spark.createDataFrame([*whole, *fork, *stray, *twice], LOG)
+    got = {(r.conv_id, r.branch_id): r.gap for r in dialogs.assemble(dialogs.fragments(df), df).collect()}
+    assert got == {("c", "b"): False, ("c", "f"): False, ("c", "s"): True, ("d", "b"): True, ("c", "n"): True, ("e", "b"): True}
 
 
 def test_no_messages(spark):
