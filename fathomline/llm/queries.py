@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    near = vector_neighbours.nearest(_table(spark, d, "chunk_vectors"), "chunk_id", "embedding")
+    near = vector_neighbours.nearest(_table(spark, d, "chunk_vectors"), "chunk_id", "embedding", exact=False)
     return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
 
 

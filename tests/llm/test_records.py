@@ -61,6 +61,36 @@ def test_neighbours_recall(vectors):
     assert max(r["rank"] for r in rows) == 10 and all(abs(r.cosine - c[r.id, r.other]) < 1e-5 for r in rows)
 
 
+@pytest.mark.parametrize(("bits", "dim"), [(8, 5), (10, 5), (10, 64)])
+def test_packed_vectors(bits, dim):
+    x = np.random.default_rng(0).normal(size=(50, dim)).astype("f4")
+    y = vector_neighbours.unpack(vector_neighbours.pack(x, bits), dim, bits).astype("f8")
+    assert y.shape == x.shape and np.abs(y).max() == (1 << (bits - 1)) - 1
+    cos = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    assert cos.min() > 1 - 4 ** (8 - bits) * 1e-4
+
+
+def test_neighbours_of_the_packed_vectors(vectors):
+    x, df = vectors
+    c = cosines(x)
+    rows = vector_neighbours.nearest(df, "chunk_id", "embedding", exact=False).collect()
+    rank = {}
+    for r in rows:
+        rank.setdefault(r.id, []).append((r["rank"], r.other, r.cosine))
+    assert set(rank) == set(range(900)) and all(sorted(k for k, _, _ in v) == list(range(1, 11)) for v in rank.values())
+    hit = [o in np.argsort(-c[i])[:10] for i, v in rank.items() for _, o, _ in v]
+    assert np.mean(hit) >= 0.98 and max(abs(s - c[i, o]) for i, v in rank.items() for _, o, s in v) < 0.004
+    assert (3, 1) in {(i, k) for i, v in rank.items() for k, o, _ in v if o == 700}
+
+
+def test_vectors_of_other_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=8 if i % 3 else 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    got = vector_neighbours.nearest(df, "chunk_id", "embedding", k=4, window=64).collect()
+    assert len(got) == 240 and all((r.id % 3 == 0) == (r.other % 3 == 0) for r in got)
+
+
 def test_crowds_of_equal_and_nearly_equal_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 16))
