@@ -292,3 +292,36 @@ def test_alignment_marks_equal_letters():
     x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in ("abcdefghij", "zzabcXdefgij"))
     hit = leaks.align([x, x[:3]], [y, y], [2, 2], 6)
     assert "".join(c for c, h in zip("abcdefghij", hit[0], strict=True) if h) == "abcdefgij" and hit[1].all()
+
+
+def test_control_characters_in_marked_text():
+    text = "\x0312\x03 a <b>bold</b> \x01word\x02 and <code>x</code> \x03"
+    assert markup.clean(text) == ("\x0312\x03 a bold \x01word\x02 and x \x03", {"html"})
+    assert markup.clean("﷐ <i>x</i> \x01")[0] == "﷐ x \x01"
+
+
+def test_nesting_and_lengths_have_no_limit():
+    deep = "before {{a|" * 6 + "x" + "}}" * 6 + " after"
+    assert markup.clean("{{a|{{b|{{c|{{d|{{e}}}}}}}}}} rest of it")[0].strip() == "rest of it"
+    assert markup.clean(deep)[0] == "before  after" or markup.clean(deep)[0] == "before after"
+    assert markup.clean("\\textbf{a \\emph{b \\textit{c \\underline{d \\texttt{e}}}}} f")[0] == "a b c d e f"
+    assert markup.clean("x\\footnote{a {b {c {d}}} e} y")[0].startswith("x y")
+    assert markup.signs("[[" + "a" * 5000 + "]]") == {"wiki"}
+    long = "Heading of many words " * 20
+    assert markup.clean(f"{long.strip()}\n====\n\ntext <b>x</b>")[0].startswith("# Heading")
+    assert markup.clean("{{" * 50_000 + " word <b>x</b>")[1] >= {"html"}
+
+
+def test_labels_decide_what_is_markup():
+    prose = "    The rest of the report is about the *old* pump and the loss of it, as the desk has it on file, and no more.\n"
+    code = "    for *p* in x: q[0] = **y**\n\n    z = *w*\n"
+    assert markup.signs("intro\n\n" + prose) == {"markdown"} and markup.signs("intro\n\n" + code) == set()
+    blocks = ["    x = {1: 2}", "    y z", "word", "The rest of the report is about the old pump and the loss of it."]
+    assert markup.classify(blocks) == ["code", "code", "text", "text"]
+    assert markup.classify(["\x01home\x02 \x01shop\x02", "see", "\x01a\x02"]) == ["menu", "menu", "menu"]
+
+
+def test_plain_menus_are_left_out():
+    menu = "https://a.org/one https://a.org/two https://a.org/three"
+    text = "The rest of the report is about the old pump and the loss of it, as https://a.org has it."
+    assert markup.clean(f"{menu}\n\n{text}\n") == (text, set()) and markup.clean(text + "\n") == (text + "\n", set())
