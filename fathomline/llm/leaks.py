@@ -41,7 +41,7 @@ from ..session import cut
 from .codepoints import alnum_table, decode, owners, segment_hash, slices
 from .lookalikes import settled, skeleton
 from .markup import clean
-from .scans import BROKEN, head_of, number_on
+from .scans import BROKEN, head_of, number_on, page_ends
 
 Q, SHORT = 16, 8
 #: letters for each error that a passage may hold
@@ -51,10 +51,6 @@ SPARE = 4
 BAND = 256
 #: Items and letters of items indexed at once; a block's index is at most some tens of megabytes.
 BLOCK, BLOCK_LETTERS = 20_000, 1 << 21
-#: lines from a page number or form feed in which a page head stands
-NEAR = 3
-#: a line longer than this is a page head only near a page number or form feed
-WIDE = 90
 # Glyphs that a scanner takes for one another, one by one.
 _GLYPHS = {"c": "e", "5": "s", "0": "o", "@": "a", "1": "i", "|": "i", "l": "i", "9": "g", "b": "h", "8": "h", "6": "e", "7": "t", "f": "t", "и": "n", "т": "m", "б": "e"}
 _TAGGED = re.compile(r"<[!/a-zA-Z][^<>]*>|&#?\w+;")
@@ -377,18 +373,16 @@ def put_in_order(text: str) -> str:
     """
     text = clean(text, blocks=True)[0] or ""
     if "\n" in text or "\f" in text:
-        pieces = re.split(r"(\r\n|[\n\r\f])", text)
+        lines = [x.strip() for x in re.split(r"\r\n|[\n\r\f]", text)]
         heads: dict[str, int] = {}
         parsed = []
-        for line in pieces[::2]:
-            line = line.strip()
+        for line in lines:
             page, rest = number_on(line) if line else (None, line)
             head = head_of(rest) if rest else None
             if head:
                 heads[head] = heads.get(head, 0) + 1
             parsed.append((page, rest, head))
-        ends = {j for i, x in enumerate(pieces[1::2]) if x == "\f" for j in (i, i + 1)} | {i for i, x in enumerate(parsed) if x[0]}
-        paged = {j for i in ends for j in range(i - NEAR, i + NEAR + 1)}
+        paged = page_ends(text, lines)
         kept = [rest or "" for i, (page, rest, head) in enumerate(parsed) if not (page and (not head or heads[head] > 1)) and not (head and heads[head] > 1 and i in paged)]
         text = re.sub(r"\n{2,}", "\n", "\n".join(kept)) if len(kept) < len(parsed) else "\n".join(kept)
         text = BROKEN.sub("", text)

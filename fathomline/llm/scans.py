@@ -1,9 +1,12 @@
 """Problem 6: noise in text from scanned pages.
 
 Method: words are grouped by a confusable-glyph skeleton over the whole
-corpus, and of each group the frequent forms that context supports are kept;
-digits are masked to find running heads and page numbers among the lines; SQL
-windows over the lines then reflow what is left into paragraphs.
+corpus. Of each group a form is right where it is far more frequent than
+another that it can be misread as; where it is only more frequent, the words
+beside an occurrence decide: the right form must be known between them. Digits
+are masked to find running heads and page numbers among the lines; SQL windows
+over the lines then reflow what is left into paragraphs. A word broken at a
+hyphen keeps it if the corpus has it so, or has both halves but not the whole.
 
 Defined results: a null, empty or blank text has no noise and stays as it is;
 a repeated id is judged on all its rows together; ties between forms go to the
@@ -34,15 +37,19 @@ CONFUSIONS = [
 # One representative for the glyphs that are taken for one another.
 _FROM, _TO = "c50о@!1|l9b8тибé27fзü", "esooaiiiighhmn66ztt3u"
 _PAIRS = [("ei", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("u", "h")]
-TOKEN = re.compile(r"[\w!|@]{3,40}")
+TOKEN = re.compile(r"[\w!|@]{2,}")
 BROKEN = re.compile(r"(?<=\w)[-‐‑\xad¬][ \t]*[\r\n\f]+[ \t]*(?=\w)")
 _BREAKS = [h + e for h in "-‐‑\xad¬" for e in ("\n", "\r", "\f", " \n")]
 _BREAK = re.compile(r"[-‐‑\xad¬][ \t]*[\r\n\f]+\s*\S")
-_CODE = re.compile(r"[^\W\d_]{2}[0-9]{2,}$|^[0-9]{2}")  # a name with a number
+_CODE = re.compile(r"(?:^|[^\W\d_])[^\W\d_][0-9]{2,}$|^[0-9]{2}")  # a name with a number
 _LONE = re.compile(r"[^\W\d_]{2}[0-9!|@][^\W\d_]{2}")
 STRONG = re.compile(r"[!|@]|[^\W\d_][0-9]|[0-9][^\W\d_]")
 #: how much more frequent the right form is than a misreading that itself looks like a word
 RATIO = 60
+#: and how much where the words beside it support it
+NEAR_RATIO = 8
+#: a line longer than this is a page head only within NEAR lines of a page number or form feed
+WIDE, NEAR = 90, 3
 
 _N = r"[0-9lIOoSBZ]{0,3}[0-9lO][0-9lIOoSBZ]{0,3}"
 _PAGE = re.compile(rf"(?:[-–—]\s*({_N})\s*[-–—]|\[\s*({_N})\s*\]|(?:[pP](?:[a@]g[ec]|\.)|S\.|Seite|стр\.)\s*({_N})(?:\s+(?:of|0f|/)\s+{_N})?|({_N}))")
@@ -122,40 +129,45 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 
 def misreadings(words: DataFrame) -> DataFrame:
-    """``(word, right, strong)``: forms that a much more frequent form of their skeleton explains.
-
-    ``strong`` forms carry a digit or sign among their letters; others could be
-    words, so they need ``RATIO`` times as frequent a form.
+    """``(word, right, strong, sure, place)``: forms that more frequent forms of their skeleton explain, best first.
+
+    ``strong`` forms carry a digit or sign among their letters, so any glyph of
+    the skeleton may stand for another; others could be words, so they need a
+    known confusion and ``RATIO`` times as frequent a form, or ``NEAR_RATIO``
+    times and the context's support, which is what those not ``sure`` need.
+    The forms of a skeleton stream by in order of frequency; only those that
+    may explain rarer ones are held.
     """
 
     def run(batches):
+        now, held = None, []
         for b in batches:
             out = []
-            for forms in b.column(0).to_pylist():
-                forms = sorted(((f["n"], f["word"]) for f in forms), key=lambda f: (-f[0], f[1]))
-                for k, (n, word) in enumerate(forms):
-                    bare = word.rstrip("!@")
-                    strong = bool(STRONG.search(bare))
-                    if _CODE.search(bare):
-                        continue
-                    for m, right in forms[:k]:
-                        if m < (n + 1 if strong else max(20, RATIO * n)):
-                            break
-                        if (strong and not STRONG.search(right) or not strong and len(bare) > 3) and derives(right, bare):
-                            out.append((word, right, strong))
+            for skel, n, word in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if skel != now:
+                    now, held = skel, []
+                bare = word.rstrip("!@")
+                strong = bool(STRONG.search(bare))
+                mine = []
+                if held and not _CODE.search(bare) and (strong or len(bare) > 3):
+                    for m, right in held:
+                        sure = len(bare) > 2 and m >= (n + 1 if strong else max(20, RATIO * n))
+                        if m < max(20, NEAR_RATIO * n) and not sure:
                             break
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.bool_()))], ["word", "right", "strong"])
+                        known = derives(right, bare)
+                        if not (strong and STRONG.search(right)) and (strong or known):
+                            mine.append((not known, right, sure))
+                out.extend((word, right, strong, sure, place) for place, (_, right, sure) in enumerate(sorted(mine, key=lambda x: x[0])))
+                if n > 1:
+                    held.append((n, word))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()))], ["word", "right", "strong", "sure", "place"])
 
-    groups = words.groupBy("skeleton").agg(F.collect_list(F.struct("word", "n")).alias("forms"), F.max("n").alias("top"))
-    return groups.filter((F.size("forms") > 1) & (F.col("top") > 1)).select("forms").mapInArrow(run, "word string, right string, strong boolean")
+    ordered = words.select("skeleton", "n", "word").repartition("skeleton").sortWithinPartitions("skeleton", F.desc("n"), "word")
+    return ordered.mapInArrow(run, "word string, right string, strong boolean, sure boolean, place int")
 
 
-def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """``(key, word, right, strong)`` of each text's words that ``wanted`` has.
-
-    A bit table of bounded size keeps nearly all other words from the join.
-    """
-    kind = df.schema[key].dataType.simpleString()
+def bit_table(wanted: DataFrame, column: str, most_bits: int = 1 << 28) -> tuple[int, np.ndarray]:
+    """Bits, at most ``most_bits``, with those of the hashes of ``column`` set."""
     bits = min(most_bits, 1 << max(16, int(16 * wanted.count()).bit_length()))
 
     def fold(batches):
@@ -170,36 +182,84 @@ def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: i
                     yield pa.RecordBatch.from_pydict({"s": [s], "v": [zlib.compress(filled[s : s + size].tobytes(), 1)]})
 
     filled = np.zeros(bits >> 3, np.uint8)
-    for row in wanted.select("word").coalesce(16).mapInArrow(fold, "s long, v binary").toLocalIterator():  # bounded by most_bits
+    for row in wanted.select(column).coalesce(16).mapInArrow(fold, "s long, v binary").toLocalIterator():  # bounded by most_bits
         part = np.frombuffer(zlib.decompress(bytes(row.v)), np.uint8)
         filled[row.s : row.s + len(part)] |= part
+    return bits, filled
+
+
+def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """``(key, word, before, after, right, strong, sure, place)`` of each text's words that ``wanted`` has, with the words beside them.
+
+    A bit table of bounded size keeps nearly all other words from the join.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    bits, filled = bit_table(wanted, "word", most_bits)
     shared = df.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
         table = shared.value
         for b in slices(batches, "t"):
-            words, owner = [], []
+            rows: list[tuple] = []
             for i, t in enumerate(b.column(1).to_pylist()):
-                own = set(tokens(t))
-                words.extend(own)
-                owner.append(len(own))
-            at = np.array([zlib.crc32(w.encode()) for w in words], np.int64) & (bits - 1)
-            hit = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            rows = np.repeat(np.arange(b.num_rows), owner)[hit]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([words[i] for i in hit], pa.string())], ["k", "word"])
+                all_ = tokens(t)
+                own = list(set(all_))
+                at = np.array([zlib.crc32(w.encode()) for w in own], np.int64) & (bits - 1)
+                hit = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                if len(hit):
+                    some = {own[j] for j in hit.tolist()}
+                    rows.extend({(i, w, all_[j - 1] if j else "", all_[j + 1] if j + 1 < len(all_) else "") for j, w in enumerate(all_) if w in some})
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[j] for r in rows], pa.string()) for j in (1, 2, 3))], ["k", "word", "before", "after"])
+
+    found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(run, f"k {kind}, word string, before string, after string")
+    return found.join(wanted, "word").select(F.col("k").alias(key), "word", "before", "after", "right", "strong", "sure", "place")
+
+
+def supported(df: DataFrame, text: str, pairs: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """``(pair, n)``: how often the pairs of words ``pairs (pair)``, two words with a space between, follow one another in all texts."""
+    bits, filled = bit_table(pairs, "pair", most_bits)
+    shared = df.sparkSession.sparkContext.broadcast(filled)
 
-    found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(run, f"k {kind}, word string")
-    return found.join(wanted, "word").select(F.col("k").alias(key), "word", "right", "strong")
+    def run(batches):
+        table = shared.value
+        for b in slices(batches, "t"):
+            seen: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                w = tokens(t)
+                both = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+                at = np.array([zlib.crc32(x.encode()) for x in both], np.int64) & (bits - 1)
+                seen.update(both[j] for j in np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pair", "n"])
+
+    counts = df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return counts.join(pairs, "pair", "left_semi")
+
+
+def decided(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``(key, word, right, strong)``: the misread words of each text, each with the form that its neighbours support best.
+
+    Both neighbours must be known beside the right form, each more often than
+    once, where the form is not sure by its frequency.
+    """
+    found = cut(words_in(df, key, text, wanted))
+    several = found.groupBy("word").agg(F.max("place").alias("others")).filter("others > 0").select("word")
+    open_ = found.filter("not sure").unionByName(found.filter("sure").join(several, "word", "left_semi"))
+    before, after = F.concat_ws(" ", "before", "right"), F.concat_ws(" ", "right", "after")
+    known = cut(supported(df, text, open_.select(before.alias("pair")).union(open_.select(after.alias("pair"))).distinct()))
+    told = found.withColumn("b", before).withColumn("a", after).join(known.select(F.col("pair").alias("b"), F.col("n").alias("nb")), "b", "left").join(known.select(F.col("pair").alias("a"), F.col("n").alias("na")), "a", "left")
+    support = (F.coalesce("nb", F.lit(0)) > 1).cast("int") + (F.coalesce("na", F.lit(0)) > 1).cast("int")
+    best = told.withColumn("support", support).filter("sure or support = 2").groupBy(key, "word").agg(F.max(F.struct("support", (-F.col("place")).alias("first"), "right", "strong", "sure")).alias("m"))
+    return best.select(key, "word", "m.right", "m.strong")
 
 
 def number_on(line: str) -> tuple[str | None, str | None]:
     """The printed page number on a stripped line, and the rest of the line, if anything."""
-    if len(line) <= 20 and (m := _PAGE.fullmatch(line)):
+    if m := _PAGE.fullmatch(line):
         return next(filter(None, m.groups())), None
     if "  " in line or "\t" in line:
         parts = _GAP.split(line)
         for part, rest in ((parts[-1], parts[:-1]), (parts[0], parts[1:])):
-            if len(part) <= 20 and (m := _PAGE.fullmatch(part)):
+            if m := _PAGE.fullmatch(part):
                 return next(filter(None, m.groups())), " ".join(rest)
         line = " ".join(parts)
     return None, line
@@ -212,6 +272,13 @@ def head_of(line: str | None) -> str | None:
     return skeleton(_MASK.sub("9", line).lower())
 
 
+def page_ends(text: str, lines: list[str]) -> set[int]:
+    """Which of the stripped ``lines`` of ``text`` stand near a page number or form feed."""
+    feeds = [m.group() for m in _LINES.finditer(text)]
+    ends = {j for i, x in enumerate(feeds) if x == "\f" for j in (i, i + 1)} | {i for i, x in enumerate(lines) if x and number_on(x)[0]}
+    return {j for i in ends for j in range(i - NEAR, i + NEAR + 1)}
+
+
 def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(k, at, kind, page, head)``: what single lines of each text could be.
 
@@ -235,11 +302,12 @@ def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
                 heads: Counter = Counter()
                 found = []
                 lines = [x.strip() for x in _LINES.split(t)]
+                paged = page_ends(t, lines) if max(map(len, lines)) > WIDE else ()
                 marked = marked_lines(lines) if t[:2] == "# " or any(x in t for x in _STRUCTURE) else ()
                 for at, line in enumerate(lines):
-                    if 0 < len(line) <= 90:
+                    if line:
                         page, rest = number_on(line)
-                        head = None if at in marked else head_of(rest)
+                        head = None if at in marked or len(line) > WIDE and at not in paged else head_of(rest)
                         if head:
                             heads[head] += 1
                         if page or head:
@@ -305,7 +373,7 @@ def scan_noise(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     docs = df.select(F.col(key), F.col(text).cast("string").alias("t")).filter("t is not null")
     wanted = cut(misreadings(vocabulary(docs, "t")))
     marks = cut(page_marks(docs, key, "t"))
-    return _noise(marks, cut(words_in(docs, key, "t", wanted)), key)
+    return _noise(marks, cut(decided(docs, key, "t", wanted)), key)
 
 
 def _noise(marks: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -337,7 +405,7 @@ def repaired(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     some = docs.filter("t is not null")
     wanted = cut(misreadings(vocabulary(some, "t")))
     marks = cut(page_marks(some, key, "t"))
-    found = cut(words_in(some, key, "t", wanted))
+    found = cut(decided(some, key, "t", wanted))
     noisy = cut(_noise(marks, found, key).select(key).distinct())
     scans = some.join(noisy, key, "left_semi")
     fixes = found.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fix"))
@@ -351,20 +419,62 @@ def repaired(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     kept = kept.filter(~blank)
     # A blank line is a paragraph only after an end of sentence; within one it is a page break.
     new = F.col("gap") & F.coalesce(F.col("before").rlike(r"[.!?:…\"»”)]$") | (F.length("before") < 50) & ~F.col("before").rlike(r"[-‐‑\x{AD}¬,]$") & ~F.col("line").rlike(r"^\p{Ll}"), F.lit(True))
-    kept = kept.withColumn("para", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    paras = kept.groupBy("k", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("p"))
-    whole = F.regexp_replace(F.regexp_replace("p", r"(?<=\p{L})[‐\x{AD}¬]\n(?=\p{L})|(?<=\p{Ll})-\n(?=\p{Ll})", ""), r"([-‐‑])\n", "$1")
-    paras = paras.select("k", "para", F.regexp_replace(whole, r"\s*\n\s*", " ").alias("p"))
-    texts = paras.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "p"))), lambda x: x["p"]), "\n\n").alias("clean"))
-    joined = docs.join(texts.withColumnRenamed("k", key), key, "left").join(fixes, key, "left")
+    # Items of a list stay on lines of their own; a number begins one only behind the end of something.
+    item = F.col("line").rlike(r"^[-*•–+]\s+\S") | F.col("line").rlike(r"^(?:\d{1,3}[.)]|\p{L}\))\s+\S") & F.coalesce(F.col("before").rlike(r"[.!?:;…]$") | F.col("before").rlike(r"^(?:\d{1,3}[.)]|\p{L}\))\s+\S"), F.lit(True))
+    kept = kept.withColumn("new", new).withColumn("item", item)
+    kept = kept.withColumn("para", F.sum((F.col("new") | F.col("item")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    paras = kept.groupBy("k", "para").agg(F.min_by("new", "at").alias("new"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("p"))
+    paras = paras.select("k", "para", F.concat(F.when(F.col("para") == 1, "").when(F.col("new"), "\n\n").otherwise("\n"), F.regexp_replace("p", "\n", "\x0b")).alias("p"))
+    texts = paras.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "p"))), lambda x: x["p"]), "").alias("clean"))
+    whole = texts.join(kept_hyphens(some, texts), "k", "left")
+    joined = docs.join(whole.withColumnRenamed("k", key), key, "left").join(fixes, key, "left")
 
     def run(batches):
         for b in batches:
-            out = [put_right(t if clean is None else clean, dict(fix) if fix else None) for t, clean, fix in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            cols = (b.column(i).to_pylist() for i in (1, 2, 3, 4))
+            out = [put_right(t if clean is None else reflowed(clean, set(hyphens or ())), dict(fix) if fix else None) for t, clean, hyphens, fix in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["k", "t"])
 
     kind = df.schema[key].dataType.simpleString()
-    return joined.select(F.col(key).alias("k"), "t", "clean", "fix").mapInArrow(run, f"k {kind}, t string").select(F.col("k").alias(key), F.col("t").alias(text))
+    return joined.select(F.col(key).alias("k"), "t", "clean", "hyphens", "fix").mapInArrow(run, f"k {kind}, t string").select(F.col("k").alias(key), F.col("t").alias(text))
+
+
+# A word over the end of a line, which is a vertical tab by now.
+_OVER = re.compile(r"(\w+)([-‐‑\xad¬])\s*\x0b\s*(\w+)")
+
+
+def kept_hyphens(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(k, hyphens)``: of the words of ``texts (k, clean)`` broken at a hyphen those, as ``a-b``, to which it belongs.
+
+    Counted are whole words and compounds of all ``docs (t)``, broken ones left out.
+    """
+    over = F.regexp_extract_all(F.lower("clean"), F.lit(r"([\p{L}\p{N}]+[-‐‑]\s*\x0b\s*[\p{L}\p{N}]+)"), 1)
+    broken = cut(texts.select("k", F.explode(F.array_distinct(over)).alias("w")).select("k", F.split("w", r"[-‐‑]\s*\x0b\s*").alias("h")).select("k", F.col("h")[0].alias("a"), F.col("h")[1].alias("b")))
+    forms = {"ab": F.concat("a", "b"), "a_b": F.concat_ws("-", "a", "b"), "a": F.col("a"), "b": F.col("b")}
+    pairs = broken.select("a", "b").distinct()
+    wanted = cut(pairs.select(F.explode(F.array(*forms.values())).alias("form")).distinct())
+    plain = F.regexp_replace(F.lower("t"), r"[\p{L}\p{N}]+[-‐‑\x{AD}¬]\s*[\r\n\f]+\s*[\p{L}\p{N}]+", " ")
+    words = docs.select(F.explode(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*)"), 1)).alias("form"))
+    counts = cut(words.join(wanted, "form", "left_semi").groupBy("form").agg(F.count("*").alias("n")))
+    for name, form in forms.items():
+        pairs = pairs.withColumn("form", form).join(counts.withColumnRenamed("n", f"n_{name}"), "form", "left").drop("form").fillna(0, [f"n_{name}"])
+    own = pairs.filter("n_a_b > n_ab or n_a_b = n_ab and n_ab = 0 and least(n_a, n_b) >= 5").select("a", "b")
+    return broken.join(own, ["a", "b"]).groupBy("k").agg(F.collect_set(F.concat_ws("-", "a", "b")).alias("hyphens"))
+
+
+def reflowed(text: str, hyphens: set[str]) -> str:
+    """``text`` with the lines of a paragraph as one; a word broken at a hyphen of its own, or before a capital or digit, keeps it."""
+
+    def join(m):
+        a, mark, b = m.groups()
+        if mark in "\xad¬" or f"{a}-{b}".lower() not in hyphens and (b[0].islower() and a[-1].islower() or mark == "‐" and a[-1].isalpha() and b[0].isalpha()):
+            return a + b
+        return f"{a}{mark}{b}"
+
+    old = None
+    while old != text:  # a part of a word may be broken again
+        old, text = text, _OVER.sub(join, text)
+    return re.sub(r"\s*\x0b\s*", " ", re.sub(r"([-‐‑])\x0b", r"\1", text))
 
 
 def put_right(text: str | None, fix: dict[str, str] | None) -> str | None:

@@ -325,3 +325,71 @@ def test_plain_menus_are_left_out():
     menu = "https://a.org/one https://a.org/two https://a.org/three"
     text = "The rest of the report is about the old pump and the loss of it, as https://a.org has it."
     assert markup.clean(f"{menu}\n\n{text}\n") == (text, set()) and markup.clean(text + "\n") == (text + "\n", set())
+
+
+def test_lengths_of_scans_have_no_limit(spark):
+    long = "antidisestablishmentarianismsandcounterrevolutionaries"
+    head = "A running head of a page that is far longer than ninety characters because the printer had much room"
+    page = "[ " + "1" * 3 + " ]"
+    text = f"{head}\nthe first page of it goes on\n{page}\n\f{head}\nand the second ends here\n[ 112 ]\n"
+    wide = "A line of prose that is repeated and that is far longer than ninety characters but stands on no page end"
+    rows = [(1, text), (2, f"{wide}\na\nb\nc\nd\n{wide}\nx\n")]
+    got = {tuple(r) for r in scans.scan_noise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, "running_head"), (1, "page_no")}
+    assert scans.tokens(f"a {long} b") == [long] and scans.number_on("Seite   12  of  14")[0] == "12"
+
+
+def test_hyphens_of_their_own_and_lists(spark):
+    clean = "the well-known pump of the long-lived desk has a gearbox. " * 6 + "an old fellow went over and about it. " * 6
+    scan = "the well-\nknown pump and the gear-\nbox of the Set-\nPoint desk are of a long-\nlived kind; an old-\nfellow sepa-\nrate loss¬\nes.\n* item one of it\n* item two\ngoes on.\n1. first\n2. second"
+    rows = [(1, scan), *((10 + i, clean) for i in range(3))]
+    out = {r.doc_id: r.text for r in scans.repaired(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[1] == "the well-known pump and the gearbox of the Set-Point desk are of a long-lived kind; an old-fellow separate losses.\n* item one of it\n* item two goes on.\n1. first\n2. second"
+    assert out[10] == clean
+
+
+def test_neighbours_decide_between_forms(spark):
+    # "bare" is a word of its own, one tenth as frequent as "hare"; only where its neighbours know "hare" is it misread.
+    rows = [(100 + i, "then a hare runs over the old field") for i in range(300)]
+    rows += [(500 + i, "with bare hands they went") for i in range(20)]
+    rows += [(1, "then a bare runs over\nthe old field with\n- 1 -\n\fso the\n- 2 -\n"), (2, "with bare hands they went\nover it\n- 1 -\n\fso the\n- 2 -\n")]
+    got = {tuple(r) for r in scans.scan_noise(spark.createDataFrame(rows, DOCS)).filter("noise = 'misread'").collect()}
+    assert got == {(1, "misread")}
+
+
+def test_planted_noise_is_repaired(spark):
+    import random
+
+    rng = random.Random(7)
+    words = "pump valve gearbox furnace register movement detail signature archive relay branch harbour timber meadow lantern bridge copper window garden engine".split()
+    common = "the a of and with into over under from that this every".split()
+    sentence = lambda: " ".join(rng.choice(common) if i % 2 else rng.choice(words) for i in range(12)).capitalize() + "."
+    texts = [" ".join(sentence() for _ in range(12)) for _ in range(160)]
+    rows, want = [], {}
+    for i, t in enumerate(texts):
+        if i % 4:
+            rows.append((i, t))
+            continue
+        want[i], lines, line = t, [], ""
+        for w in t.split():
+            bare = w.rstrip(".")
+            if len(bare) > 5 and rng.random() < 0.08:
+                w = w.replace("e", "c", 1) if rng.random() < 0.5 else w.replace("i", "1", 1).replace("a", "@", 1)
+            if len(line) + len(w) > 50:
+                if len(bare) > 6 and w.isalpha():
+                    lines.append(f"{line} {w[:4]}-".strip())
+                    line = w[4:]
+                    continue
+                lines.append(line)
+                line = ""
+            line = f"{line} {w}".strip()
+        lines.append(line)
+        pages = [lines[s : s + 8] for s in range(0, len(lines), 8)]
+        rows.append((i, "\n\f".join("\n".join(["Works Report of Tamir", *p, f"- {20 + n} -"]) for n, p in enumerate(pages))))
+    out = {r.doc_id: r.text for r in scans.repaired(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[i] == t for i, t in rows if i not in want)
+    pairs = [(a, b) for i, t in want.items() for a, b in zip(t.split(), out[i].split(), strict=False)]
+    assert all(len(t.split()) == len(out[i].split()) for i, t in want.items())
+    wrong = [p for p in pairs if p[0] != p[1]]
+    assert len(wrong) <= 0.005 * len(pairs), wrong[:40]
+    assert sum(a == b for a, b in pairs) >= 0.995 * len(pairs)
