@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -57,10 +57,15 @@ def query_similarity(metric: str, a: Column, b: Column) -> Column:
     return (cosine(a, b) + 1) / 2 if metric == "cosine" else similarity(metric, distance(metric, a, b))
 
 
-def min_max(value: Column, over) -> Column:
-    """``value`` scaled to 0 to 1 over a window; all zeros where the range vanishes."""
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.when(high - low < 1e-9, F.lit(0.0)).otherwise((value - low) / (high - low))
+def min_max(df: DataFrame, value: str, group: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` scaled to 0 to 1 within its ``group``; all zeros where the range vanishes.
+
+    Least and greatest are aggregated before they are shuffled and joined back, so a large group is never one task's.
+    """
+    ends = df.groupBy(F.col(group).alias("_group")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    scaled = F.when(width < 1e-9, F.lit(0.0)).otherwise((F.col(value) - F.col("_low")) / width)
+    return df.join(ends, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, scaled).drop("_group", "_low", "_high")
 
 
 def recency(newest: Column, ts: Column, scale: float = 3600.0) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import guard_verdict, squeeze, strip
+from ..functions.text import Template, guard_verdict, squeeze, strip
 
 
 def _joined(order: str, value: Column, sep: str) -> Column:
@@ -65,13 +65,20 @@ def history_block(rows: DataFrame, key: str = "query_id") -> DataFrame:
     return rows.withColumn("s", said).filter("s <> ''").groupBy(key).agg(_joined("turn", F.concat(F.lit("- "), F.col("s")), "\n").alias("block"))
 
 
-def guard_prompt(view: DataFrame, categories: list[tuple[str, str, str]], target: str = "User", key: str = "dialog_id") -> DataFrame:
+# The wording that a guard model was trained on; {target}, {categories} and {conversation} are filled in.
+GUARD_TEMPLATE = (
+    "<|begin_of_text|><|header_start|>user<|header_end|>\n\nTask: Check if there is unsafe content in '{target}' messages in conversations according to our safety policy with the below categories.\n\n"
+    "<BEGIN UNSAFE CONTENT CATEGORIES>\n{categories}\n<END UNSAFE CONTENT CATEGORIES>\n\n<BEGIN CONVERSATION>\n\n{conversation}\n\n<END CONVERSATION>\n\n"
+    "Provide your safety assessment for ONLY THE LAST {target} in the above conversation:\n- First line must read 'safe' or 'unsafe'.\n- If unsafe, a second line must include a comma-separated list of violated categories."
+    "<|eot|><|header_start|>assistant<|header_end|>"
+)
+
+
+def guard_prompt(view: DataFrame, categories: list[tuple[str, str, str]], target: str = "User", key: str = "dialog_id", template: str = GUARD_TEMPLATE) -> DataFrame:
     """``(key, prompt)``: the guard's question about the last ``target`` turn, with ``categories`` of (code, title, description)."""
-    listed = "\n".join(["<BEGIN UNSAFE CONTENT CATEGORIES>", *(x for c, t, d in categories for x in (f"{c}: {t}. ", d)), "<END UNSAFE CONTENT CATEGORIES>"])
-    head = f"<|begin_of_text|><|header_start|>user<|header_end|>\n\nTask: Check if there is unsafe content in '{target}' messages in conversations according to our safety policy with the below categories.\n\n{listed}\n\n<BEGIN CONVERSATION>\n\n"
-    tail = f"\n\n<END CONVERSATION>\n\nProvide your safety assessment for ONLY THE LAST {target} in the above conversation:\n- First line must read 'safe' or 'unsafe'.\n- If unsafe, a second line must include a comma-separated list of violated categories.<|eot|><|header_start|>assistant<|header_end|>"
-    body = _joined("turn", F.concat("role", F.lit(": "), strip(F.coalesce("content", F.lit("")))), "\n")
-    return view.groupBy(key).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("prompt"))
+    listed = "\n".join(line for code, title, told in categories for line in (f"{code}: {title}. ", told))
+    talk = view.groupBy(key).agg(_joined("turn", F.concat("role", F.lit(": "), strip(F.coalesce("content", F.lit("")))), "\n").alias("talk"))
+    return talk.select(key, Template(template).render({"target": F.lit(target), "categories": F.lit(listed), "conversation": F.col("talk")}).alias("prompt"))
 
 
 def guarded(dialogs: DataFrame, verdicts: DataFrame, key: str = "dialog_id") -> DataFrame:

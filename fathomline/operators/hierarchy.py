@@ -14,7 +14,7 @@ factor from round to round.
 Defined results: a null or ``none`` parent marks a root; a parent that does
 not exist makes the node and all below it ``orphan``; nodes on a cycle are
 ``cycle``, those that lead into one ``below_cycle``; these three have neither
-root, depth nor path. Rows with a null id are dropped; of a repeated id the row
+root, depth, path nor a number of descendants. Rows with a null id are dropped; of a repeated id the row
 with the smallest ``order`` counts, then the smallest parent. Columns other
 than those named are ignored. Empty input gives an empty result.
 """
@@ -177,7 +177,8 @@ def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, no
     stay = local.filter(F.col("kind") == STAY).select("id", F.col("block").alias("part"))
     held = known.join(stay, "id").select("id", "root", "depth", "state", "below", "path", "part")
     gone = local.filter(F.col("kind") != STAY).groupBy("block")
-    return known.unionByName(gone.cogroup(held.groupBy("part")).applyInPandas(lambda rows, have: _restore_block(rows, have, paths), _STATE))
+    nodes = known.unionByName(gone.cogroup(held.groupBy("part")).applyInPandas(lambda rows, have: _restore_block(rows, have, paths), _STATE))
+    return nodes.withColumn("below", F.when(F.col("state") == "ok", F.col("below")))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:

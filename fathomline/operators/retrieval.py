@@ -61,8 +61,7 @@ def seeds(chunks: DataFrame, queries: DataFrame, lexical: DataFrame, p: Params =
 
 def scaled_lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, id, lex)``: BM25 scaled to 0 to 1 within each query; a single hit scores 0."""
-    scores = bm25(chunks, queries)
-    return scores.select("query_id", "id", min_max(F.col("score"), Window.partitionBy("query_id")).alias("lex"))
+    return min_max(bm25(chunks, queries), "score", "query_id", "lex").select("query_id", "id", "lex")
 
 
 def beam(chunks: DataFrame, queries: DataFrame, start: DataFrame, lexical: DataFrame, adjacent: DataFrame, p: Params = Params()) -> DataFrame:

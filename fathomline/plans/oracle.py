@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _EDGE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+_BARE = r"regexp_replace(x, '<\|[^>]+?\|>', '', 'g')"
 _PUNCT = "._-~=*#•·–—─━═"
 
 
@@ -102,7 +103,7 @@ seeds AS (SELECT query_id, id, s + CASE WHEN contains(lower(coalesce(text, '')),
 """
 
 
-def _beam() -> str:
+def _beam(last: str | None = None) -> str:
     """The beam unrolled, level by level."""
     sql = (
         _SEEDS
@@ -126,27 +127,32 @@ s{level} AS (SELECT r.query_id, r.row_, r.score, e.dst AS id,
 t{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, row_ ORDER BY base DESC, id) AS rn FROM s{level} WHERE base > 0) WHERE rn <= 8),
 f{level + 1} AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, row_) AS rn FROM (
   SELECT query_id, row_, id, score + {fade} * base + CASE WHEN phrase THEN 0.1 * {fade} ELSE 0 END AS score FROM t{level})) WHERE rn <= 8)"""
+    if last:
+        return sql + f""", {last} AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3) GROUP BY query_id, id)"""
     return sql + "SELECT query_id, id, round(max(score), 5) AS score FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3) GROUP BY query_id, id"
 
 
 _MERGE = f"""
 WITH {_bm25(_CHUNKS)},
 scaled AS (SELECT query_id, id, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score
-  FROM bm WINDOW w AS (PARTITION BY query_id)),
+  FROM bm WINDOW w AS (PARTITION BY query_id))"""
+
+_MERGE_OF = """,
 p AS (SELECT chunk_id AS id, doc_id, chunk_index AS ix, start_byte, end_byte, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM doc_chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM scaled) WHERE rn <= 24),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM {scores}) WHERE rn <= 24),
 w AS (SELECT query_id, doc_id, greatest(1, pos - 2) AS a, least(n, pos + 2) AS b FROM best JOIN p USING (id)),
 x AS (SELECT w.*, pa.ix AS ia, pb.ix AS ib FROM w JOIN p pa ON pa.doc_id = w.doc_id AND pa.pos = w.a JOIN p pb ON pb.doc_id = w.doc_id AND pb.pos = w.b),
 y AS (SELECT *, CASE WHEN ia <= max(ib) OVER (PARTITION BY query_id, doc_id ORDER BY ia, ib, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM x),
 z AS (SELECT *, sum(new) OVER (PARTITION BY query_id, doc_id ORDER BY ia, ib, a, b ROWS UNBOUNDED PRECEDING) AS island FROM y),
 i AS (SELECT query_id, doc_id, island, min(a) AS a, max(b) AS b FROM z GROUP BY ALL)
 SELECT i.query_id, i.doc_id, arg_min(p.id, pos) AS start_node_id, arg_max(p.id, pos) AS end_node_id, arg_min(ix, pos) AS start_index, arg_max(ix, pos) AS end_index,
-  arg_min(start_byte, pos) AS start_char, arg_max(end_byte, pos) AS end_char, coalesce(max(scaled.score), 0) AS score,
-  CASE WHEN length(string_agg(coalesce(text, ''), ' ' ORDER BY pos)) > 2000 THEN substr(string_agg(coalesce(text, ''), ' ' ORDER BY pos), 1, 2000) || '…' ELSE string_agg(coalesce(text, ''), ' ' ORDER BY pos) END AS text
-FROM i JOIN p ON p.doc_id = i.doc_id AND pos BETWEEN a AND b LEFT JOIN scaled ON scaled.query_id = i.query_id AND scaled.id = p.id
+  arg_min(start_byte, pos) AS start_char, arg_max(end_byte, pos) AS end_char, coalesce(max({scores}.score), 0) AS score,
+  CASE WHEN length(string_agg(coalesce(text, ''), ' ' ORDER BY pos)) > 2000 THEN substr(string_agg(coalesce(text, ''), ' ' ORDER BY pos), 1, 2000) || '…' ELSE string_agg(coalesce(text, ''), ' ' ORDER BY pos) END AS text{extra}
+FROM i JOIN p ON p.doc_id = i.doc_id AND pos BETWEEN a AND b LEFT JOIN {scores} ON {scores}.query_id = i.query_id AND {scores}.id = p.id
 GROUP BY i.query_id, i.doc_id, island"""
 
 
+
 def oracle_sql() -> dict[str, str]:
     squeeze = lambda x: f"trim(regexp_replace({x}, '{_EDGE}+', ' ', 'g'))"
     return {
@@ -160,8 +166,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_self_graph": f"WITH e AS (SELECT * FROM {_VEC}), s AS (SELECT q.id AS src, x.id AS dst, {_QX} AS dist FROM e q, e x WHERE q.id <> x.id) SELECT src, dst, round(dist, 6) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM s) WHERE rn <= 8",
         "partial_final_topk": _knn(_QX),
         "ivf_knn": _knn(_QX),
-        "vector_scores": f"""WITH e AS (SELECT * FROM {_VEC}), s AS (SELECT x.id, {_QX} AS c, list_dot_product(q.v, q.v) + list_dot_product(x.v, x.v) - 2 * list_dot_product(q.v, x.v) AS l, list_dot_product(q.v, x.v) AS p FROM e q, e x WHERE q.id = 1)
-SELECT id, round(c, 6) + 0.0 AS cos_d, round(abs(l), 6) + 0.0 AS l2_d, round(-p, 6) + 0.0 AS ip_d, round((2 - c) / 2, 6) + 0.0 AS cos_s, round(1 / (1 + abs(l)), 6) + 0.0 AS l2_s, round(1 / (1 + exp(-p)), 6) + 0.0 AS ip_s, round((2 - c) / 2, 6) + 0.0 AS cos_q FROM s""",
+        "vector_scores": f"""WITH e AS (SELECT * FROM {_VEC}), s AS (SELECT q.id AS query_id, x.id, {_QX} AS c, list_dot_product(q.v, q.v) + list_dot_product(x.v, x.v) - 2 * list_dot_product(q.v, x.v) AS l, list_dot_product(q.v, x.v) AS p FROM e q, e x WHERE q.id % 20 = 0)
+SELECT query_id, id, round(c, 6) + 0.0 AS cos_d, round(abs(l), 6) + 0.0 AS l2_d, round(-p, 6) + 0.0 AS ip_d, round((2 - c) / 2, 6) + 0.0 AS cos_s, round(1 / (1 + abs(l)), 6) + 0.0 AS l2_s, round(1 / (1 + exp(-p)), 6) + 0.0 AS ip_s, round((2 - c) / 2, 6) + 0.0 AS cos_q FROM s""",
         "normalized_vectors": "WITH v AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE embedding IS NOT NULL), n AS (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM v) SELECT chunk_id, round(list_dot_product(v, v) / (n * n), 6) AS length, round(v[1] / n, 6) AS first FROM n",
         "min_max_scores": "SELECT doc_id, round(CASE WHEN max(length(text)) OVER w - min(length(text)) OVER w = 0 THEN 0 ELSE (length(text) - min(length(text)) OVER w) / (max(length(text)) OVER w - min(length(text)) OVER w) END, 6) AS scaled FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY source)",
         "rank_dedup": "SELECT chunk_id, doc_id, start_byte, end_byte FROM (SELECT *, rank() OVER (PARTITION BY hash64 ORDER BY doc_id, start_byte, end_byte) AS r FROM doc_chunks) WHERE r = 1 OR hash64 IS NULL",
@@ -177,18 +183,22 @@ SELECT count(*) AS total, count(*) FILTER (t = '') AS empty_text, count(*) FILTE
         "token_estimate": r"SELECT doc_id, CAST(coalesce(greatest(1, len(regexp_extract_all(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+')) * 4 // 3), 1) AS INTEGER) AS by_words, CASE WHEN text IS NULL THEN 1 ELSE CAST(greatest(1, length(text) // 4) AS INTEGER) END AS by_chars FROM documents",
         "tokens": "SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_]+') AS tokens FROM documents",
         "phrase_match": "SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM documents, (VALUES (1, 'without loss of detail'), (2, 'the archive room'), (3, 'DIE NEUEN HEFTE')) AS p(query_id, query) WHERE contains(lower(text), lower(query))",
-        "record_text": f"""WITH r AS (SELECT doc_id, coalesce(CASE WHEN {_strip("lang")} <> '' THEN lang END, CASE WHEN {_strip("text")} <> '' THEN text END, CASE WHEN {_strip("src_path")} <> '' THEN src_path END, '') AS raw FROM documents)
+        "record_text": f"""WITH r AS (SELECT doc_id, coalesce(CASE WHEN {_strip("text")} <> '' THEN text END, CASE WHEN {_strip("lang")} <> '' THEN lang END, CASE WHEN {_strip("src_path")} <> '' THEN src_path END, '') AS raw FROM documents)
 SELECT doc_id, raw, {_strip("replace(raw, chr(10), ' ')")} AS stored FROM r""",
-        "marked_text": r"""SELECT doc_id, 'a ' || coalesce(source, '') || ' <|eot|>' AS answer, regexp_replace('a  b ' || coalesce(lang, '') || ' ' || coalesce(source, '') || '  rest', '^\s+|\s+$', '', 'g') AS plain,
-  contains(source, 'archive') OR contains(source, 'mail_') AS stops, CASE WHEN src_path IS NOT NULL THEN lower(regexp_extract(src_path, '[^/\\](\.[^./\\]+)$', 1)) END AS suffix, CASE WHEN src_path IS NOT NULL THEN regexp_replace(split_part(src_path, '/', -1), '\.[^.]*$', '') END AS stem FROM documents""",
-        "guard_verdicts": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'safe' ELSE 'unsafe' END AS verdict, CASE WHEN doc_id % 4 = 1 THEN 'S1,S2' ELSE '' END AS categories FROM documents",
+        "marked_text": rf"""WITH t AS (SELECT doc_id, src_path, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '<\|[^>]+?\|>', '', 'g') AS bare FROM documents)
+SELECT doc_id, 'a ' || regexp_replace(t, '(?s)<\|think\|>.*?(?:<\|endofthink\|>|\z)', '', 'g') || ' <|eot|>' AS answer, {_strip("'a  b ' || bare || ' ' || bare || '  rest'")} AS plain,
+  contains(t, 'the archive') OR contains(t, '</') AS stops, CASE WHEN src_path IS NOT NULL THEN lower(regexp_extract(src_path, '[^/\\](\.[^./\\]+)$', 1)) END AS suffix, CASE WHEN src_path IS NOT NULL THEN regexp_replace(split_part(src_path, '/', -1), '\.[^.]*$', '') END AS stem FROM t""",
+        "guard_verdicts": rf"""WITH t AS (SELECT doc_id, lower(lang) AS l, list_filter([{_strip(_BARE)} FOR x IN regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x{{0B}}\f\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]')], lambda x: x <> '') AS lines FROM documents),
+v AS (SELECT doc_id, CASE WHEN starts_with(l, 'en') THEN 'unsafe' WHEN starts_with(l, 'de') OR starts_with(lower(lines[1]), 'safe') THEN 'safe' ELSE 'unsafe' END AS verdict,
+  CASE WHEN starts_with(l, 'en') THEN lines[1] WHEN starts_with(l, 'de') THEN NULL WHEN starts_with(lower(lines[1]), 'unsafe') THEN lines[2] END AS listed FROM t)
+SELECT doc_id, verdict, coalesce(array_to_string(list_filter(regexp_split_to_array(listed, '(?:,|{_EDGE})+'), lambda x: x <> ''), ','), '') AS categories FROM v""",
         "total_bytes": "SELECT doc_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS chunks FROM doc_chunks GROUP BY doc_id",
         "chunk_hashes": "SELECT chunk_id, CAST(hash64 AS VARCHAR) AS hash64 FROM doc_chunks WHERE hash64 IS NOT NULL",
         "message_hashes": "SELECT DISTINCT msg_id, simhash_i64, content_hash FROM messages WHERE simhash_i64 <> 0",
         "adjacent_chunks": "SELECT chunk_id AS id, lag(chunk_id) OVER w AS prev, lead(chunk_id) OVER w AS next, row_number() OVER w AS pos FROM doc_chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)",
         "hybrid_seeds": _SEEDS + "SELECT query_id, id, round(score, 5) AS score FROM seeds",
         "beam_traverse": _beam(),
-        "merge_spans": _MERGE,
+        "merge_spans": _MERGE + _MERGE_OF.format(scores="scaled", extra=""),
         "context_blocks": f"""WITH {_bm25(_DOCS)}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM bm WHERE score > 0)
 SELECT query_id, string_agg('[doc:' || rank || '] ' || {squeeze("coalesce(text, '')")}, chr(10) ORDER BY rank) AS block FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY query_id""",
         "role_merge": f"""{_DIALOG}, l AS (SELECT *, row_number() OVER w = 1 AND role = 'system' AS lead_ FROM d WINDOW w AS (PARTITION BY dialog_id ORDER BY turn)),
@@ -211,5 +221,11 @@ SELECT conv_id, branch_id, msg_id, score, CAST(used AS BIGINT) AS used FROM u WH
         "retry_schedule": "SELECT range AS attempt, least(0.5 * power(2, range - 1), 8) AS seconds FROM range(1, 9)",
         "prompts": "SELECT doc_id, 'Source ' || coalesce(source, 'unknown') || ', language ' || coalesce(lang, 'unknown') || ': ' || coalesce(text, 'unknown') AS prompt FROM documents",
         "p4_found": _TREE + "SELECT id AS msg_id, state FROM states",
+        "hash_chain": """SELECT conv_id, branch_id, msg_id, CASE WHEN role BETWEEN 0 AND 255 AND ts IS NOT NULL AND content IS NOT NULL THEN unhex(sha256(chain_prev || unhex(printf('%02x', role)) || encode(CAST(ts AS VARCHAR)) || encode(content))) = chain_hash END AS hash_ok, content_hash = unhex(sha256(encode(content))) AS content_ok FROM messages""",
+        "retrieve_contexts": f"""SELECT * EXCLUDE (score), round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, start_node_id) AS rank
+  FROM ({_beam("reached")}{_MERGE_OF.format(scores="reached", extra=", list(p.id ORDER BY pos) AS node_ids")})""",
+        "p4_hierarchy": _TREE
+        + """, fallen AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a, id FROM tree) GROUP BY a)
+SELECT t.id, root, depth, 'ok' AS state, n - 1 AS below, path FROM tree t JOIN fallen ON a = t.id UNION ALL SELECT id, NULL, NULL, state, NULL, NULL FROM states""",
         "p4_descendants": _TREE + "SELECT a AS id, id AS descendant, depth - (list_position(path, a) - 1) AS distance FROM (SELECT id, depth, path, unnest(path) AS a FROM tree) WHERE a <> id",
     }

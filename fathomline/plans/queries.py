@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
@@ -134,12 +134,13 @@ def pq_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector against the stated queries, which are broadcast: every row whose id is divisible by 20."""
     e = _embeddings(spark, d)
-    q = F.broadcast(e.filter("id = 1").select(F.col("embedding").alias("q")))  # one row
+    q = _query_vectors(e)
     a, b = F.col("q"), F.col("embedding")
     cols = {"cos_d": vectors.distance("cosine", a, b), "l2_d": vectors.distance("l2", a, b), "ip_d": vectors.distance("ip", a, b)}
     cols |= {"cos_s": vectors.similarity("cosine", cols["cos_d"]), "l2_s": vectors.similarity("l2", cols["l2_d"]), "ip_s": vectors.similarity("ip", cols["ip_d"]), "cos_q": vectors.query_similarity("cosine", a, b)}
-    return e.crossJoin(q).select("id", *((F.round(c, 6) + 0.0).alias(n) for n, c in cols.items()))
+    return e.crossJoin(q).select("query_id", "id", *((F.round(c, 6) + 0.0).alias(n) for n, c in cols.items()))
 
 
 def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -149,8 +150,8 @@ def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def min_max_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "documents").filter("text is not null")
-    return rows.select("doc_id", F.round(vectors.min_max(F.length("text").cast("double"), Window.partitionBy("source")), 6).alias("scaled"))
+    rows = _table(spark, d, "documents").filter("text is not null").select("doc_id", "source", F.length("text").cast("double").alias("n"))
+    return vectors.min_max(rows, "n", "source", "x").select("doc_id", F.round("x", 6).alias("scaled"))
 
 
 def rank_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -195,19 +196,22 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
 
 def record_text(spark: SparkSession, d: str) -> DataFrame:
     """The text of a loose record and its stored form."""
-    t = text.first_text(None, F.col("lang"), F.col("text"), F.col("src_path"))
+    t = text.first_text(None, F.col("text"), F.col("lang"), F.col("src_path"))
     return _table(spark, d, "documents").select("doc_id", t.alias("raw"), text.flat(t).alias("stored"))
 
 
 def marked_text(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("a <|think|> b "), F.coalesce("lang", F.lit("")), F.lit(" <|endofthink|>"), F.coalesce("source", F.lit("")), F.lit(" <|eot|><|think|> rest"))
-    stop = text.stops_at(F.col("source"), ["archive", "mail_"])
+    """Marks put round the texts as a model's answer has them, and taken out again."""
+    t = F.coalesce("text", F.lit(""))
+    said = F.concat(F.lit("a <|think|> b "), t, F.lit(" <|endofthink|>"), t, F.lit(" <|eot|><|think|> rest"))
+    stop = text.stops_at(t, ["the archive", "</"])
     return _table(spark, d, "documents").select("doc_id", text.strip_think(said).alias("answer"), text.strip_special(said).alias("plain"), stop.alias("stops"), text.suffix(F.col("src_path")).alias("suffix"), text.stem(F.col("src_path")).alias("stem"))
 
 
 def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    head = F.when(F.col("doc_id") % 4 == 0, "safe").when(F.col("doc_id") % 4 == 1, "<|x|>\nUNSAFE\nS1, S2").when(F.col("doc_id") % 4 == 2, "unsafe").otherwise(F.col("lang"))
-    v = text.guard_verdict(head)
+    """Texts as a guard's answers, behind a first line by their language."""
+    head = F.when(F.lower("lang").startswith("en"), "<|x|>\nUNSAFE\n").when(F.lower("lang").startswith("de"), "Safe\n").otherwise("")
+    v = text.guard_verdict(F.concat(head, F.coalesce("text", F.lit(""))))
     return _table(spark, d, "documents").select("doc_id", v["verdict"].alias("verdict"), F.array_join(v["categories"], ",").alias("categories"))
 
 
@@ -238,7 +242,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_as_stored(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks cut again from the documents' raw texts, where the stored ones have offsets."""
+    """Chunks cut from the documents' raw texts, as the stored ones with offsets were."""
     cut = chunking.chunks(_table(spark, d, "documents"), replace(chunking.PRESET, normalize=False), "doc_key")
     return cut.select("doc_id", F.col("index").alias("chunk_index"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "text", "hash64")
 
