@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .codepoints import slices
+from .codepoints import alnum_table, decode, mix, segment_hash, slices
 
 # What a scanner makes of a letter or pair of letters.
 CONFUSIONS = [
@@ -100,9 +100,51 @@ def derives(right: str, read: str) -> bool:
 
 
 def tokens(text: str) -> list[str]:
-    if any(x in text for x in _BREAKS):
-        text = BROKEN.sub("", text)
-    return TOKEN.findall(text.lower())
+    return TOKEN.findall(unbroken(text).lower())
+
+
+def unbroken(text: str) -> str:
+    return BROKEN.sub("", text) if any(x in text for x in _BREAKS) else text
+
+
+@lru_cache(maxsize=1)
+def _word_table() -> np.ndarray:
+    keep = alnum_table()[0].copy()
+    keep[[ord(c) for c in "_!|@"]] = True
+    return keep
+
+
+class Tokens:
+    """The :func:`tokens` of an array of texts, found and hashed without a call for each."""
+
+    def __init__(self, texts: list[str | None]):
+        self.flat, offsets = decode(pa.array([unbroken(t).lower() if t else "" for t in texts], pa.string()))
+        keep = _word_table()[self.flat]
+        first = np.zeros(len(self.flat) + 1, bool)
+        first[offsets] = True
+        start = np.flatnonzero(keep & (~np.concatenate([[False], keep[:-1]]) | first[:-1])) if len(keep) else np.zeros(0, np.int64)
+        end = np.flatnonzero(keep & (~np.concatenate([keep[1:], [False]]) | first[1:])) + 1 if len(keep) else start
+        long = end - start > 1
+        self.start, self.end = start[long], end[long]
+        self.row = np.searchsorted(offsets, self.start, side="right") - 1
+        self.hash = segment_hash(self.flat, self.start, self.end)
+
+    def text(self, i: int) -> str:
+        return self.flat[self.start[i] : self.end[i]].astype("<u4").tobytes().decode("utf-32-le")
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of two tokens in a row, and where the first one is."""
+        at = np.flatnonzero(self.row[1:] == self.row[:-1])
+        return pair_hash(self.hash[at], self.hash[at + 1]), at
+
+
+def word_hash(words: list[str]) -> np.ndarray:
+    flat, offsets = decode(pa.array(words, pa.string()))
+    return segment_hash(flat, offsets[:-1], offsets[1:])
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
@@ -116,7 +158,10 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for b in slices(batches, "t"):
-            seen.update(tokens("\n\n".join(x for x in b.column(0).to_pylist() if x)))
+            t = Tokens(b.column(0).to_pylist())
+            _, first, count = np.unique(t.hash, return_index=True, return_counts=True)
+            for i, n in zip(first.tolist(), count.tolist(), strict=True):
+                seen[t.text(i)] += n
             if len(seen) > 300_000:
                 yield out()
                 seen.clear()
@@ -166,14 +211,14 @@ def misreadings(words: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "word string, right string, strong boolean, sure boolean, place int")
 
 
-def bit_table(wanted: DataFrame, column: str, most_bits: int = 1 << 28) -> tuple[int, np.ndarray]:
-    """Bits, at most ``most_bits``, with those of the hashes of ``column`` set."""
-    bits = min(most_bits, 1 << max(16, int(16 * wanted.count()).bit_length()))
+def bit_table(hashes: DataFrame, most_bits: int = 1 << 28) -> tuple[int, np.ndarray]:
+    """Bits, at most ``most_bits``, with those of the hashes ``(h)`` set."""
+    bits = min(most_bits, 1 << max(16, int(16 * hashes.count()).bit_length()))
 
     def fold(batches):
         filled = np.zeros(bits >> 3, np.uint8)
         for b in batches:
-            at = np.array([zlib.crc32(w.encode()) for w in b.column(0).to_pylist()], np.int64) & (bits - 1)
+            at = b.column(0).to_numpy() & (bits - 1)
             np.bitwise_or.at(filled, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         if filled.any():
             size = min(len(filled), 1 << 16)
@@ -182,33 +227,37 @@ def bit_table(wanted: DataFrame, column: str, most_bits: int = 1 << 28) -> tuple
                     yield pa.RecordBatch.from_pydict({"s": [s], "v": [zlib.compress(filled[s : s + size].tobytes(), 1)]})
 
     filled = np.zeros(bits >> 3, np.uint8)
-    for row in wanted.select(column).coalesce(16).mapInArrow(fold, "s long, v binary").toLocalIterator():  # bounded by most_bits
+    for row in hashes.select("h").coalesce(16).mapInArrow(fold, "s long, v binary").toLocalIterator():  # bounded by most_bits
         part = np.frombuffer(zlib.decompress(bytes(row.v)), np.uint8)
         filled[row.s : row.s + len(part)] |= part
     return bits, filled
 
 
+def _set_in(table: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(bits - 1)).astype(np.int64)
+    return np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
 def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
     """``(key, word, before, after, right, strong, sure, place)`` of each text's words that ``wanted`` has, with the words beside them.
 
     A bit table of bounded size keeps nearly all other words from the join.
     """
     kind = df.schema[key].dataType.simpleString()
-    bits, filled = bit_table(wanted, "word", most_bits)
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_hash(b.column(0).to_pylist()).view(np.int64))], ["h"])
+
+    bits, filled = bit_table(cut(wanted.select("word").distinct().mapInArrow(hashed, "h long")), most_bits)
     shared = df.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
         table = shared.value
         for b in slices(batches, "t"):
-            rows: list[tuple] = []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                all_ = tokens(t)
-                own = list(set(all_))
-                at = np.array([zlib.crc32(w.encode()) for w in own], np.int64) & (bits - 1)
-                hit = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                if len(hit):
-                    some = {own[j] for j in hit.tolist()}
-                    rows.extend({(i, w, all_[j - 1] if j else "", all_[j + 1] if j + 1 < len(all_) else "") for j, w in enumerate(all_) if w in some})
+            t = Tokens(b.column(1).to_pylist())
+            near = lambda i, j: t.text(j) if 0 <= j < len(t.row) and t.row[j] == t.row[i] else ""
+            rows = list({(int(t.row[i]), t.text(i), near(i, i - 1), near(i, i + 1)) for i in _set_in(table, bits, t.hash).tolist()})
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[j] for r in rows], pa.string()) for j in (1, 2, 3))], ["k", "word", "before", "after"])
 
     found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(run, f"k {kind}, word string, before string, after string")
@@ -216,23 +265,25 @@ def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: i
 
 
 def supported(df: DataFrame, text: str, pairs: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
-    """``(pair, n)``: how often the pairs of words ``pairs (pair)``, two words with a space between, follow one another in all texts."""
-    bits, filled = bit_table(pairs, "pair", most_bits)
+    """``(a, b, n)``: how often the words of ``pairs (a, b)`` follow one another in all texts."""
+
+    def hashed(batches):
+        for x in batches:
+            h = pair_hash(*(word_hash(x.column(i).to_pylist()) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(h.view(np.int64))], ["a", "b", "h"])
+
+    known = cut(pairs.select("a", "b").distinct().mapInArrow(hashed, "a string, b string, h long"))
+    bits, filled = bit_table(known, most_bits)
     shared = df.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
-        table = shared.value
         for b in slices(batches, "t"):
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                w = tokens(t)
-                both = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
-                at = np.array([zlib.crc32(x.encode()) for x in both], np.int64) & (bits - 1)
-                seen.update(both[j] for j in np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pair", "n"])
+            h, _ = Tokens(b.column(0).to_pylist()).pairs()
+            value, n = np.unique(h[_set_in(shared.value, bits, h)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    counts = df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return counts.join(pairs, "pair", "left_semi")
+    counts = df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counts.join(known, "h").select("a", "b", "n")
 
 
 def decided(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -244,9 +295,9 @@ def decided(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     found = cut(words_in(df, key, text, wanted))
     several = found.groupBy("word").agg(F.max("place").alias("others")).filter("others > 0").select("word")
     open_ = found.filter("not sure").unionByName(found.filter("sure").join(several, "word", "left_semi"))
-    before, after = F.concat_ws(" ", "before", "right"), F.concat_ws(" ", "right", "after")
-    known = cut(supported(df, text, open_.select(before.alias("pair")).union(open_.select(after.alias("pair"))).distinct()))
-    told = found.withColumn("b", before).withColumn("a", after).join(known.select(F.col("pair").alias("b"), F.col("n").alias("nb")), "b", "left").join(known.select(F.col("pair").alias("a"), F.col("n").alias("na")), "a", "left")
+    pairs = open_.select(F.col("before").alias("a"), F.col("right").alias("b")).union(open_.select("right", "after")).filter("a <> '' and b <> ''")
+    known = cut(supported(df, text, pairs))
+    told = found.join(known.select(F.col("a").alias("before"), F.col("b").alias("right"), F.col("n").alias("nb")), ["before", "right"], "left").join(known.select(F.col("a").alias("right"), F.col("b").alias("after"), F.col("n").alias("na")), ["right", "after"], "left")
     support = (F.coalesce("nb", F.lit(0)) > 1).cast("int") + (F.coalesce("na", F.lit(0)) > 1).cast("int")
     best = told.withColumn("support", support).filter("sure or support = 2").groupBy(key, "word").agg(F.max(F.struct("support", (-F.col("place")).alias("first"), "right", "strong", "sure")).alias("m"))
     return best.select(key, "word", "m.right", "m.strong")
@@ -254,7 +305,7 @@ def decided(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
 
 def number_on(line: str) -> tuple[str | None, str | None]:
     """The printed page number on a stripped line, and the rest of the line, if anything."""
-    if m := _PAGE.fullmatch(line):
+    if (len(line) <= 24 or len(line.split(None, 4)) <= 4) and (m := _PAGE.fullmatch(line)):  # no number has more than four words
         return next(filter(None, m.groups())), None
     if "  " in line or "\t" in line:
         parts = _GAP.split(line)
@@ -302,12 +353,15 @@ def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
                 heads: Counter = Counter()
                 found = []
                 lines = [x.strip() for x in _LINES.split(t)]
-                paged = page_ends(t, lines) if max(map(len, lines)) > WIDE else ()
+                paged = None
                 marked = marked_lines(lines) if t[:2] == "# " or any(x in t for x in _STRUCTURE) else ()
                 for at, line in enumerate(lines):
                     if line:
                         page, rest = number_on(line)
-                        head = None if at in marked or len(line) > WIDE and at not in paged else head_of(rest)
+                        head = None if at in marked else head_of(rest)
+                        if head and len(line) > WIDE:
+                            paged = page_ends(t, lines) if paged is None else paged
+                            head = head if at in paged else None
                         if head:
                             heads[head] += 1
                         if page or head:
