@@ -100,8 +100,38 @@ _FIRST = """first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m
 _SAID = r"regexp_matches(coalesce(content, ''), '[^\s\p{Z}\p{Cc}]')"
 
 
+# Canonical forms of copies: plain letters and digits, or the sorted fields of an object or of name = value parts.
+_PLAIN = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_FORM = f"""CASE WHEN ltrim(t) LIKE '{{%' AND json_valid(t) THEN chr(29) || array_to_string(list_sort(list_transform(json_keys(lower(t)), lambda k: {_PLAIN.format("k")} || chr(31) || coalesce({_PLAIN.format("lower(t)::JSON ->> k")}, ''))), chr(30))
+  WHEN regexp_matches(t, '=') AND len(list_filter(string_split(t, ';'), lambda p: trim(p) <> '')) > 1 AND len(list_filter(string_split(t, ';'), lambda p: trim(p) <> '' AND NOT regexp_matches(p, '^\\s*[\\w .-]+='))) = 0
+  THEN chr(29) || array_to_string(list_sort(list_transform(list_filter(string_split(lower(t), ';'), lambda p: trim(p) <> ''), lambda p: {_PLAIN.format("split_part(p, '=', 1)")} || chr(31) || {_PLAIN.format("regexp_replace(p, '^[^=]*=', '')")})), chr(30))
+  ELSE {_PLAIN.format("t")} END"""
+_RECORDS = f"""{_FIRST}, recs AS (
+  SELECT tbl, id, n, CASE WHEN n >= 80 THEN form ELSE CAST(id AS VARCHAR) END AS form FROM (
+    SELECT tbl, id, length({_PLAIN.format("t")}) AS n, {_FORM} AS form FROM (
+      SELECT 'messages' AS tbl, msg_id AS id, content AS t FROM first UNION ALL SELECT DISTINCT 'doc_chunks', chunk_id, text FROM doc_chunks))
+  WHERE n > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": """
+WITH v AS (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE embedding IS NOT NULL),
+u AS (SELECT chunk_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM v WHERE list_dot_product(v, v) > 0),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_dot_product(a.v, b.v), 9) AS c FROM u a, u b WHERE a.chunk_id <> b.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM s WHERE c >= 0.8999)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE rn <= 10 AND c >= 0.9""",
+        "p5_found": f"""
+WITH {_FIRST}, t AS (
+  SELECT msg_id, content AS t, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM first WHERE role IN (1, 2)),
+m AS (SELECT msg_id, w, CASE WHEN length({_PLAIN.format("t")}) >= 80 THEN {_FORM} END AS form FROM t WHERE len(w) >= 20),
+sh AS (SELECT DISTINCT msg_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM m),
+size AS (SELECT msg_id, count(*) AS n FROM sh GROUP BY msg_id),
+both_ AS (SELECT a.msg_id AS a, b.msg_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.msg_id < b.msg_id GROUP BY a.msg_id, b.msg_id)
+SELECT a AS msg_id_a, b AS msg_id_b FROM both_ JOIN size x ON x.msg_id = a JOIN size y ON y.msg_id = b JOIN m ma ON ma.msg_id = a JOIN m mb ON mb.msg_id = b
+WHERE c * 5 >= (x.n + y.n - c) * 3 AND (ma.form IS NULL OR mb.form IS NULL OR ma.form <> mb.form)""",
+        "p7_found": f"WITH {_RECORDS}, g AS (SELECT *, min(id) OVER (PARTITION BY tbl, form) AS first_id FROM recs) SELECT tbl, first_id, id AS copy_id FROM g WHERE id <> first_id",
+        "p7_records": f"WITH {_RECORDS} SELECT tbl, min(id) AS first_id, count(*) AS copies FROM recs GROUP BY tbl, form",
         "p3_found": f"""
 WITH {_FIRST}, t AS (
   SELECT conv_id, branch_id,
