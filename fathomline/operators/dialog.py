@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Template, guard_verdict, squeeze, strip
+from ..session import cut
+from .completion import Client, complete
 
 
 def _joined(order: str, value: Column, sep: str) -> Column:
@@ -74,6 +76,14 @@ GUARD_TEMPLATE = (
 )
 
 
+# The codes and titles of the guard's categories; descriptions are added where a guard was trained with them.
+CATEGORIES = [
+    ("S0", "Prompt Injection & Jailbreaks", ""), ("S1", "Violent Crimes", ""), ("S2", "Non-Violent Crimes", ""), ("S3", "Sex Crimes", ""), ("S4", "Child Exploitation", ""), ("S5", "Defamation", ""),
+    ("S6", "Specialized Advice", ""), ("S7", "Privacy", ""), ("S8", "Intellectual Property", ""), ("S9", "Indiscriminate Weapons", ""), ("S10", "Hate", ""), ("S11", "Self-Harm", ""),
+    ("S12", "Sexual Content", ""), ("S13", "Elections", ""), ("S14", "Code Interpreter Abuse", ""),
+]
+
+
 def guard_prompt(view: DataFrame, categories: list[tuple[str, str, str]], target: str = "User", key: str = "dialog_id", template: str = GUARD_TEMPLATE) -> DataFrame:
     """``(key, prompt)``: the guard's question about the last ``target`` turn, with ``categories`` of (code, title, description)."""
     listed = "\n".join(line for code, title, told in categories for line in (f"{code}: {title}. ", told))
@@ -85,3 +95,21 @@ def guarded(dialogs: DataFrame, verdicts: DataFrame, key: str = "dialog_id") ->
     """The turns that no guard blocked; ``verdicts``: ``(key, turn, answer)``, a turn without one is kept."""
     judged = verdicts.select(key, "turn", guard_verdict(F.col("answer"))["verdict"].alias("verdict"))
     return dialogs.join(judged.filter("verdict = 'unsafe'"), [key, "turn"], "left_anti")
+
+
+def guarded_chat(dialogs: DataFrame, guard: Client, model: Client, categories: list[tuple[str, str, str]] = CATEGORIES, key: str = "dialog_id") -> DataFrame:
+    """``(key, answer, blocked, error)``: a reply to each dialog, judged before and after.
+
+    ``blocked`` is ``user`` where the guard finds the last user turn unsafe (no
+    reply is asked for then), ``agent`` where it finds the reply so (the reply
+    is withheld), else null. A guard that fails blocks.
+    """
+    verdict = guard_verdict(F.coalesce("answer", F.lit("")))["verdict"] != "safe"
+    asked = cut(complete(guard_prompt(guard_view(dialogs, key), categories, "User", key), guard).select(key, verdict.alias("bad")))
+    fine = dialogs.join(asked.filter("not bad"), key, "left_semi")
+    said = cut(complete(transcript(fine, key).withColumnRenamed("text", "prompt"), model).select(key, F.col("answer").alias("content"), "error"))
+    view = guard_view(fine, key, said.filter("content is not null").select(key, "content"))
+    judged = complete(guard_prompt(view, categories, "Agent", key), guard).select(key, verdict.alias("bad_reply"))
+    rows = asked.join(said, key, "left").join(judged, key, "left")
+    blocked = F.when(F.col("bad"), "user").when(F.col("content").isNotNull() & F.coalesce("bad_reply", F.lit(True)), "agent")
+    return rows.select(key, F.when(blocked.isNull(), F.col("content")).alias("answer"), blocked.alias("blocked"), "error")

@@ -126,11 +126,16 @@ def chain_order(messages: DataFrame) -> DataFrame:
 def append(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """The rows that an append of ``batch`` adds: keys not stored yet, hashes computed, chained after each thread's tip.
 
+    Of a key that the batch has more than once the row with the smallest ts
+    counts, then the smallest of the rest, so a replay makes the same chain.
+
     ``batch``: ``(conv_id, branch_id, msg_id, role, ts, token_count,
     parent_msg_id, content)``. A chain is a fold along its thread; it runs
     over the new rows of one thread at a time.
     """
-    fresh = batch.dropDuplicates(KEY).join(stored.select(*KEY), KEY, "left_anti")
+    rest = [c for c in batch.columns if c not in (*KEY, "ts")]
+    once = batch.groupBy(*KEY).agg(F.min(F.struct("ts", *rest)).alias("m")).select(*KEY, "m.*")
+    fresh = once.join(stored.select(*KEY), KEY, "left_anti")
     tips_ = tips(stored)
     rows = fresh.join(tips_.select(*THREAD, "tip_hash"), THREAD, "left").select(
         *KEY, F.col("role").cast("tinyint").alias("role"), F.col("ts").cast("double").alias("ts"), F.coalesce(F.col("token_count").cast("int"), message_tokens(F.col("content"))).alias("token_count"), F.col("parent_msg_id").cast("long").alias("parent_msg_id"), "content",
@@ -159,6 +164,17 @@ def tips(messages: DataFrame) -> DataFrame:
     return messages.groupBy(*THREAD).agg(F.max_by("chain_hash", "msg_id").alias("tip_hash"), F.max("msg_id").alias("last_msg_id"))
 
 
+def upsert_tips(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Tip rows ``(conv_id, branch_id, tip_hash, last_msg_id)`` with the later of both for each branch."""
+    both = held.select(*THREAD, "tip_hash", "last_msg_id").unionByName(new.select(*THREAD, "tip_hash", "last_msg_id"))
+    return both.groupBy(*THREAD).agg(F.max(F.struct("last_msg_id", "tip_hash")).alias("m")).select(*THREAD, "m.tip_hash", "m.last_msg_id")
+
+
+def upsert_meta(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Values ``(key, value)`` with those of ``new`` put in place of held ones."""
+    return held.join(new.select("key"), "key", "left_anti").select("key", "value").unionByName(new.select("key", "value"))
+
+
 def fork(messages: DataFrame, tips_: DataFrame, conv: str, branch: str, new: str, at: int | None = None) -> DataFrame:
     """The tip row of a new branch: the old tip, or the state after message ``at``. No message is copied."""
     if at is None:

@@ -1,9 +1,12 @@
 """Hybrid retrieval over a chunk graph: seeds, level-by-level beam, merged contexts.
 
+Terms and vectors are looked up in indexes that are built once (:class:`Indexes`)
+or, without them, in one pass over the chunks.
+
 A batch of queries ``(query_id, query, q)`` runs at once. Tables that grow are
 the chunks ``(id, doc_id, index, start, end, text, embedding)``; all that is
 per query (seeds, frontiers, contexts) is bounded by the parameters times the
-number of queries, and is what joins broadcast.
+number of queries; whether that is small enough to broadcast is Spark's choice.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.text import has_phrase
 from ..functions.vectors import min_max, query_similarity, similarity
 from ..session import cut
+from .ivf import Ivf
+from .ivf import build as build_cells
 from .knn import flat_knn, neighbour_graph
-from .lexical import bm25, top
+from .lexical import TermIndex, bm25, index_terms, top
 
 
 @dataclass(frozen=True)
@@ -46,25 +51,56 @@ def adjacency(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", F.lag("id").over(order).alias("prev"), F.lead("id").over(order).alias("next"), F.row_number().over(order).alias("pos"))
 
 
-def seeds(chunks: DataFrame, queries: DataFrame, lexical: DataFrame, p: Params = Params()) -> DataFrame:
+@dataclass
+class Indexes:
+    """What a retriever looks up: an inverted index of the texts, cells of the vectors, and the order of the chunks."""
+
+    terms: TermIndex
+    cells: Ivf | None
+    adjacent: DataFrame
+    nprobe: int = 16
+
+    @staticmethod
+    def of(chunks: DataFrame, cells: int | None = None, metric: str = "cosine", nprobe: int = 16) -> Indexes:
+        """Without ``cells`` vectors are searched flat."""
+        return Indexes(index_terms(chunks), build_cells(chunks, cells, metric) if cells else None, cut(adjacency(chunks)), nprobe)
+
+
+def near_vectors(chunks: DataFrame, queries: DataFrame, k: int, metric: str, indexes: Indexes | None) -> DataFrame:
+    """``(query_id, id, distance, rank)`` from the cells, or from a flat search where there are none."""
+    if indexes is not None and indexes.cells is not None:
+        return indexes.cells.search(queries, k, indexes.nprobe)
+    return flat_knn(chunks, queries, k, metric)
+
+
+def near_nodes(chunks: DataFrame, nodes: DataFrame, k: int, metric: str, indexes: Indexes | None) -> DataFrame:
+    """``(src, dst)``: the ``k`` nearest others of each node."""
+    if indexes is None or indexes.cells is None:
+        return neighbour_graph(chunks, nodes, k, metric).select("src", "dst")
+    q = indexes.cells.postings.join(nodes, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = indexes.cells.search(q, k + 1, indexes.nprobe).filter("query_id <> id")
+    return top(found.drop("rank"), k, "distance", ascending=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+
+
+def seeds(chunks: DataFrame, queries: DataFrame, lexical: DataFrame, p: Params = Params(), indexes: Indexes | None = None) -> DataFrame:
     """``(query_id, id, score)``: the union of the semantic and lexical best, weighted scores summed, phrase bonus added.
 
     ``lexical``: ``(query_id, id, lex)`` scaled to 0 to 1.
     """
-    near = flat_knn(chunks, queries.select("query_id", "q"), p.seeds_semantic, p.metric)
+    near = near_vectors(chunks, queries.select("query_id", "q"), p.seeds_semantic, p.metric, indexes)
     sem = near.select("query_id", "id", (p.weight_semantic * similarity(p.metric, F.col("distance"))).alias("score"))
     lex = top(lexical, p.seeds_lexical, "lex").select("query_id", "id", (p.weight_lexical * F.col("lex")).alias("score"))
     both = sem.unionAll(lex).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-    said = both.join(chunks.select("id", "text"), "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    said = both.join(chunks.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
     return said.select("query_id", "id", (F.col("score") + F.when(has_phrase(F.col("text"), F.col("query")), p.bonus_phrase).otherwise(0.0)).alias("score"))
 
 
-def scaled_lexical(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def scaled_lexical(chunks: DataFrame, queries: DataFrame, indexes: Indexes | None = None) -> DataFrame:
     """``(query_id, id, lex)``: BM25 scaled to 0 to 1 within each query; a single hit scores 0."""
-    return min_max(bm25(chunks, queries), "score", "query_id", "lex").select("query_id", "id", "lex")
+    return min_max(indexes.terms.search(queries) if indexes is not None else bm25(chunks, queries), "score", "query_id", "lex").select("query_id", "id", "lex")
 
 
-def beam(chunks: DataFrame, queries: DataFrame, start: DataFrame, lexical: DataFrame, adjacent: DataFrame, p: Params = Params()) -> DataFrame:
+def beam(chunks: DataFrame, queries: DataFrame, start: DataFrame, lexical: DataFrame, adjacent: DataFrame, p: Params = Params(), indexes: Indexes | None = None) -> DataFrame:
     """``(query_id, id, score)``: the best score of every node that the beam expanded.
 
     Each level keeps the ``beam`` best rows of a query's frontier, in which a
@@ -80,13 +116,13 @@ def beam(chunks: DataFrame, queries: DataFrame, start: DataFrame, lexical: DataF
         if level == p.depth or p.beam * (level + 1) >= p.most_expansions:
             break
         nodes = front.select("id").distinct()
-        local = adjacent.join(F.broadcast(nodes), "id").select(F.col("id").alias("src"), F.explode(F.array_compact(F.array("prev", "next"))).alias("dst"), F.lit(p.bonus_adjacent).alias("bonus"))
-        near = neighbour_graph(chunks, nodes, p.neighbours, p.metric).select("src", "dst", F.lit(0.0).alias("bonus"))
+        local = adjacent.join(nodes, "id").select(F.col("id").alias("src"), F.explode(F.array_compact(F.array("prev", "next"))).alias("dst"), F.lit(p.bonus_adjacent).alias("bonus"))
+        near = near_nodes(chunks, nodes, p.neighbours, p.metric, indexes).select("src", "dst", F.lit(0.0).alias("bonus"))
         edges = local.unionByName(near).filter("src <> dst").groupBy("src", "dst").agg(F.max("bonus").alias("bonus"))
         # One row number for each frontier row: equal nodes stay apart.
         numbered = front.withColumn("row", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
         steps = numbered.withColumnRenamed("id", "src").join(edges, "src").select("query_id", "row", "score", F.col("dst").alias("id"), "bonus")
-        told = steps.join(lexical, ["query_id", "id"], "left").join(F.broadcast(queries), "query_id").join(chunks.select("id", "text", "embedding"), "id")
+        told = steps.join(lexical, ["query_id", "id"], "left").join(queries, "query_id").join(chunks.select("id", "text", "embedding"), "id")
         base = p.weight_semantic * query_similarity(p.metric, F.col("q"), F.col("embedding")) + p.weight_lexical * F.coalesce("lex", F.lit(0.0)) + F.col("bonus")
         fade = p.decay ** (level + 1)
         scored = told.select("query_id", "row", "id", "score", base.alias("base"), has_phrase(F.col("text"), F.col("query")).alias("phrase")).filter("base > 0")
@@ -106,9 +142,9 @@ def merged_spans(chunks: DataFrame, scores: DataFrame, p: Params = Params()) ->
     order = Window.partitionBy("doc_id").orderBy("index", "id")
     placed = chunks.select("id", "doc_id", "index", "start", "end", "text", F.row_number().over(order).alias("pos"))
     best = top(scores, p.nodes).select("query_id", "id", "score")
-    mine = placed.join(F.broadcast(best), "id").select("query_id", "doc_id", "pos")
+    mine = placed.join(best, "id").select("query_id", "doc_id", "pos")
     docs = mine.select("doc_id").distinct()
-    inside = placed.join(F.broadcast(docs), "doc_id")
+    inside = placed.join(docs, "doc_id")
     last = inside.groupBy("doc_id").agg(F.max("pos").alias("last"))
     span = mine.join(last, "doc_id").select("query_id", "doc_id", F.greatest(F.lit(1), F.col("pos") - p.above).alias("a"), F.least("last", F.col("pos") + p.below).alias("b"))
     index = inside.select("doc_id", "pos", "index")
@@ -117,7 +153,7 @@ def merged_spans(chunks: DataFrame, scores: DataFrame, p: Params = Params()) ->
     before = F.max("ib").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("ia") <= before + 1, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
     ranges = span.withColumn("island", island).groupBy("query_id", "doc_id", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    members = inside.join(F.broadcast(ranges), "doc_id").filter("pos between a and b").join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left")
+    members = inside.join(ranges, "doc_id").filter("pos between a and b").join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left")
     grouped = members.groupBy("query_id", "doc_id", "island").agg(
         F.array_sort(F.collect_list(F.struct("pos", "id", "index", "start", "end", "text"))).alias("m"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score")
     )
@@ -131,9 +167,9 @@ def merged_spans(chunks: DataFrame, scores: DataFrame, p: Params = Params()) ->
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "start_node_id")))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, p: Params = Params()) -> DataFrame:
-    """The contexts of every query, best first."""
-    lexical = cut(scaled_lexical(chunks, queries))
-    adjacent = cut(adjacency(chunks))
-    start = seeds(chunks, queries, lexical, p)
-    return merged_spans(chunks, beam(chunks, queries, start, lexical, adjacent, p), p)
+def retrieve(chunks: DataFrame, queries: DataFrame, p: Params = Params(), indexes: Indexes | None = None) -> DataFrame:
+    """The contexts of every query, best first; ``indexes`` serve any number of calls."""
+    lexical = cut(scaled_lexical(chunks, queries, indexes))
+    adjacent = indexes.adjacent if indexes is not None else cut(adjacency(chunks))
+    start = seeds(chunks, queries, lexical, p, indexes)
+    return merged_spans(chunks, beam(chunks, queries, start, lexical, adjacent, p, indexes), p)

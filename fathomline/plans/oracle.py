@@ -224,6 +224,10 @@ SELECT conv_id, branch_id, msg_id, score, CAST(used AS BIGINT) AS used FROM u WH
         "hash_chain": """SELECT conv_id, branch_id, msg_id, CASE WHEN role BETWEEN 0 AND 255 AND ts IS NOT NULL AND content IS NOT NULL THEN unhex(sha256(chain_prev || unhex(printf('%02x', role)) || encode(CAST(ts AS VARCHAR)) || encode(content))) = chain_hash END AS hash_ok, content_hash = unhex(sha256(encode(content))) AS content_ok FROM messages""",
         "retrieve_contexts": f"""SELECT * EXCLUDE (score), round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, start_node_id) AS rank
   FROM ({_beam("reached")}{_MERGE_OF.format(scores="reached", extra=", list(p.id ORDER BY pos) AS node_ids")})""",
+        "collection_search": f"""WITH r AS (SELECT chunk_id, hash64, CAST(embedding AS DOUBLE[]) AS v FROM doc_chunks JOIN chunk_vectors USING (chunk_id) WHERE len(embedding) = 64),
+held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash64 ORDER BY chunk_id) AS rn FROM r) WHERE rn = 1 OR hash64 IS NULL),
+s AS (SELECT q.chunk_id AS query_id, x.chunk_id, least(2, greatest(0, 1 - list_dot_product(q.v, x.v) / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-12) * greatest(sqrt(list_dot_product(x.v, x.v)), 1e-12)))) AS dist FROM r q, held x WHERE q.chunk_id % 20 = 0)
+SELECT query_id, chunk_id, round(dist, 6) + 0.0 AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS rank FROM s) WHERE rank <= 5""",
         "p4_hierarchy": _TREE
         + """, fallen AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a, id FROM tree) GROUP BY a)
 SELECT t.id, root, depth, 'ok' AS state, n - 1 AS below, path FROM tree t JOIN fallen ON a = t.id UNION ALL SELECT id, NULL, NULL, state, NULL, NULL FROM states""",

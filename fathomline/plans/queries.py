@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
-from ..operators import chunking, dedup, dialog, embedding, hierarchy, history, ivf, knn, lexical, retrieval
+from ..operators import chunking, collection, dedup, dialog, embedding, hierarchy, history, ivf, knn, lexical, retrieval
 from .oracle import oracle_sql as oracle_sql  # noqa: PLC0414  part of this module's interface
 
 #: The stated queries of the text searches; the SQL states the same.
@@ -270,10 +270,29 @@ def merge_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieve_contexts(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.retrieve(_chunks(spark, d), _asked(spark, d))
+    """From an inverted index of the chunks; their vectors are searched flat, so the result is exact."""
+    c = _chunks(spark, d)
+    found = retrieval.retrieve(c, _asked(spark, d), indexes=retrieval.Indexes.of(c))
     return found.withColumn("score", F.round("score", 5))
 
 
+def retrieve_probed(spark: SparkSession, d: str) -> DataFrame:
+    """As ``retrieve_contexts``, from probed cells."""
+    c = _chunks(spark, d)
+    found = retrieval.retrieve(c, _asked(spark, d), indexes=retrieval.Indexes.of(c, 32, nprobe=24))
+    return found.withColumn("score", F.round("score", 5))
+
+
+def collection_search(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks inserted by their hashes, searched flat by the vectors of every chunk whose id is divisible by 20."""
+    rows = _table(spark, d, "doc_chunks").join(_table(spark, d, "chunk_vectors"), "chunk_id").filter("size(embedding) = 64")
+    held = collection.Collection(spark, 64)
+    held.insert(rows.select("chunk_id", "text", "doc_id", "hash64", "embedding"), "chunk_id")
+    q = rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = held.search(q, 5).join(held.rows.select("id", "chunk_id"), "id")
+    return found.select("query_id", "chunk_id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     best = lexical.top(lexical.bm25(_docs(spark, d), spark.createDataFrame(ASKED, "query_id long, query string")).withColumn("score", F.round("score", 6)), 5)
     return dialog.context_block(best.join(_docs(spark, d).select("id", "text"), "id"))
@@ -376,7 +395,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 _ALL = [
     bm25_topk, term_stats, corpus_stats, flat_knn_cosine, flat_knn_l2, flat_knn_ip, filtered_knn, knn_self_graph, partial_final_topk, ivf_knn, ivf_knn_probed, pq_knn, vector_scores,
     normalized_vectors, min_max_scores, rank_dedup, insert_dedup, ingest_counters, first_seen, normalize_text, html_to_text, token_estimate, tokens, phrase_match, record_text, marked_text,
-    guard_verdicts, total_bytes, chunk_hashes, message_hashes, message_uids, adjacent_chunks, chunk_documents, chunk_as_stored, hybrid_seeds, beam_traverse, merge_spans, retrieve_contexts,
+    guard_verdicts, total_bytes, chunk_hashes, message_hashes, message_uids, adjacent_chunks, chunk_documents, chunk_as_stored, hybrid_seeds, beam_traverse, merge_spans, retrieve_contexts, retrieve_probed, collection_search,
     context_blocks, role_merge, guard_view, transcripts, history_blocks, messages_by_key, recency_window, latest_messages, branch_tips, duplicate_penalty, budget_context, history_context,
     hash_chain, chain_links, append_log, retry_schedule, embedded_documents, prompts, p4_found, p4_hierarchy, p4_descendants,
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns of the two formats, in their order.
 JSON_ORDER = ["doc_id", "index", "start", "end", "text", "hash64"]
 CSV_ORDER = ["doc_id", "index", "start", "end", "hash64", "text"]
 
@@ -27,11 +28,29 @@ def write(chunks: DataFrame, path: str) -> None:
     {"csv": write_csv, "parquet": write_parquet}.get(end, write_jsonl)(chunks, path)
 
 
+#: what a page may carry beside its text; missing columns are written as nulls
+PAGE_PARTS = {"image": "binary", "cells": "array<struct<text: string, box: array<double>>>", "segments": "array<struct<label: string, text: string, box: array<double>>>", "extra": "map<string,string>"}
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Converted pages, nested columns kept, compressed with zstd."""
-    pages.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Converted pages with their image, cells, segments and extra values, compressed with zstd."""
+    parts = [F.col(c).cast(t).alias(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in PAGE_PARTS.items()]
+    pages.select(*[c for c in pages.columns if c not in PAGE_PARTS], *parts).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_texts(rows: DataFrame, path: str, by: list[str], text: str) -> None:
+    """One folder for each value of ``by``, its text in one file."""
+    rows.select(*by, F.coalesce(F.col(text), F.lit("")).alias("value")).repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def write_tables(tables: DataFrame, path: str) -> None:
-    """Detected tables ``(path, table_no, csv, html)``: one CSV and one HTML text for each."""
-    tables.select("path", "table_no", F.posexplode(F.array("csv", "html")).alias("kind", "value")).withColumn("kind", F.when(F.col("kind") == 0, "csv").otherwise("html")).write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Detected tables ``(path, table_no, csv, html)``: one CSV and one HTML file for each."""
+    each = tables.select(F.sha2("path", 256).alias("document"), "table_no", F.explode(F.create_map(F.lit("csv"), F.col("csv"), F.lit("html"), F.col("html"))).alias("kind", "value"))
+    write_texts(each, path, ["kind", "document", "table_no"], "value")
+
+
+def write_markdown(pages: DataFrame, path: str) -> None:
+    """The Markdown of each converted document, its pages in order, in one file."""
+    whole = pages.filter("page_no is not null").groupBy(F.sha2("path", 256).alias("document"))
+    joined = whole.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("markdown", F.lit("")).alias("m")))), lambda x: x["m"]), "\n\n").alias("value"))
+    write_texts(joined, path, ["document"], "value")

@@ -11,20 +11,37 @@ from ..operators import history
 SCHEMA = "conv_id string, branch_id string, msg_id long, role tinyint, ts double, token_count int, parent_msg_id long, content string"
 STORED = SCHEMA + ", content_hash binary, simhash_i64 long, chain_prev binary, chain_hash binary"
 _ORDER = [c.strip().split()[0] for c in STORED.split(",")]
+#: Folders of the log; a conversation's rows are in one of them, by the hash of its id.
+BUCKETS = 256
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("conv_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _read(spark, path: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], STORED + ", bucket int")
+    return spark.read.schema(STORED + ", bucket int").parquet(path)
 
 
 def stored(spark, path: str) -> DataFrame:
-    """The log written so far; empty where there is none."""
-    try:
-        return spark.read.schema(STORED).parquet(path)
-    except Exception:  # noqa: BLE001  the folder does not exist yet
-        return spark.createDataFrame([], STORED)
+    """The log written so far; empty where its folder does not exist. Any other fault in reading it is an error."""
+    return _read(spark, path).drop("bucket")
 
 
 def append_batch(batch: DataFrame, path: str) -> None:
-    """Rows whose key is not stored yet, chained after their thread's tip, are added."""
-    new = history.append(stored(batch.sparkSession, path), batch)
-    new.select(*[F.col(c) for c in _ORDER]).write.mode("append").parquet(path)
+    """Rows whose key is not stored yet, chained after their thread's tip, are added.
+
+    Only the folders of the batch's own conversations are read, and of them
+    keys and hashes, which Spark's partition and column pruning sees to.
+    """
+    spark = batch.sparkSession
+    touched = [r.b for r in batch.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS
+    known = _read(spark, path).filter(F.col("bucket").isin(touched)).select(*history.KEY, "chain_hash")
+    new = history.append(known, batch)
+    new.select(*[F.col(c) for c in _ORDER], _bucket().alias("bucket")).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def run_log(source: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -110,3 +110,46 @@ def test_scores_of_unknown_roles(spark):
     got = {r.msg_id: r.score for r in history.context_score(history.duplicate_penalty(df)).collect()}
     assert got[1] == got[2] == pytest.approx(0.3 - 0.5)
     assert got[3] is None or got[3] == pytest.approx(0.4 - 0.5, abs=0.6)
+
+
+def test_redelivered_rows_chain_the_same(spark, tmp_path):
+    again = [(*ROWS[1][:4], 9.0, *ROWS[1][5:]), ("c2", "b", 9, 1, 1.0, 1, None, "other")]
+    tips = []
+    for k, rows in enumerate(([*ROWS, *again], [*again, *reversed(ROWS)])):
+        log.append_batch(spark.createDataFrame(rows, NEW), str(tmp_path / str(k)))
+        tips.append({r.branch_id: bytes(r.tip_hash) for r in history.tips(log.stored(spark, str(tmp_path / str(k)))).collect()})
+    assert tips[0] == tips[1] and tips[0]["main"] == chain(ROWS)
+
+
+def test_a_broken_log_is_an_error(spark, tmp_path):
+    assert log.stored(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "log" / "bucket=3").mkdir(parents=True)
+    (tmp_path / "log" / "bucket=3" / "part-0.parquet").write_bytes(b"broken")
+    with pytest.raises(Exception):
+        log.append_batch(spark.createDataFrame([(f"c{i}", "b", i, 1, 1.0, 1, None, "x") for i in range(2000)], NEW), str(tmp_path / "log"))
+
+
+def test_upserts(spark):
+    held = spark.createDataFrame([("c", "a", b"1", 5), ("c", "b", b"2", 9)], "conv_id string, branch_id string, tip_hash binary, last_msg_id long")
+    new = spark.createDataFrame([("c", "a", b"3", 7), ("c", "b", b"4", 3), ("d", "a", b"5", 1)], held.schema)
+    assert sorted((r.conv_id, r.branch_id, bytes(r.tip_hash)) for r in history.upsert_tips(held, new).collect()) == [("c", "a", b"3"), ("c", "b", b"2"), ("d", "a", b"5")]
+    meta = history.upsert_meta(spark.createDataFrame([("k", "1"), ("l", "2")], "key string, value string"), spark.createDataFrame([("k", "3"), ("m", "4")], "key string, value string"))
+    assert {r.key: r.value for r in meta.collect()} == {"k": "3", "l": "2", "m": "4"}
+
+
+def test_guarded_chat(spark):
+    from fathomline.operators.completion import Client
+
+    async def guard(prompt):
+        talk = prompt.split("<BEGIN CONVERSATION>")[1]
+        if "fail" in talk:
+            raise ValueError("down")
+        return "unsafe\nS1" if ("bomb" in talk and "LAST User" in talk) or "secret" in talk else "safe"
+
+    async def model(prompt):
+        return "the secret" if "tell" in prompt else "hello"
+
+    rows = [("a", 1, "user", "hi"), ("b", 1, "user", "a bomb"), ("c", 1, "user", "tell me"), ("d", 1, "user", "fail")]
+    df = spark.createDataFrame(rows, "dialog_id string, turn long, role string, content string")
+    got = {r.dialog_id: (r.answer, r.blocked) for r in dialog.guarded_chat(df, Client(guard), Client(model)).collect()}
+    assert got == {"a": ("hello", None), "b": (None, "user"), "c": (None, "agent"), "d": (None, "user")}

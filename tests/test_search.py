@@ -119,3 +119,55 @@ def test_whole_retrieval_runs(spark, points):
     q = spark.createDataFrame([(1, "word7 common", [float(v) for v in x[7]])], "query_id long, query string, q array<double>")
     rows = retrieval.retrieve(chunks, q).orderBy("rank").collect()
     assert rows[0].score > 0 and any(7 in r.node_ids for r in rows)
+
+
+def test_term_index_gives_the_scores_of_one_pass(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the pump and the valve"), (2, "a valve"), (3, None), (4, "pump pump pump"), (5, "")], "id long, text string")
+    asked = spark.createDataFrame([(1, "pump valve"), (2, "nothing"), (3, "Valve valve")], "query_id long, query string")
+    want = {(r.query_id, r.id): round(r.score, 9) for r in lexical.bm25(docs, asked).collect()}
+    lexical.index_terms(docs).save(str(tmp_path / "i"))
+    index = lexical.TermIndex.load(spark, str(tmp_path / "i"))
+    assert {(r.query_id, r.id): round(r.score, 9) for r in index.search(asked).collect()} == want and len(want) == 5
+
+
+def test_blocked_cells():
+    rng = np.random.default_rng(0)
+    x, c = rng.normal(size=(500, 6)), rng.normal(size=(40, 6))
+    cell, near = ivf.nearest_cell(x, c, block=64)
+    d = ((x[:, None] - c[None]) ** 2).sum(2)
+    assert (cell == d.argmin(1)).all() and np.allclose(near, d.min(1))
+
+
+def test_collection(spark):
+    from fathomline.operators.collection import Collection, Store
+    from fathomline.operators.embedding import hashed_words
+
+    store = Store(spark, hashed_words(16))
+    store.create("c", 16)
+    rows = [(i, f"text number {i % 30} of the pump", "d", None if i % 10 == 0 else i % 30) for i in range(60)]
+    df = spark.createDataFrame(rows, "n long, text string, doc_id string, hash64 long").withColumn("hash64", F.col("hash64").cast("decimal(20,0)"))
+    assert store.insert("c", df, "n") == 33 and store.insert("c", df.filter("hash64 is not null"), "n") == 0
+    held = store.collections["c"]
+    assert sorted(r.id for r in held.rows.collect()) == list(range(33))
+    flat = {tuple(r) for r in store.search("c", ["text number 7 of the pump", "pump"], 4).select("query_id", "id", "rank").collect()}
+    assert len(flat) == 8
+    for kind in ("ivf", "ivf_pq"):
+        held.build_index(kind, cells=4, parts=4, codes=16)
+        assert {tuple(r) for r in store.search("c", ["text number 7 of the pump", "pump"], 4, nprobe=4).select("query_id", "id", "rank").collect()} == flat
+    vector = [float(v) for v in held.rows.filter("id = 5").first().embedding]
+    assert store.search("c", [vector], 1).first().distance < 1e-6
+    assert {r.text for r in store.search("c", "pump", 3, filters={"text": "text number 3 of the pump"}).collect()} == {"text number 3 of the pump"}
+    with pytest.raises(ValueError):
+        held.insert(spark.createDataFrame([("x", "d", None, [1.0], 1)], "text string, doc_id string, hash64 decimal(20,0), embedding array<float>, n int"), "n")
+    with pytest.raises(RuntimeError):
+        Collection(spark, 4).build_index("ivf")
+    assert Collection(spark, 4).search(spark.createDataFrame([(1, [1.0] * 4)], "query_id long, q array<double>")).count() == 0
+
+
+def test_retrieval_from_indexes(spark):
+    d = "/root/testdata/sf0.001"
+    c, q = queries._chunks(spark, d), queries._asked(spark, d)
+    plain = {(r.query_id, r.start_node_id, r.end_node_id) for r in retrieval.retrieve(c, q).collect()}
+    for how in ({}, {"cells": 4, "nprobe": 4}):
+        got = {(r.query_id, r.start_node_id, r.end_node_id) for r in retrieval.retrieve(c, q, indexes=retrieval.Indexes.of(c, **how)).collect()}
+        assert got == plain and got

@@ -88,3 +88,47 @@ def test_settings(tmp_path, monkeypatch):
 def test_blank_kept_if_asked(spark, files):
     rows = readers.load(spark, str(files / "h.txt"), drop_blank=False).select(F.length("text").alias("n")).collect()
     assert [r.n for r in rows] == [0]
+
+
+def test_bad_files_are_named(spark, files):
+    rows = readers.failed(spark, str(files)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.type) for r in rows] == [("i.parquet", "parquet")] and rows[0].error
+    pages = readers.convert(spark, str(files / "a.txt"), lambda path, data: [(1 // 0, "", "")]).collect()
+    assert len(pages) == 1 and pages[0].error.startswith("ZeroDivisionError") and pages[0].page_no is None
+    assert readers.ocr_options("easyocr", ("de",))["languages"] == ["de"]
+    with pytest.raises(ValueError):
+        readers.ocr_options("abacus")
+
+
+def test_records_of_large_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"t": f"text {i}", "n": [i, None]}) + "\n" for i in range(500)) + "bad\n")
+    (tmp_path / "b.csv").write_text("n,s,u\n1,ab,\n2,cd,x\n")
+    spark.range(6).select("id", F.concat(F.lit("v"), "id").alias("s")).write.parquet(str(tmp_path / "c.parquet"))
+    lines = readers.load_records(spark, str(tmp_path / "a.jsonl"), "jsonl").collect()
+    assert sorted(r.text for r in lines) == sorted(f"text {i}\n{i}" for i in range(500)) and len({r.id for r in lines}) == 500
+    assert [r.text for r in readers.load_records(spark, str(tmp_path / "a.jsonl"), "jsonl", ("n.0",)).limit(1).collect()] == ["0"]
+    assert sorted(r.text for r in readers.load_records(spark, str(tmp_path / "b.csv"), "csv").collect()) == ["1\nab", "2\ncd\nx"]
+    got = readers.load_records(spark, str(tmp_path / "c.parquet"), "parquet", ("s",))
+    assert sorted(r.text for r in got.collect()) == [f"v{i}" for i in range(6)]
+    assert "id" not in got._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    with pytest.raises(ValueError):
+        readers.load_records(spark, str(tmp_path), "xml")
+
+
+def test_pages_tables_and_markdown(spark, tmp_path):
+    pages = spark.createDataFrame([("p", 2, "b", "## b"), ("p", 1, "a", "# a"), ("q", None, None, None)], "path string, page_no int, text string, markdown string")
+    writers.write_pages(pages, str(tmp_path / "pages"))
+    assert set(spark.read.parquet(str(tmp_path / "pages")).columns) == {*pages.columns, *writers.PAGE_PARTS}
+    writers.write_markdown(pages, str(tmp_path / "md"))
+    files = list((tmp_path / "md").rglob("*.txt"))
+    assert [f.read_text() for f in files] == ["# a\n\n## b\n"]
+    writers.write_tables(spark.createDataFrame([("p", 1, "a,b\n1,2", "<table/>"), ("p", 2, "c", None)], "path string, table_no int, csv string, html string"), str(tmp_path / "t"))
+    assert sorted(f.read_text() for f in (tmp_path / "t" / "kind=csv").rglob("*.txt")) == ["a,b\n1,2\n", "c\n"]
+
+
+def test_files_to_chunks(spark, files, tmp_path):
+    from fathomline.sources import chunk_files
+
+    chunk_files.main([str(files), "--out", str(tmp_path / "c.jsonl"), "--size", "8", "--overlap", "2"])
+    got = readers.load_chunks(spark, str(tmp_path / "c.jsonl")).collect()
+    assert {r.text for r in got if r.doc_id.endswith("c.json")} and max(len(r.text.encode()) for r in got) <= 8
