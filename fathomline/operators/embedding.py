@@ -28,6 +28,15 @@ def hashed_words(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """A native model that SQL can repeat: how often each of the letters a to z occurs."""
+    out = np.zeros((len(texts), 26))
+    for i, t in enumerate(texts):
+        data = np.frombuffer(t.lower().encode(), np.uint8)
+        out[i] = np.bincount(data[(data >= 97) & (data <= 122)] - 97, minlength=26)
+    return out
+
+
 def embed(df: DataFrame, model: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 64, unit: bool = True, name: str = "embedding") -> DataFrame:
     """``df`` with a vector of each text; a null or blank text gets none."""
     rows = df.withColumn("_t", flat(F.col(text)))

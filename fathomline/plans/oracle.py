@@ -153,6 +153,11 @@ GROUP BY i.query_id, i.doc_id, island"""
 
 
 
+def _link(prev: str) -> str:
+    """The hash of a message that follows ``prev``; where there is none, ``prev``."""
+    return f"coalesce(CASE WHEN role BETWEEN 0 AND 255 THEN unhex(sha256({prev} || unhex(printf('%02x', role)) || encode(CAST(ts AS VARCHAR)) || encode(content))) END, {prev})"
+
+
 def oracle_sql() -> dict[str, str]:
     squeeze = lambda x: f"trim(regexp_replace({x}, '{_EDGE}+', ' ', 'g'))"
     return {
@@ -221,6 +226,30 @@ SELECT conv_id, branch_id, msg_id, score, CAST(used AS BIGINT) AS used FROM u WH
         "retry_schedule": "SELECT range AS attempt, least(0.5 * power(2, range - 1), 8) AS seconds FROM range(1, 9)",
         "prompts": "SELECT doc_id, 'Source ' || coalesce(source, 'unknown') || ', language ' || coalesce(lang, 'unknown') || ': ' || coalesce(text, 'unknown') AS prompt FROM documents",
         "p4_found": _TREE + "SELECT id AS msg_id, state FROM states",
+        "history_context": f"""{_DUP},
+v0 AS (SELECT msg_id, conv_id, branch_id, [CAST(length(lower(content)) - length(replace(lower(content), l, '')) AS DOUBLE) FOR l IN string_split('abcdefghijklmnopqrstuvwxyz', '')] AS c FROM m WHERE {_strip("replace(content, chr(10), ' ')")} <> ''),
+v AS (SELECT msg_id, conv_id, branch_id, CAST([CAST(x / greatest(sqrt(list_dot_product(c, c)), 1e-12) AS FLOAT) FOR x IN c] AS DOUBLE[]) AS v FROM v0),
+asked AS (SELECT t.msg_id AS query_id, t.conv_id, t.branch_id, v.v AS q FROM (SELECT conv_id, branch_id, max(msg_id) AS msg_id FROM m GROUP BY ALL) t JOIN v USING (msg_id)),
+spoken AS (SELECT v.* FROM v JOIN m USING (msg_id) WHERE role IN (1, 2, 3)),
+near AS (SELECT query_id, msg_id FROM (SELECT query_id, s.msg_id, a.conv_id = s.conv_id AND a.branch_id = s.branch_id AS own,
+  row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_dot_product(q, s.v) / (greatest(sqrt(list_dot_product(q, q)), 1e-12) * greatest(sqrt(list_dot_product(s.v, s.v)), 1e-12)), s.msg_id) AS rn FROM asked a, spoken s) WHERE rn <= 96 AND own),
+chosen AS (SELECT * FROM near UNION SELECT query_id, r.msg_id FROM asked JOIN r USING (conv_id, branch_id) WHERE back <= 128),
+ends AS (SELECT conv_id, branch_id, max(ts) AS newest FROM m GROUP BY ALL),
+rows_ AS (SELECT query_id, m.*, coalesce(list_dot_product(q, v.v) / (greatest(sqrt(list_dot_product(q, q)), 1e-12) * greatest(sqrt(list_dot_product(v.v, v.v)), 1e-12)), 0) AS sim,
+  0.3 * exp(-(newest - ts) / 3600) + 0.1 * coalesce([0.7, 1.0, 0.9, 0.6][CASE WHEN role BETWEEN 0 AND 3 THEN role + 1 END], 0) - 0.5 * dup AS rest
+  FROM chosen JOIN m USING (msg_id) JOIN dup USING (msg_id) JOIN ends USING (conv_id, branch_id) JOIN asked USING (query_id) LEFT JOIN v ON v.msg_id = m.msg_id),
+fit AS (SELECT *, sum(coalesce(token_count, 0)) OVER (PARTITION BY query_id ORDER BY (sim + rest) / (coalesce(token_count, 0) + 1.1920928955078125e-07) DESC, msg_id ROWS UNBOUNDED PRECEDING) AS used FROM rows_),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, msg_id) AS place FROM fit WHERE used <= 256)
+SELECT query_id, conv_id, branch_id, msg_id, row_number() OVER (PARTITION BY query_id ORDER BY ts, msg_id) AS turn, content FROM best WHERE place <= 64""",
+        "append_log": f"""WITH RECURSIVE {_MSG}, stored AS (SELECT conv_id, branch_id, arg_max(chain_hash, msg_id) AS tip FROM m WHERE role = 0 GROUP BY ALL),
+f AS (SELECT m.*, coalesce(tip, unhex(repeat('00', 32))) AS tip, row_number() OVER (PARTITION BY m.conv_id, m.branch_id ORDER BY msg_id) AS k
+  FROM m LEFT JOIN stored s ON s.conv_id = m.conv_id AND s.branch_id = m.branch_id WHERE role IS DISTINCT FROM 0),
+walk AS (SELECT msg_id, conv_id, branch_id, k, tip AS prev, {_link("tip")} AS hash FROM f WHERE k = 1
+  UNION ALL SELECT f.msg_id, f.conv_id, f.branch_id, f.k, w.hash, {_link("w.hash")} FROM walk w JOIN f ON f.conv_id = w.conv_id AND f.branch_id = w.branch_id AND f.k = w.k + 1)
+SELECT f.conv_id, f.branch_id, msg_id, role, ts, CAST(coalesce(token_count, greatest(1, length(content) // 4)) AS INTEGER) AS token_count, parent_msg_id, unhex(sha256(encode(content))) AS content_hash, prev AS chain_prev, hash AS chain_hash
+FROM f JOIN walk USING (msg_id)""",
+        "embedded_documents": f"""WITH c AS (SELECT doc_id, [CAST(length(lower(text)) - length(replace(lower(text), l, '')) AS DOUBLE) FOR l IN string_split('abcdefghijklmnopqrstuvwxyz', '')] AS c FROM documents WHERE {_strip("replace(text, chr(10), ' ')")} <> '')
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(CAST(c[i] / greatest(sqrt(list_dot_product(c, c)), 1e-12) AS FLOAT) AS DOUBLE), 5) AS value FROM c, range(1, 27) AS r(i)""",
         "hash_chain": """SELECT conv_id, branch_id, msg_id, CASE WHEN role BETWEEN 0 AND 255 AND ts IS NOT NULL AND content IS NOT NULL THEN unhex(sha256(chain_prev || unhex(printf('%02x', role)) || encode(CAST(ts AS VARCHAR)) || encode(content))) = chain_hash END AS hash_ok, content_hash = unhex(sha256(encode(content))) AS content_ok FROM messages""",
         "retrieve_contexts": f"""SELECT * EXCLUDE (score), round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, start_node_id) AS rank
   FROM ({_beam("reached")}{_MERGE_OF.format(scores="reached", extra=", list(p.id ORDER BY pos) AS node_ids")})""",

@@ -343,9 +343,8 @@ def budget_context(spark: SparkSession, d: str) -> DataFrame:
 
 def history_context(spark: SparkSession, d: str) -> DataFrame:
     """The whole selection, for the last message of every thread."""
-    model = embedding.hashed_words()
     rows = _messages(spark, d)
-    told = embedding.embed(rows.select("conv_id", "branch_id", "msg_id", "content"), model, "content").select("conv_id", "branch_id", "msg_id", "embedding").filter("embedding is not null")
+    told = embedding.embed(rows.select("conv_id", "branch_id", "msg_id", "content"), embedding.letter_counts, "content").select("conv_id", "branch_id", "msg_id", "embedding").filter("embedding is not null")
     asked = history.tips(rows).select("conv_id", "branch_id", F.col("last_msg_id").alias("msg_id"))
     queries = asked.join(told, ["conv_id", "branch_id", "msg_id"]).select(F.col("msg_id").alias("query_id"), "conv_id", "branch_id", F.col("embedding").alias("q"))
     return history.build_context(rows, told, queries)
@@ -360,9 +359,9 @@ def chain_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_log(spark: SparkSession, d: str) -> DataFrame:
-    """System messages are stored, an append of everything adds the rest."""
-    rows = _messages(spark, d).filter("role between 0 and 3")
-    return history.append(rows.filter("role = 0"), rows.filter("content is not null")).drop("content")
+    """System messages are stored, an append of everything adds the rest; a row that can't be hashed leaves its thread's chain as it is."""
+    rows = _messages(spark, d)
+    return history.append(rows.filter("role = 0"), rows).drop("content", "simhash_i64")
 
 
 def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
@@ -370,7 +369,9 @@ def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedded_documents(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.embed(_table(spark, d, "documents").select("doc_id", "text"), embedding.hashed_words()).select("doc_id", "embedding")
+    """The numbers of every text's vector, one to a row."""
+    told = embedding.embed(_table(spark, d, "documents").select("doc_id", "text"), embedding.letter_counts)
+    return told.select("doc_id", F.posexplode("embedding").alias("place", "x")).select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
