@@ -112,6 +112,15 @@ _RECORDS = f"""{_FIRST}, recs AS (
       SELECT 'messages' AS tbl, msg_id AS id, content AS t FROM first UNION ALL SELECT DISTINCT 'doc_chunks', chunk_id, text FROM doc_chunks))
   WHERE n > 0)"""
 
+_NEAR = f"""{_FIRST}, t AS (
+  SELECT msg_id, content AS t, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM first WHERE role IN (1, 2)),
+m AS (SELECT msg_id, w, CASE WHEN length({_PLAIN.format("t")}) >= 80 THEN {_FORM} END AS form FROM t WHERE len(w) >= 20),
+sh AS (SELECT DISTINCT msg_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM m),
+size AS (SELECT msg_id, count(*) AS n FROM sh GROUP BY msg_id),
+both_ AS (SELECT a.msg_id AS a, b.msg_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.msg_id < b.msg_id GROUP BY a.msg_id, b.msg_id),
+near AS (SELECT a AS msg_id_a, b AS msg_id_b FROM both_ JOIN size x ON x.msg_id = a JOIN size y ON y.msg_id = b JOIN m ma ON ma.msg_id = a JOIN m mb ON mb.msg_id = b
+WHERE c * 5 >= (x.n + y.n - c) * 3 AND (ma.form IS NULL OR mb.form IS NULL OR ma.form <> mb.form))"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -121,15 +130,10 @@ u AS (SELECT chunk_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM v
 s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_dot_product(a.v, b.v), 9) AS c FROM u a, u b WHERE a.chunk_id <> b.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM s WHERE c >= 0.8999)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE rn <= 10 AND c >= 0.9""",
-        "p5_found": f"""
-WITH {_FIRST}, t AS (
-  SELECT msg_id, content AS t, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM first WHERE role IN (1, 2)),
-m AS (SELECT msg_id, w, CASE WHEN length({_PLAIN.format("t")}) >= 80 THEN {_FORM} END AS form FROM t WHERE len(w) >= 20),
-sh AS (SELECT DISTINCT msg_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM m),
-size AS (SELECT msg_id, count(*) AS n FROM sh GROUP BY msg_id),
-both_ AS (SELECT a.msg_id AS a, b.msg_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.msg_id < b.msg_id GROUP BY a.msg_id, b.msg_id)
-SELECT a AS msg_id_a, b AS msg_id_b FROM both_ JOIN size x ON x.msg_id = a JOIN size y ON y.msg_id = b JOIN m ma ON ma.msg_id = a JOIN m mb ON mb.msg_id = b
-WHERE c * 5 >= (x.n + y.n - c) * 3 AND (ma.form IS NULL OR mb.form IS NULL OR ma.form <> mb.form)""",
+        "p5_found": f"WITH {_NEAR} SELECT * FROM near",
+        "p5_groups": f"""WITH RECURSIVE {_NEAR}, edges AS (SELECT msg_id_a AS a, msg_id_b AS b FROM near UNION SELECT msg_id_b, msg_id_a FROM near),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT r.a AS msg_id, least(r.a, min(r.b)) AS "group", any_value(links) AS links FROM reach r JOIN (SELECT a, count(*) AS links FROM edges GROUP BY a) l ON l.a = r.a GROUP BY r.a""",
         "p7_found": f"WITH {_RECORDS}, g AS (SELECT *, min(id) OVER (PARTITION BY tbl, form) AS first_id FROM recs) SELECT tbl, first_id, id AS copy_id FROM g WHERE id <> first_id",
         "p7_records": f"WITH {_RECORDS} SELECT tbl, min(id) AS first_id, count(*) AS copies FROM recs GROUP BY tbl, form",
         "p3_found": f"""
