@@ -30,7 +30,9 @@ from ..session import cut
 from .dedup import numbered
 
 STAY, LEAF, CHAIN = 0, 1, 2
-_STATE = "id long, root long, depth long, state string, below long, path array<long>"
+_STATE = "id long, root long, depth long, state string, below long, anchor long, tail array<long>"
+#: nodes of a block; with paths fewer, as a chain of n nodes inside a block has n * n / 2 steps in its paths
+BLOCK, PATH_BLOCK = 1 << 15, 1 << 11
 
 
 def _links(df: DataFrame, key: str, parent: str, order: str | None, none: int | None) -> DataFrame:
@@ -98,12 +100,16 @@ def _contract_block(rows: pd.DataFrame, paths: bool) -> pd.DataFrame:
 
 
 def _restore_block(rows: pd.DataFrame, known: pd.DataFrame, paths: bool) -> pd.DataFrame:
-    """Reverse one block's removals from the states of the nodes that stayed."""
-    have = {r[0]: r[1:] for r in known[["id", "root", "depth", "state", "below", "path"]].itertuples(index=False)}
+    """Reverse one block's removals from the states of the nodes that stayed.
+
+    Of a path only the part inside the block is made here: ``tail``, behind
+    the node ``anchor`` that stayed.
+    """
+    have = {r[0]: (*r[1:], r[0], []) for r in known[["id", "root", "depth", "state", "below"]].itertuples(index=False)}
     gone = rows[rows["kind"] != STAY].sort_values("seq", ascending=False)
     out = []
     for i, up, kind, only, own, steps, seg in gone[["id", "up", "kind", "only", "own", "steps", "seg"]].itertuples(index=False):
-        root, depth, state, _, path = have[up]
+        root, depth, state, _, anchor, tail = have[up]
         below = own - 1
         if kind == CHAIN:
             below += have[only][3] + 1
@@ -111,20 +117,22 @@ def _restore_block(rows: pd.DataFrame, known: pd.DataFrame, paths: bool) -> pd.D
         if state == "cycle" and not (kind == CHAIN and have[only][2] == "cycle"):
             state = "below_cycle"
         ok = state == "ok"
-        row = (root if ok else None, depth + steps if ok else None, state, below, [*path, *seg, i] if ok and paths else None)
+        row = (root if ok else None, depth + steps if ok else None, state, below, anchor, [*tail, *seg, i] if ok and paths else [])
         have[i] = row
         out.append((i, *row))
-    return pd.DataFrame(out, columns=["id", "root", "depth", "state", "below", "path"]).astype({"root": "Int64", "depth": "Int64"})
+    return pd.DataFrame(out, columns=["id", "root", "depth", "state", "below", "anchor", "tail"]).astype({"root": "Int64", "depth": "Int64"})
 
 
-def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, none: int | None = -1, paths: bool = True, block: int = 1 << 15) -> DataFrame:
+def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, none: int | None = -1, paths: bool = True, block: int | None = None) -> DataFrame:
     """``(id, root, depth, state, below, path)`` of every node.
 
     ``depth`` of a root is 0, ``below`` is the number of descendants, ``path``
     leads from the root to the node itself. ``block`` bounds the nodes that
     one task contracts by itself: they are neighbours in the order of ids,
-    however far apart the ids are.
+    however far apart the ids are. The part of a path above a block is joined
+    to it row by row, so no task holds more than its block's own steps.
     """
+    block = block or (PATH_BLOCK if paths else BLOCK)
     links = numbered(_links(df, key, parent, order, none), ["id"], "place")
     kids = links.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n"))
     nodes = links.join(kids, "id", "left").select("id", "up", "missing", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"place div {int(block)}").alias("block"))
@@ -175,9 +183,15 @@ def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, no
             if not gone.isEmpty():
                 known = known.unionByName(cut(restore(gone, known, kind == CHAIN)))
     stay = local.filter(F.col("kind") == STAY).select("id", F.col("block").alias("part"))
-    held = known.join(stay, "id").select("id", "root", "depth", "state", "below", "path", "part")
+    held = known.join(stay, "id").select("id", "root", "depth", "state", "below", "part")
     gone = local.filter(F.col("kind") != STAY).groupBy("block")
-    nodes = known.unionByName(gone.cogroup(held.groupBy("part")).applyInPandas(lambda rows, have: _restore_block(rows, have, paths), _STATE))
+    inner = gone.cogroup(held.groupBy("part")).applyInPandas(lambda rows, have: _restore_block(rows, have, paths), _STATE)
+    if paths:
+        above = known.select(F.col("id").alias("anchor"), F.col("path").alias("lead"))
+        inner = inner.join(above, "anchor").withColumn("path", F.when(F.col("state") == "ok", F.concat("lead", "tail")))
+    else:
+        inner = inner.withColumn("path", F.lit(None).cast("array<long>"))
+    nodes = known.unionByName(inner.select("id", "root", "depth", "state", "below", "path"))
     return nodes.withColumn("below", F.when(F.col("state") == "ok", F.col("below")))
 
 

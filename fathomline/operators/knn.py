@@ -97,9 +97,10 @@ def filtered(vectors: DataFrame, conditions: dict[str, object]) -> DataFrame:
     return vectors
 
 
-def merge_tops(parts: DataFrame, k: int) -> DataFrame:
-    """Partial results ``(query_id, id, distance)`` merged: one distance for each id, then the best ``k``."""
-    return top(parts.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k, "distance", ascending=True)
+def merge_tops(parts: DataFrame, k: int, value: str = "distance", largest: bool = False) -> DataFrame:
+    """Partial results ``(query_id, id, value)`` merged: one value for each id, its best, then the best ``k``."""
+    best = (F.max if largest else F.min)(value)
+    return top(parts.groupBy("query_id", "id").agg(best.alias(value)), k, value, ascending=not largest)
 
 
 def neighbour_graph(vectors: DataFrame, nodes: DataFrame, k: int = 8, metric: str = "cosine", id_: str = "id", vector: str = "embedding") -> DataFrame:

@@ -139,12 +139,12 @@ def merged_spans(chunks: DataFrame, scores: DataFrame, p: Params = Params()) ->
     Windows walk along existing neighbours; whether they touch is judged on
     chunk indexes, so a gap that deduplication left keeps them apart.
     """
-    order = Window.partitionBy("doc_id").orderBy("index", "id")
-    placed = chunks.select("id", "doc_id", "index", "start", "end", "text", F.row_number().over(order).alias("pos"))
     best = top(scores, p.nodes).select("query_id", "id", "score")
-    mine = placed.join(best, "id").select("query_id", "doc_id", "pos")
-    docs = mine.select("doc_id").distinct()
-    inside = placed.join(docs, "doc_id")
+    docs = chunks.join(best.select("id").distinct(), "id", "left_semi").select("doc_id").distinct()
+    # Only chunks of documents that have a best node are put in order.
+    order = Window.partitionBy("doc_id").orderBy("index", "id")
+    inside = chunks.join(docs, "doc_id", "left_semi").select("id", "doc_id", "index", "start", "end", "text", F.row_number().over(order).alias("pos"))
+    mine = inside.join(best, "id").select("query_id", "doc_id", "pos")
     last = inside.groupBy("doc_id").agg(F.max("pos").alias("last"))
     span = mine.join(last, "doc_id").select("query_id", "doc_id", F.greatest(F.lit(1), F.col("pos") - p.above).alias("a"), F.least("last", F.col("pos") + p.below).alias("b"))
     index = inside.select("doc_id", "pos", "index")

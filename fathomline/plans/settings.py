@@ -10,6 +10,18 @@ from dataclasses import dataclass, fields
 class Settings:
     input_glob: str = "data/**/*.txt"
     chunks_path: str = "out/chunks.jsonl"
+    records_path: str = "out/records.jsonl"
+    collection: str = "chunks"
+    query: str = ""
+    embed_model: str = ""
+    device: str = "cpu"
+    llm_url: str = ""
+    llm_key: str = ""
+    llm_model: str = ""
+    llm_temperature: float = 0.2
+    llm_tokens: int = 512
+    conv_id: str = "default"
+    branch_id: str = "main"
     chunk_size: int = 1024
     chunk_overlap: int = 128
     dimension: int = 768

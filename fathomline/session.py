@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _forget() -> None:
-    for spark, path in _written:
+def _forget(since: int = 0) -> None:
+    """Delete the tables written after the first ``since``."""
+    gone, _written[since:] = _written[since:], []
+    for spark, path in gone:
         try:
             jvm = spark._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +61,20 @@ def _forget() -> None:
             pass
 
 
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables that :func:`cut` writes inside the block are deleted at its end; results must be written or collected in it.
+
+    Without such a block they stay until the driver ends, as a lazy result may
+    still read them.
+    """
+    since = len(_written)
+    try:
+        yield
+    finally:
+        _forget(since)
+
+
 atexit.register(_forget)
 
 

@@ -78,3 +78,22 @@ def test_descendants(spark):
 def test_ids_far_apart(spark):
     big = 1 << 53
     compare(spark, {big * i: (big * (i - 1) if i else None) for i in range(60)} | {-7: big * 3, big * 59 + 1: -7}, 8)
+
+
+def test_chains_across_small_blocks(spark):
+    parent = {i: i - 1 if i else None for i in range(300)}
+    for block in (7, 64):
+        compare(spark, parent, block)
+
+
+def test_tables_of_a_block_are_deleted(spark):
+    from pathlib import Path
+
+    from fathomline.session import cut, shared_folder, temporary_tables
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    kept = cut(spark.range(3))
+    before = set(folder.iterdir())
+    with temporary_tables():
+        assert cut(spark.range(5)).count() == 5 and set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before and kept.count() == 3
