@@ -34,21 +34,31 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str = VOCABULARY):
-    """The byte-level tokenizer of a rank file, read once by each worker."""
+def _encoding(data: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokenizer(path: str = VOCABULARY):
+    """The byte-level tokenizer of a rank file."""
+    with open(path, "rb") as f:
+        return _encoding(f.read())
+
+
 def pieces(df: DataFrame, key: str, text: str, capacity: int, path: str = VOCABULARY, with_tokens: bool = False) -> DataFrame:
-    """``(key, piece, start, n)``: the consecutive token ranges of each text, at most ``capacity`` each."""
+    """``(key, piece, start, n)``: the consecutive token ranges of each text, at most ``capacity`` each.
+
+    The vocabulary is read on the driver and goes to the workers with the job,
+    about a megabyte whatever the texts.
+    """
     kind = df.schema[key].dataType.simpleString()
+    with open(path, "rb") as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encode = tokenizer(path).encode_ordinary_batch
+        encode = _encoding(ranks.value).encode_ordinary_batch
         for b in slices(batches, "t"):
             rows, piece, start, n, held = [], [], [], [], []
             for i, ids in enumerate(encode(b.column(1).to_pylist(), num_threads=1)):
