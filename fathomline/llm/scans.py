@@ -261,7 +261,7 @@ def words_in(df: DataFrame, key: str, text: str, wanted: DataFrame, most_bits: i
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[j] for r in rows], pa.string()) for j in (1, 2, 3))], ["k", "word", "before", "after"])
 
     found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInArrow(run, f"k {kind}, word string, before string, after string")
-    return found.join(wanted, "word").select(F.col("k").alias(key), "word", "before", "after", "right", "strong", "sure", "place")
+    return found.join(wanted.hint("merge"), "word").select(F.col("k").alias(key), "word", "before", "after", "right", "strong", "sure", "place")
 
 
 def supported(df: DataFrame, text: str, pairs: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
@@ -283,21 +283,22 @@ def supported(df: DataFrame, text: str, pairs: DataFrame, most_bits: int = 1 <<
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return counts.join(known, "h").select("a", "b", "n")
+    return counts.join(known.hint("merge"), "h").select("a", "b", "n")
 
 
 def decided(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """``(key, word, right, strong)``: the misread words of each text, each with the form that its neighbours support best.
 
     Both neighbours must be known beside the right form, each more often than
-    once, where the form is not sure by its frequency.
+    once, where the form is not sure by its frequency. Tables of words grow
+    with the texts, so they are joined by sorting and none is broadcast.
     """
     found = cut(words_in(df, key, text, wanted))
     several = found.groupBy("word").agg(F.max("place").alias("others")).filter("others > 0").select("word")
-    open_ = found.filter("not sure").unionByName(found.filter("sure").join(several, "word", "left_semi"))
+    open_ = found.filter("not sure").unionByName(found.filter("sure").join(several.hint("merge"), "word", "left_semi"))
     pairs = open_.select(F.col("before").alias("a"), F.col("right").alias("b")).union(open_.select("right", "after")).filter("a <> '' and b <> ''")
     known = cut(supported(df, text, pairs))
-    told = found.join(known.select(F.col("a").alias("before"), F.col("b").alias("right"), F.col("n").alias("nb")), ["before", "right"], "left").join(known.select(F.col("a").alias("right"), F.col("b").alias("after"), F.col("n").alias("na")), ["right", "after"], "left")
+    told = found.join(known.select(F.col("a").alias("before"), F.col("b").alias("right"), F.col("n").alias("nb")).hint("merge"), ["before", "right"], "left").join(known.select(F.col("a").alias("right"), F.col("b").alias("after"), F.col("n").alias("na")).hint("merge"), ["right", "after"], "left")
     support = (F.coalesce("nb", F.lit(0)) > 1).cast("int") + (F.coalesce("na", F.lit(0)) > 1).cast("int")
     best = told.withColumn("support", support).filter("sure or support = 2").groupBy(key, "word").agg(F.max(F.struct("support", (-F.col("place")).alias("first"), "right", "strong", "sure")).alias("m"))
     return best.select(key, "word", "m.right", "m.strong")
