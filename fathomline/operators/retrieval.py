@@ -25,6 +25,10 @@ from .knn import flat_knn, neighbour_graph
 from .lexical import TermIndex, bm25, index_terms, top
 
 
+#: Scores are rounded before they are ranked, so that equal ones are ties whatever the order of their sums.
+DIGITS = 9
+
+
 @dataclass(frozen=True)
 class Params:
     metric: str = "cosine"
@@ -92,12 +96,13 @@ def seeds(chunks: DataFrame, queries: DataFrame, lexical: DataFrame, p: Params =
     lex = top(lexical, p.seeds_lexical, "lex").select("query_id", "id", (p.weight_lexical * F.col("lex")).alias("score"))
     both = sem.unionAll(lex).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     said = both.join(chunks.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
-    return said.select("query_id", "id", (F.col("score") + F.when(has_phrase(F.col("text"), F.col("query")), p.bonus_phrase).otherwise(0.0)).alias("score"))
+    return said.select("query_id", "id", F.round(F.col("score") + F.when(has_phrase(F.col("text"), F.col("query")), p.bonus_phrase).otherwise(0.0), DIGITS).alias("score"))
 
 
 def scaled_lexical(chunks: DataFrame, queries: DataFrame, indexes: Indexes | None = None) -> DataFrame:
     """``(query_id, id, lex)``: BM25 scaled to 0 to 1 within each query; a single hit scores 0."""
-    return min_max(indexes.terms.search(queries) if indexes is not None else bm25(chunks, queries), "score", "query_id", "lex").select("query_id", "id", "lex")
+    scores = indexes.terms.search(queries) if indexes is not None else bm25(chunks, queries)
+    return min_max(scores, "score", "query_id", "lex").select("query_id", "id", F.round("lex", DIGITS).alias("lex"))
 
 
 def beam(chunks: DataFrame, queries: DataFrame, start: DataFrame, lexical: DataFrame, adjacent: DataFrame, p: Params = Params(), indexes: Indexes | None = None) -> DataFrame:
@@ -125,9 +130,9 @@ def beam(chunks: DataFrame, queries: DataFrame, start: DataFrame, lexical: DataF
         told = steps.join(lexical, ["query_id", "id"], "left").join(queries, "query_id").join(chunks.select("id", "text", "embedding"), "id")
         base = p.weight_semantic * query_similarity(p.metric, F.col("q"), F.col("embedding")) + p.weight_lexical * F.coalesce("lex", F.lit(0.0)) + F.col("bonus")
         fade = p.decay ** (level + 1)
-        scored = told.select("query_id", "row", "id", "score", base.alias("base"), has_phrase(F.col("text"), F.col("query")).alias("phrase")).filter("base > 0")
+        scored = told.select("query_id", "row", "id", "score", F.round(base, DIGITS).alias("base"), has_phrase(F.col("text"), F.col("query")).alias("phrase")).filter("base > 0")
         passed = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("base"), "id"))).filter(F.col("r") <= p.beam)
-        grown = passed.select("query_id", "id", (F.col("score") + fade * F.col("base") + F.when(F.col("phrase"), p.bonus_phrase * fade).otherwise(0.0)).alias("score"), "row")
+        grown = passed.select("query_id", "id", F.round(F.col("score") + fade * F.col("base") + F.when(F.col("phrase"), p.bonus_phrase * fade).otherwise(0.0), DIGITS).alias("score"), "row")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "row")
         front = grown.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= p.beam).select("query_id", "id", "score")
     return seen.groupBy("query_id", "id").agg(F.max("score").alias("score"))

@@ -26,12 +26,13 @@ def _normalized(x: str) -> str:
 
 
 _TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[A-Za-z0-9_]+')"
-_ASKED = "(VALUES (1, 'sealed gearbox inspection'), (2, 'regional summary of the rated pressure'), (3, 'Die neuen Hefte im Archiv')) AS asked(query_id, query)"
+_ASKED = "(SELECT item_id AS query_id, text AS query FROM eval_items WHERE item_id % 20 = 0)"
+_WITH_VECTOR = "(SELECT item_id AS query_id, text AS query FROM eval_items WHERE item_id % 20 = 0 AND item_id IN (SELECT chunk_id FROM chunk_vectors WHERE embedding IS NOT NULL))"
 
 
-def _bm25(rows: str) -> str:
+def _bm25(rows: str, asked: str = _ASKED) -> str:
     return f"""
-asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {_ASKED}),
+asked AS {asked},
 wanted AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("query")}) AS term FROM asked),
 toks AS (SELECT id, {_TOKENS.format("text")} AS t FROM {rows}),
 corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
@@ -89,16 +90,16 @@ dup AS (SELECT m.msg_id, 1 - min(bit_count(xor(m.simhash_i64, ref))) / 64 AS dup
 )
 
 _SEEDS = f"""
-WITH {_bm25(_CHUNKS)},
+WITH {_bm25(_CHUNKS, _WITH_VECTOR)},
 c AS (SELECT chunk_id AS id, doc_id, chunk_index, text, CAST(embedding AS DOUBLE[]) AS v FROM doc_chunks JOIN chunk_vectors USING (chunk_id)),
-scaled AS (SELECT query_id, id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS lex
+scaled AS (SELECT query_id, id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN 0 ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 9) END AS lex
   FROM bm WINDOW w AS (PARTITION BY query_id)),
 lexr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, id) AS rn FROM scaled),
 qs AS (SELECT query_id, query, v AS q FROM asked JOIN c ON c.id = query_id),
 sem AS (SELECT query_id, c.id, least(2, greatest(0, 1 - list_dot_product(q, v) / (greatest(sqrt(list_dot_product(q, q)), 1e-12) * greatest(sqrt(list_dot_product(v, v)), 1e-12)))) AS dist FROM qs, c WHERE v IS NOT NULL),
-semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rn FROM sem),
+semr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS rn FROM sem),
 both_ AS (SELECT query_id, id, 0.6 * (2 - dist) / 2 AS s FROM semr WHERE rn <= 64 UNION ALL SELECT query_id, id, 0.3 * lex FROM lexr WHERE rn <= 64),
-seeds AS (SELECT query_id, id, s + CASE WHEN contains(lower(coalesce(text, '')), lower(trim(query))) THEN 0.1 ELSE 0 END AS score
+seeds AS (SELECT query_id, id, round(s + CASE WHEN contains(lower(coalesce(text, '')), lower(trim(query))) THEN 0.1 ELSE 0 END, 9) AS score
   FROM (SELECT query_id, id, sum(s) AS s FROM both_ GROUP BY query_id, id) JOIN c USING (id) JOIN asked USING (query_id))
 """
 
@@ -121,12 +122,12 @@ e{level} AS (SELECT src, dst, max(bonus) AS bonus FROM (
   SELECT id AS src, unnest([prv, nxt]) AS dst, 0.1 AS bonus FROM adj JOIN n{level} USING (id) UNION ALL SELECT src, dst, 0 FROM g{level}) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),
 r{level} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS row_ FROM f{level}),
 s{level} AS (SELECT r.query_id, r.row_, r.score, e.dst AS id,
-  0.6 * (list_dot_product(q, v) / (greatest(sqrt(list_dot_product(q, q)), 1e-12) * greatest(sqrt(list_dot_product(v, v)), 1e-12)) + 1) / 2 + 0.3 * coalesce(lex, 0) + bonus AS base,
+  round(0.6 * (list_dot_product(q, v) / (greatest(sqrt(list_dot_product(q, q)), 1e-12) * greatest(sqrt(list_dot_product(v, v)), 1e-12)) + 1) / 2 + 0.3 * coalesce(lex, 0) + bonus, 9) AS base,
   contains(lower(coalesce(c.text, '')), lower(trim(query))) AS phrase
   FROM r{level} r JOIN e{level} e ON e.src = r.id JOIN c ON c.id = e.dst JOIN qs USING (query_id) LEFT JOIN scaled ON scaled.query_id = r.query_id AND scaled.id = e.dst),
 t{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, row_ ORDER BY base DESC, id) AS rn FROM s{level} WHERE base > 0) WHERE rn <= 8),
 f{level + 1} AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, row_) AS rn FROM (
-  SELECT query_id, row_, id, score + {fade} * base + CASE WHEN phrase THEN 0.1 * {fade} ELSE 0 END AS score FROM t{level})) WHERE rn <= 8)"""
+  SELECT query_id, row_, id, round(score + {fade} * base + CASE WHEN phrase THEN 0.1 * {fade} ELSE 0 END, 9) AS score FROM t{level})) WHERE rn <= 8)"""
     if last:
         return sql + f""", {last} AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3) GROUP BY query_id, id)"""
     return sql + "SELECT query_id, id, round(max(score), 5) AS score FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3) GROUP BY query_id, id"
@@ -199,7 +200,7 @@ v AS (SELECT doc_id, CASE WHEN starts_with(l, 'en') THEN 'unsafe' WHEN starts_wi
 SELECT doc_id, verdict, coalesce(array_to_string(list_filter(regexp_split_to_array(listed, '(?:,|{_EDGE})+'), lambda x: x <> ''), ','), '') AS categories FROM v""",
         "total_bytes": "SELECT doc_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS chunks FROM doc_chunks GROUP BY doc_id",
         "chunk_hashes": "SELECT chunk_id, CAST(hash64 AS VARCHAR) AS hash64 FROM doc_chunks WHERE hash64 IS NOT NULL",
-        "message_hashes": "SELECT DISTINCT msg_id, simhash_i64, content_hash FROM messages WHERE simhash_i64 <> 0",
+        "message_hashes": "SELECT DISTINCT msg_id, simhash_i64, content_hash FROM messages",
         "adjacent_chunks": "SELECT chunk_id AS id, lag(chunk_id) OVER w AS prev, lead(chunk_id) OVER w AS next, row_number() OVER w AS pos FROM doc_chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)",
         "hybrid_seeds": _SEEDS + "SELECT query_id, id, round(score, 5) AS score FROM seeds",
         "beam_traverse": _beam(),

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
 from ..operators import chunking, collection, dedup, dialog, embedding, hierarchy, history, ivf, knn, lexical, retrieval
+from ..session import spread
 from .oracle import oracle_sql as oracle_sql  # noqa: PLC0414  part of this module's interface
 
-#: The stated queries of the text searches; the SQL states the same.
-ASKED = [(1, "sealed gearbox inspection"), (2, "regional summary of the rated pressure"), (3, "Die neuen Hefte im Archiv")]
 PHRASES = [(1, "without loss of detail"), (2, "the archive room"), (3, "DIE NEUEN HEFTE")]
 ROLES = {0: "system", 1: "user", 2: "assistant", 3: "tool"}
 
@@ -28,10 +27,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(_table(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("id"), "embedding"), "id")
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """The stated queries of the text searches: every item whose id is divisible by 20."""
+    return _table(spark, d, "eval_items").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """The stated queries; their vectors are those of the chunks 1 to 3."""
-    stated = spark.createDataFrame(ASKED, "query_id long, query string")
-    return stated.join(_table(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    """The stated queries; the vector of each is that of the chunk with its id."""
+    return _questions(spark, d).join(_table(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")).filter("q is not null"), "query_id")
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +56,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    best = lexical.top(lexical.bm25(docs, spark.createDataFrame(ASKED, "query_id long, query string")).withColumn("score", F.round("score", 6)), 20)
+    best = lexical.top(lexical.bm25(docs, _questions(spark, d)).withColumn("score", F.round("score", 6)), 20)
     return best.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
@@ -175,11 +178,11 @@ def first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("clean"))
+    return spread(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize(F.col("text")).alias("clean"))
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", text.html_to_text(F.col("text")).alias("plain"))
+    return spread(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.html_to_text(F.col("text")).alias("plain"))
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
@@ -225,8 +228,9 @@ def chunk_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_hashes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "messages").filter("simhash_i64 <> 0")
-    return rows.select("msg_id", hashing.blake64_signed("content").alias("simhash_i64"), hashing.sha256(F.col("content")).alias("content_hash")).distinct()
+    """Legacy rows have no hash stored, 0."""
+    fresh = F.when(F.col("simhash_i64") != 0, hashing.blake64_signed("content")).otherwise(F.col("simhash_i64"))
+    return _table(spark, d, "messages").select("msg_id", fresh.alias("simhash_i64"), hashing.sha256(F.col("content")).alias("content_hash")).distinct()
 
 
 def message_uids(spark: SparkSession, d: str) -> DataFrame:
@@ -239,12 +243,12 @@ def adjacent_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(_table(spark, d, "documents"), chunking.PRESET, "doc_key")
+    return chunking.chunks(spread(_table(spark, d, "documents").select("doc_key", "text")), chunking.PRESET, "doc_key")
 
 
 def chunk_as_stored(spark: SparkSession, d: str) -> DataFrame:
     """Chunks cut from the documents' raw texts, as the stored ones with offsets were."""
-    cut = chunking.chunks(_table(spark, d, "documents"), replace(chunking.PRESET, normalize=False), "doc_key")
+    cut = chunking.chunks(spread(_table(spark, d, "documents").select("doc_key", "text")), replace(chunking.PRESET, normalize=False), "doc_key")
     return cut.select("doc_id", F.col("index").alias("chunk_index"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "text", "hash64")
 
 
@@ -267,7 +271,7 @@ def _selected(c: DataFrame, asked: DataFrame) -> DataFrame:
 
 def merge_spans(spark: SparkSession, d: str) -> DataFrame:
     c = _table(spark, d, "doc_chunks").select(F.col("chunk_id").alias("id"), "doc_id", F.col("chunk_index").alias("index"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), "text")
-    return retrieval.merged_spans(c, _selected(c, spark.createDataFrame(ASKED, "query_id long, query string"))).drop("node_ids", "rank")
+    return retrieval.merged_spans(c, _selected(c, _questions(spark, d))).drop("node_ids", "rank")
 
 
 def retrieve_contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +299,7 @@ def collection_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
-    best = lexical.top(lexical.bm25(_docs(spark, d), spark.createDataFrame(ASKED, "query_id long, query string")).withColumn("score", F.round("score", 6)), 5)
+    best = lexical.top(lexical.bm25(_docs(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 6)), 5)
     return dialog.context_block(best.join(_docs(spark, d).select("id", "text"), "id"))
 
 

@@ -46,6 +46,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt out over the cores where it has less than half as many splits, as of one file of one row group.
+
+    For what costs much more for each row than moving it. A large table has
+    more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
