@@ -85,12 +85,23 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+@lru_cache(maxsize=2)
+def _mixed(which: int) -> np.ndarray:
+    """The scrambled value of every code point."""
+    return mix(np.arange(0x110001, dtype=U64) + U64(0x1234567 + which))
+
+
 def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit polynomial hash of each segment ``values[start:end]``, equal for equal content anywhere."""
     n = 1 << max(16, int(len(values) + 1).bit_length())
     up, down = _powers(_BASE[which], n)
     sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(mix(values.astype(U64) + U64(0x1234567 + which)) * up[: len(values)], out=sums[1:])
+    if values.dtype == np.uint32 and len(values) and values.max() <= 0x110000:
+        mixed = _mixed(which)[values]
+    else:
+        mixed = mix(values.astype(U64) + U64(0x1234567 + which))
+    mixed *= up[: len(values)]
+    np.cumsum(mixed, out=sums[1:])
     whole = (sums[ends] - sums[starts]) * down[starts]
     return mix(whole + mix((ends - starts).astype(U64)))
 

@@ -39,10 +39,9 @@ _FROM, _TO = "c50о@!1|l9b8тибé27fзü", "esooaiiiighhmn66ztt3u"
 _PAIRS = [("ei", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("u", "h")]
 TOKEN = re.compile(r"[\w!|@]{2,}")
 BROKEN = re.compile(r"(?<=\w)[-‐‑\xad¬][ \t]*[\r\n\f]+[ \t]*(?=\w)")
-_BREAKS = [h + e for h in "-‐‑\xad¬" for e in ("\n", "\r", "\f", " \n")]
 _BREAK = re.compile(r"[-‐‑\xad¬][ \t]*[\r\n\f]+\s*\S")
 _CODE = re.compile(r"(?:^|[^\W\d_])[^\W\d_][0-9]{2,}$|^[0-9]{2}")  # a name with a number
-_LONE = re.compile(r"[^\W\d_]{2}[0-9!|@][^\W\d_]{2}")
+_LONE = re.compile(r"[0-9!|@](?=[^\W\d_]{2})")
 STRONG = re.compile(r"[!|@]|[^\W\d_][0-9]|[0-9][^\W\d_]")
 #: how much more frequent the right form is than a misreading that itself looks like a word
 RATIO = 60
@@ -104,7 +103,7 @@ def tokens(text: str) -> list[str]:
 
 
 def unbroken(text: str) -> str:
-    return BROKEN.sub("", text) if any(x in text for x in _BREAKS) else text
+    return BROKEN.sub("", text) if _BREAK.search(text) else text
 
 
 @lru_cache(maxsize=1)
@@ -345,11 +344,11 @@ def page_marks(df: DataFrame, key: str, text: str) -> DataFrame:
             for i, t in enumerate(b.column(1).to_pylist()):
                 if not t or "\n" not in t and "\f" not in t and "\r" not in t:
                     continue
-                if any(x in t for x in _BREAKS) and any(t[m.start() - 1 : m.start()].isalnum() for m in _BREAK.finditer(t)):
+                if any(t[m.start() - 1 : m.start()].isalnum() for m in _BREAK.finditer(t)):
                     rows.append((i, -1, "hyphen", None, None))
                 if "\f" in t:
                     rows.append((i, -1, "paged", None, None))
-                if _LONE.search(t):
+                if any(t[m.start() - 2 : m.start()].isalpha() and m.start() > 1 for m in _LONE.finditer(t)):
                     rows.append((i, -1, "lone", None, None))
                 heads: Counter = Counter()
                 found = []
