@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import copies, dialogs, leaks, lookalikes, markup, near_copies, packing, scans, vector_neighbours
 
 
@@ -14,9 +15,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_table(spark, folder, "doc_chunks").select("chunk_id", "text"))
+
+
+def _said(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(_table(spark, folder, "messages").select("msg_id", "role", "ts", "content"))
+
+
 def _record_keys(spark: SparkSession, d: str) -> DataFrame:
-    messages = copies.record_keys(_table(spark, d, "messages"), "messages", "msg_id", "content", "ts")
-    return messages.unionByName(copies.record_keys(_table(spark, d, "doc_chunks"), "doc_chunks", "chunk_id", "text"))
+    messages = copies.record_keys(_said(spark, d), "messages", "msg_id", "content", "ts")
+    return messages.unionByName(copies.record_keys(_chunk_texts(spark, d), "doc_chunks", "chunk_id", "text"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,13 +42,13 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.markup_found(_table(spark, d, "documents"))
+    return markup.markup_found(_texts(spark, d))
 
 
 def p2_texts(spark: SparkSession, d: str) -> DataFrame:
     """Clean text of the documents and of the chunks cut from them."""
-    docs = markup.cleaned(_table(spark, d, "documents")).select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
-    chunks = markup.cleaned(_table(spark, d, "doc_chunks"), "chunk_id").select(F.lit("doc_chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
+    docs = markup.cleaned(_texts(spark, d)).select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
+    chunks = markup.cleaned(_chunk_texts(spark, d), "chunk_id").select(F.lit("doc_chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
     return docs.unionByName(chunks)
 
 
@@ -48,20 +61,20 @@ def p3_dialogs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_copies.near_copies(_table(spark, d, "messages"), "msg_id", "content", "ts", F.col("role").isin(1, 2))
+    return near_copies.near_copies(_said(spark, d), "msg_id", "content", "ts", F.col("role").isin(1, 2))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = near_copies.near_groups(_table(spark, d, "messages"), "msg_id", "content", "ts", F.col("role").isin(1, 2))
+    found = near_copies.near_groups(_said(spark, d), "msg_id", "content", "ts", F.col("role").isin(1, 2))
     return found.withColumnRenamed("id", "msg_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.scan_noise(_table(spark, d, "documents"))
+    return scans.scan_noise(_texts(spark, d))
 
 
 def p6_texts(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repaired(_table(spark, d, "documents"))
+    return scans.repaired(_texts(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,23 +86,23 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_table(spark, d, "documents"))
+    return packing.pack(_texts(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+    return leaks.leaks(_texts(spark, d), _table(spark, d, "eval_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.equal_looking(_table(spark, d, "documents"))
+    return lookalikes.equal_looking(_texts(spark, d))
 
 
 def p10_groups(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.look_groups(_table(spark, d, "documents"))
+    return lookalikes.look_groups(_texts(spark, d))
 
 
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.canonicalize(_table(spark, d, "documents")).select("doc_id", "text", "look_hi", "look_lo")
+    return lookalikes.canonicalize(_texts(spark, d)).select("doc_id", "text", "look_hi", "look_lo")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
