@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -35,7 +37,7 @@ _STATE = "id long, root long, depth long, state string, below long, anchor long,
 BLOCK, PATH_BLOCK = 1 << 15, 1 << 11
 
 
-def _links(df: DataFrame, key: str, parent: str, order: str | None, none: int | None) -> DataFrame:
+def _links(df: DataFrame, key: str, parent: str, order: str | None = None, none: int | None = None) -> DataFrame:
     """One row for each id: ``(id, up, missing)``."""
     up = F.col(parent).cast("long")
     if none is not None:
@@ -63,7 +65,7 @@ def _contract_block(rows: pd.DataFrame, paths: bool) -> pd.DataFrame:
     np.add.at(child, at[inside], np.flatnonzero(inside))
     child = child.tolist()
     size = len(ids)
-    own, steps = [1] * size, [1] * size
+    own, steps = [1] * size, rows["w"].to_numpy().astype(np.int64).tolist()
     kind, seq, only = [STAY] * size, [0] * size, [None] * size
     seg: list[list[int]] = [[] for _ in range(size)] if paths else []
     clock = 0
@@ -123,20 +125,25 @@ def _restore_block(rows: pd.DataFrame, known: pd.DataFrame, paths: bool) -> pd.D
     return pd.DataFrame(out, columns=["id", "root", "depth", "state", "below", "anchor", "tail"]).astype({"root": "Int64", "depth": "Int64"})
 
 
-def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, none: int | None = -1, paths: bool = True, block: int | None = None) -> DataFrame:
+def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, none: int | None = -1, paths: bool = True, block: int | None = None, weight: DataFrame | None = None) -> DataFrame:
     """``(id, root, depth, state, below, path)`` of every node.
 
     ``depth`` of a root is 0, ``below`` is the number of descendants, ``path``
     leads from the root to the node itself. ``block`` bounds the nodes that
     one task contracts by itself: they are neighbours in the order of ids,
     however far apart the ids are. The part of a path above a block is joined
-    to it row by row, so no task holds more than its block's own steps.
+    to it row by row, so no task holds more than its block's own steps. With
+    ``weight (id, w)`` a step into a node counts ``w`` in ``depth``, not 1.
     """
     block = block or (PATH_BLOCK if paths else BLOCK)
     links = numbered(_links(df, key, parent, order, none), ["id"], "place")
     kids = links.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n"))
-    nodes = links.join(kids, "id", "left").select("id", "up", "missing", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"place div {int(block)}").alias("block"))
-    full = "id long, up long, missing boolean, n long, block long, own long, steps long, kind int, seq long, only long, seg array<long>"
+    if weight is not None:
+        links = links.join(weight.select("id", "w"), "id", "left")
+    else:
+        links = links.withColumn("w", F.lit(1))
+    nodes = links.join(kids, "id", "left").select("id", "up", "missing", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("w").cast("long"), F.lit(1)).alias("w"), F.expr(f"place div {int(block)}").alias("block"))
+    full = "id long, up long, missing boolean, n long, w long, block long, own long, steps long, kind int, seq long, only long, seg array<long>"
     local = cut(nodes.groupBy("block").applyInPandas(lambda rows: _contract_block(rows, paths), full))
 
     rounds: list[DataFrame] = []
@@ -195,6 +202,49 @@ def hierarchy(df: DataFrame, key: str, parent: str, order: str | None = None, no
     return nodes.withColumn("below", F.when(F.col("state") == "ok", F.col("below")))
 
 
+def running_sums(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over all rows before a row in the order of the whole table.
+
+    Sums run within sorted ranges, to which the sums of the ranges before are added.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = df.columns.index(value)
+
+    def run(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ends = np.cumsum(b.column(at).to_numpy(zero_copy_only=False)) + total
+            starts = np.concatenate([[total], ends[:-1]]) if len(ends) else ends
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts.astype(np.int64)), pa.array(np.full(len(starts), part, np.int32))], [*b.schema.names, name, "_part"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    table = cut(ranged.mapInArrow(run, f"{kinds}, `{name}` long, _part int"))
+    ends = table.groupBy("_part").agg(F.max(F.col(name) + F.col(value)).alias("_n"))  # one row for each range
+    base = ends.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return table.join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
+
+
+def intervals(df: DataFrame, key: str, parent: str, order: str | None = None, none: int | None = -1, block: int | None = None) -> DataFrame:
+    """``(id, first, last)`` of every node with a root: its place in pre-order and that of its last descendant.
+
+    One row for each node however deep the trees are; x lies below y where
+    ``y.first < x.first <= y.last``. Siblings and roots are in the order of
+    their ids. A node's place is its parent's, one more and the sizes of the
+    siblings before it; contraction sums that up along the paths.
+    """
+    how = {"key": key, "parent": parent, "order": order, "none": none}
+    sizes = cut(hierarchy(df, **how, paths=False, block=block).filter("state = 'ok'").select("id", (F.col("below") + 1).alias("size")))
+    rows = sizes.join(_links(df, **how).select("id", F.coalesce("up", F.lit(0)).alias("up"), F.col("up").isNull().alias("top")), "id")
+    before = cut(running_sums(rows.select("id", "up", "top", "size"), ["top", "up", "id"], "size", "sum"))
+    start = before.groupBy("top", "up").agg(F.min("sum").alias("least"))
+    placed = cut(before.join(start, ["top", "up"]).select("id", "top", "size", (F.col("sum") - F.col("least")).alias("skip")))
+    deep = hierarchy(df, **how, paths=False, block=block, weight=placed.select("id", (F.col("skip") + 1).alias("w"))).filter("state = 'ok'").select("id", "root", "depth")
+    roots = placed.filter("top").select(F.col("id").alias("root"), F.col("skip").alias("base"))
+    first = (F.col("base") + F.col("depth")).alias("first")
+    return deep.join(roots, "root").join(placed.select("id", "size"), "id").select("id", first, (F.col("base") + F.col("depth") + F.col("size") - 1).alias("last"))
+
+
 def descendants(nodes: DataFrame) -> DataFrame:
     """``(id, descendant, distance)``: every node with each node below it, from the paths of :func:`hierarchy`."""
     rows = nodes.filter("state = 'ok'").select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("at", "id"))

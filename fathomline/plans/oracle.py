@@ -261,5 +261,8 @@ SELECT query_id, chunk_id, round(dist, 6) + 0.0 AS distance, rank FROM (SELECT *
         "p4_hierarchy": _TREE
         + """, fallen AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a, id FROM tree) GROUP BY a)
 SELECT t.id, root, depth, 'ok' AS state, n - 1 AS below, path FROM tree t JOIN fallen ON a = t.id UNION ALL SELECT id, NULL, NULL, state, NULL, NULL FROM states""",
+        "p4_intervals": _TREE
+        + """, fallen AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a FROM tree) GROUP BY a)
+SELECT id, row_number() OVER (ORDER BY path) - 1 AS first, row_number() OVER (ORDER BY path) - 2 + n AS last FROM tree JOIN fallen ON a = id""",
         "p4_descendants": _TREE + "SELECT a AS id, id AS descendant, depth - (list_position(path, a) - 1) AS distance FROM (SELECT id, depth, path, unnest(path) AS a FROM tree) WHERE a <> id",
     }

@@ -398,12 +398,16 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(_table(spark, d, "messages"), "msg_id", "parent_msg_id", "ts"))
 
 
+def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.intervals(_table(spark, d, "messages"), "msg_id", "parent_msg_id", "ts")
+
+
 _ALL = [
     bm25_topk, term_stats, corpus_stats, flat_knn_cosine, flat_knn_l2, flat_knn_ip, filtered_knn, knn_self_graph, partial_final_topk, ivf_knn, ivf_knn_probed, pq_knn, vector_scores,
     normalized_vectors, min_max_scores, rank_dedup, insert_dedup, ingest_counters, first_seen, normalize_text, html_to_text, token_estimate, tokens, phrase_match, record_text, marked_text,
     guard_verdicts, total_bytes, chunk_hashes, message_hashes, message_uids, adjacent_chunks, chunk_documents, chunk_as_stored, hybrid_seeds, beam_traverse, merge_spans, retrieve_contexts, retrieve_probed, collection_search,
     context_blocks, role_merge, guard_view, transcripts, history_blocks, messages_by_key, recency_window, latest_messages, branch_tips, duplicate_penalty, budget_context, history_context,
-    hash_chain, chain_links, append_log, retry_schedule, embedded_documents, prompts, p4_found, p4_hierarchy, p4_descendants,
+    hash_chain, chain_links, append_log, retry_schedule, embedded_documents, prompts, p4_found, p4_hierarchy, p4_descendants, p4_intervals,
 ]
 
 

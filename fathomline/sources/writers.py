@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,37 @@ def write_markdown(pages: DataFrame, path: str) -> None:
     whole = pages.filter("page_no is not null").groupBy(F.sha2("path", 256).alias("document"))
     joined = whole.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("markdown", F.lit("")).alias("m")))), lambda x: x["m"]), "\n\n").alias("value"))
     write_texts(joined, path, ["document"], "value")
+
+
+def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> list[str]:
+    """One file for each row, as for images of pages, tables and figures; the folders written to, relative to ``path``.
+
+    A file is written whole under its own name, so a task that runs again
+    leaves the same files. Names may have folders in them, but not lead out of
+    ``path``; rows without content are passed over.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for b in batches:
+            folders = set()
+            for n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts = n.split("/")
+                if ".." in parts or n.startswith("/"):
+                    raise ValueError(f"{n} leads out of the folder")
+                folders.add("/".join(parts[:-1]))
+                system.create_dir("/".join([base, *parts[:-1]]), recursive=True)
+                with system.open_output_stream(f"{base}/{n}") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(folders), pa.string())], ["folder"])
+
+    done = rows.select(F.col(name), F.col(content).cast("binary")).filter(F.col(name).isNotNull() & F.col(content).isNotNull()).mapInArrow(run, "folder string")
+    return sorted(r.folder for r in done.distinct().collect())  # one for each document
+
+
+def write_images(pages: DataFrame, path: str, image: str = "image", kind: str = "page") -> list[str]:
+    """The images of converted pages, tables or figures, as ``<document>/<kind>-<number>.png``."""
+    file = F.concat(F.sha2("path", 256), F.lit(f"/{kind}-"), F.lpad(F.col("page_no").cast("string"), 5, "0"), F.lit(".png"))
+    return write_files(pages.select(file.alias("name"), F.col(image).alias("content")), path)

@@ -1,6 +1,6 @@
 import random
 
-from fathomline.operators.hierarchy import descendants, hierarchy, unrooted
+from fathomline.operators.hierarchy import descendants, hierarchy, intervals, unrooted
 
 SCHEMA = "id long, up long, ts double"
 
@@ -97,3 +97,15 @@ def test_tables_of_a_block_are_deleted(spark):
     with temporary_tables():
         assert cut(spark.range(5)).count() == 5 and set(folder.iterdir()) > before
     assert set(folder.iterdir()) == before and kept.count() == 3
+
+
+def test_intervals_hold_the_descendants(spark):
+    rng = random.Random(3)
+    parent = {i: rng.choice([None, rng.randrange(i)]) if i % 9 == 0 and i else (rng.randrange(max(0, i - 6), i) if i else None) for i in range(250)}
+    parent |= {900: 901, 901: 900, 902: 900, 903: 5000, -7: None, 260: -7}
+    df = spark.createDataFrame([(k, v, 0.0) for k, v in parent.items()], SCHEMA)
+    got = {r.id: (r.first, r.last) for r in intervals(df, "id", "up", none=None, block=16).collect()}
+    want = {k: path for k, (state, path) in truth(parent).items() if state == "ok"}
+    assert set(got) == set(want) and sorted(a for a, _ in got.values()) == list(range(len(want)))
+    for x in want:
+        assert {y for y in want if got[x][0] < got[y][0] <= got[x][1]} == {y for y in want if x in want[y] and x != y}

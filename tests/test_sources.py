@@ -132,3 +132,13 @@ def test_files_to_chunks(spark, files, tmp_path):
     chunk_files.main([str(files), "--out", str(tmp_path / "c.jsonl"), "--size", "8", "--overlap", "2"])
     got = readers.load_chunks(spark, str(tmp_path / "c.jsonl")).collect()
     assert {r.text for r in got if r.doc_id.endswith("c.json")} and max(len(r.text.encode()) for r in got) <= 8
+
+
+def test_images(spark, tmp_path):
+    pages = spark.createDataFrame([("p", 1, b"one"), ("p", 12, b"two"), ("q", 1, None)], "path string, page_no int, image binary")
+    for _ in range(2):
+        folders = writers.write_images(pages, str(tmp_path / "i"))
+    assert len(folders) == 1 and sorted(f.name for f in (tmp_path / "i" / folders[0]).iterdir()) == ["page-00001.png", "page-00012.png"]
+    assert (tmp_path / "i" / folders[0] / "page-00012.png").read_bytes() == b"two"
+    with pytest.raises(Exception, match="leads out"):
+        writers.write_files(spark.createDataFrame([("../x", b"1")], "name string, content binary"), str(tmp_path / "i"))
