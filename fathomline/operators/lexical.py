@@ -33,16 +33,15 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """``(query_id, id, score)`` of all texts that share a term with a query ``(query_id, query)``.
 
-    Only the queries' own terms are kept of each text, in the scan's stage;
-    document frequencies come from the same rows.
+    Only the queries' own terms are kept, by a join in the scan's stage, and
+    counted before anything is shuffled; document frequencies come from the
+    same rows.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    wanted = F.broadcast(terms.agg(F.collect_set("term").alias("wanted")))  # as large as the query set
     tokens = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    # One pass over the texts leaves their lengths and the few tokens that matter.
-    held = cut(tokens.crossJoin(wanted).select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: F.array_contains("wanted", t)).alias("hits")))
-    corpus = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = held.filter(F.size("hits") > 0).select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    postings = cut(each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     return _scored(postings.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus)), k1, b)  # one row
 

@@ -144,6 +144,7 @@ def merged_spans(chunks: DataFrame, scores: DataFrame, p: Params = Params()) ->
     Windows walk along existing neighbours; whether they touch is judged on
     chunk indexes, so a gap that deduplication left keeps them apart.
     """
+    scores = cut(scores)
     best = top(scores, p.nodes).select("query_id", "id", "score")
     docs = chunks.join(best.select("id").distinct(), "id", "left_semi").select("doc_id").distinct()
     # Only chunks of documents that have a best node are put in order.

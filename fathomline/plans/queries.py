@@ -51,7 +51,7 @@ def _dialogs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return spread(_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +270,7 @@ def _selected(c: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def merge_spans(spark: SparkSession, d: str) -> DataFrame:
-    c = _table(spark, d, "doc_chunks").select(F.col("chunk_id").alias("id"), "doc_id", F.col("chunk_index").alias("index"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), "text")
+    c = spread(_table(spark, d, "doc_chunks").select(F.col("chunk_id").alias("id"), "doc_id", F.col("chunk_index").alias("index"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), "text"))
     return retrieval.merged_spans(c, _selected(c, _questions(spark, d))).drop("node_ids", "rank")
 
 
